@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,7 +26,8 @@ from noticelake.llm.common import bounded_batches, whole_text
 
 SAMPLE_ROWS, TABLE_SIZE, TOKEN_LIMIT = 4_000, 16_384, 512
 
-_coders: dict[int, ByteBpe] = {}
+#: The coder of the table that a worker met last.
+_coders: dict[str, ByteBpe] = {}
 
 
 @lru_cache(maxsize=2)
@@ -75,12 +77,14 @@ def count_tokens(
     source = shared_vocabulary(spark, path or vocabulary_path())
     lengths = spark.sparkContext.broadcast(frequent_lengths(docs, source, sample_rows, table_size, text_col))
 
+    key = uuid4().hex
+
     @F.pandas_udf("long")
     def tokens(texts: pd.Series) -> pd.Series:
-        coder = _coders.get(lengths.id)
+        coder = _coders.get(key)
         if coder is None:
             _coders.clear()
-            coder = _coders[lengths.id] = ByteBpe(source.value, lengths.value)
+            coder = _coders[key] = ByteBpe(source.value, lengths.value)
         return pd.Series([coder.count(t) for t in texts], dtype="int64")
 
     text = whole_text(text_col)
