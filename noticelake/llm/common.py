@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,19 +41,3 @@ def words(text: Column) -> Column:
     """Array of the words of ``text``; empty for a text without any."""
     parts = F.split(F.btrim(text, F.lit(SPACES)), "[ \\t-\\r]+")
     return F.filter(parts, lambda w: w != "")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the shared folder named in spark.checkpoint.dir.
-
-    A folder of the session's own is set only where none is named, as in tests.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            import tempfile
-
-            shared = os.path.join(tempfile.gettempdir(), "noticelake-checkpoints")
-        context.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.llm import bpe, chat, html_text, license_scan, pii, quality_zstd, token_count
+from noticelake.llm import bpe, chat, html_text, license_scan, neardup, pii, quality_zstd, token_count
 from noticelake.llm.common import table
 
 
@@ -44,8 +44,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat, op2_pii, op3_bpe, op4_license, op5_quality, op8_html, op9_token_counts)
+    for f in (op1_chat, op2_pii, op3_bpe, op4_license, op5_quality, op8_html, op9_token_counts, op10_neardup)
 }
 ORACLE_SQL: dict[str, str] = {}
