@@ -252,3 +252,23 @@ def bpe_report(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
         F.sha2("token_ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def with_tokens(docs: DataFrame, ids: str = "token_ids", count: str = "n_tokens", path: str | None = None, text_col: str = "text") -> DataFrame:
+    """``docs`` with its packed token ids and their number; fails on a text that does not decode to itself."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    shared = shared_vocabulary(spark, path or vocabulary_path())
+
+    @F.pandas_udf("binary")
+    def tokens(texts: pd.Series) -> pd.Series:
+        coder = _coder(shared.value)
+        out = []
+        for text in texts:
+            packed = coder.encode_packed(text)
+            if coder.decode_packed(packed) != text:
+                raise ValueError("a text is not restored by decoding")
+            out.append(packed)
+        return pd.Series(out, dtype=object)
+
+    return docs.withColumn(ids, tokens(whole_text(text_col))).withColumn(count, (F.octet_length(ids) / 4).cast("long"))

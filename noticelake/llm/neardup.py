@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noticelake.llm.common import bounded_batches, whole_text
+from noticelake.llm.common import bounded_batches, fresh, whole_text
 from noticelake.llm.components import components
 from noticelake.llm.scratch import stored
 
@@ -334,3 +334,21 @@ def near_duplicates(
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
+
+
+def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with their columns, that near_duplicates() keeps; equal rows stay once.
+
+    A document's group is known by its id, so only ids are joined; rows without an id stay.
+    """
+    (name,) = fresh(docs, "dropped")
+    found = near_duplicates(docs, size, percent, id_col, text_col)
+    dropped = found.filter("not kept").select(F.col("doc_id").alias(name)).distinct()
+    repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    kept = docs.join(dropped, F.col(id_col) == F.col(name), "left_anti")
+    # Rows of equal id are rare in a table of documents; only these are compared.
+    again = repeated.select(F.col("doc_id").alias(name))
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, F.col(id_col) == F.col(name), "left_anti")
+    return once.unionByName(kept.join(again, F.col(id_col) == F.col(name), "left_semi").dropDuplicates([id_col]))

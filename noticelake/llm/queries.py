@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.llm import bpe, chat, html_text, license_scan, neardup, pii, quality_zstd, token_count
+from noticelake.llm import (
+    bpe,
+    chat,
+    decontam,
+    html_text,
+    license_scan,
+    neardup,
+    pii,
+    quality_rules,
+    quality_zstd,
+    token_count,
+)
 from noticelake.llm.common import table
 
 
@@ -36,6 +47,15 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_zstd.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.quality_report(docs, quality_rules.trusted_texts(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
@@ -50,6 +70,17 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat, op2_pii, op3_bpe, op4_license, op5_quality, op8_html, op9_token_counts, op10_neardup)
+    for f in (
+        op1_chat,
+        op2_pii,
+        op3_bpe,
+        op4_license,
+        op5_quality,
+        op6_decontam,
+        op7_quality_rules,
+        op8_html,
+        op9_token_counts,
+        op10_neardup,
+    )
 }
 ORACLE_SQL: dict[str, str] = {}
