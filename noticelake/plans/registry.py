@@ -1,10 +1,10 @@
-"""All queries of the engine with the SQL that states the same result.
-
-A query module exposes ``QUERIES`` (name to callable) and ``ORACLE_SQL``.
-"""
+"""All queries of the engine with the SQL that states the same result."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from noticelake.plans import relational
+
+MODULES = (relational,)
+QUERIES: dict = {name: q for m in MODULES for name, q in m.QUERIES.items()}
+ORACLE_SQL: dict = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
 FLAGSHIP = "j04_unpushed_notices"
