@@ -39,7 +39,8 @@ def _forests(links: DataFrame) -> DataFrame:
                     low, high = min(a, b), max(a, b)
                     parent[high] = low
         stars = [(*root(x), *x) for x in parent if root(x) != x]
-        yield pd.DataFrame(stars, columns=["a_id", "a_set", "b_id", "b_set"])
+        if stars:
+            yield pd.DataFrame(stars, columns=["a_id", "a_set", "b_id", "b_set"])
 
     flat = links.select(
         F.col("a.id").alias("a_id"), F.col("a.set").alias("a_set"), F.col("b.id").alias("b_id"), F.col("b.set").alias("b_set")
