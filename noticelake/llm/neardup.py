@@ -226,6 +226,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
         return pd.Series(out, dtype=bool)
 
     copies = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("copies"))
+    texts = texts.hint("merge")  # the same plan at every size
     leaders = (
         copies.join(texts.withColumnRenamed("text", "a_text"), F.col("a.id") == F.col("doc_id"))
         .select("a", "a_text", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
@@ -260,7 +261,7 @@ def _rest(buckets: DataFrame, labels: DataFrame, texts: DataFrame, size: int, pe
         return pd.Series([shingle_hashes([words_of(t)], size)[0].view(np.int64) for t in batch], dtype=object)
 
     tokens = stored(
-        open_.join(texts, F.col("node.id") == F.col("doc_id"))
+        open_.join(texts.hint("merge"), F.col("node.id") == F.col("doc_id"))
         .select("node", "label", "n", "outside", hashes("text").alias("tokens"))
         .dropDuplicates(["node"])
         .select("node", "label", "n", "outside", F.explode("tokens").alias("token"))
@@ -316,6 +317,9 @@ def near_duplicates(
     weights = buckets.groupBy("node").agg(F.sum("members").alias("weight"))
     leaders = buckets.join(weights, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("a"))
     stars = buckets.join(leaders, "key").filter(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
+    # Whole texts are shuffled once; what follows reads only those of documents that share a bucket.
+    shared = buckets.select(F.col("node.id").alias("doc_id")).distinct().hint("merge")
+    texts = stored(texts.join(shared, "doc_id", "left_semi"))
     links = stored(confirmed(stored(stars), texts, size, percent))
     labels = components(links)
     more = _rest(buckets, labels, texts, size, percent)
