@@ -282,17 +282,22 @@ def _rest(buckets: DataFrame, labels: DataFrame, texts: DataFrame, size: int, pe
         .select("node", "label", "n", "outside", alone.alias("alone"), ranked.alias("pos", "t"))
         .select("node", "label", "n", "outside", (F.col("alone") + F.col("pos") + 1).alias("rank"), F.col("t.token").alias("token"))
     )
-    right = prefix.select("token", class_of(F.col("n")).alias("size"), F.col("node").alias("y"), F.col("label").alias("y_label"))
+    right = prefix.select(
+        "token", class_of(F.col("n")).alias("size"), F.col("node").alias("y"), F.col("label").alias("y_label"), F.col("n").alias("y_n"), F.col("rank").alias("y_rank")
+    )
     low, high = class_of(F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100))), class_of(F.floor(F.col("n") * 100 / percent))
+    overlap = lambda x, y: F.ceil((x + y) * percent / (100 + percent) - 1e-6)
     floor_of = F.greatest(F.lit(1), F.floor(F.exp(F.col("size") / SIZE_STEPS)))
-    need = F.ceil((F.col("n") + floor_of) * percent / (100 + percent) - 1e-6)
     left = (
         prefix.filter("outside = 1")
         .withColumn("size", F.explode(F.sequence(low, high)))
-        .filter(F.col("rank") <= F.col("n") - need + 1)
-        .select("token", "size", F.col("node").alias("x"), F.col("label").alias("x_label"))
+        .filter(F.col("rank") <= F.col("n") - overlap(F.col("n"), floor_of) + 1)
+        .select("token", "size", F.col("node").alias("x"), F.col("label").alias("x_label"), F.col("n").alias("x_n"), F.col("rank").alias("x_rank"))
     )
-    pairs = left.join(right, ["token", "size"]).filter(F.col("x_label") != F.col("y_label"))
+    need = overlap(F.col("x_n"), F.col("y_n"))
+    able = (F.col("x_rank") <= F.col("x_n") - need + 1) & (F.col("y_rank") <= F.col("y_n") - need + 1) & (need <= F.least("x_n", "y_n"))
+    both = left.join(right, (left["token"] == right["token"]) & (left["size"] == right["size"]) & (F.col("x_label") != F.col("y_label")) & able)
+    pairs = both.select("x", "y")
     return pairs.select(*_ordered(F.col("x"), F.col("y"))).distinct()
 
 
