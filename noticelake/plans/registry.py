@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from noticelake.plans import domain, events, relational
+from noticelake.plans import domain, events, more, relational
 
-MODULES = (relational, domain, events)
+MODULES = (relational, domain, events, more)
 QUERIES: dict = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLE_SQL: dict = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
 FLAGSHIP = "j04_unpushed_notices"
