@@ -83,4 +83,21 @@ QUERIES = {
         op10_neardup,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _written_chars(column: str) -> str:
+    """SQL for the length of an escaped string: one more for each backslash and each control string."""
+    marks = ("\\", "<s>", "</s>", "<SYS>", "</SYS>", "<<SYS>", "<</SYS>", "<|", "[INST]", "[/INST]")
+    more = (f"(length({column}) - length(replace({column}, '{m}', ''))) // {len(m)}" for m in marks)
+    return " + ".join((f"length({column})", *more))
+
+
+_FRAME = len(chat.TURN) + len(chat.TEXT) + len(chat.END)
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat": f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+ UNION ALL VALUES (-1, 0, 'user', '{HOSTILE}'), (-1, 1, 'assistant', '{HOSTILE}')),
+ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn, r, x) AS spoken,
+  coalesce(string_agg(x, '' ORDER BY turn, r, x) FILTER (r = 'assistant'), '') AS loss,
+  sum({_FRAME} + {_written_chars("r")} + {_written_chars("x")})::BIGINT AS formatted_chars FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(spoken) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g"""
+}
