@@ -46,6 +46,8 @@ SLOTS = 128
 ROWS = ((85, 5), (70, 4), (50, 3), (0, 2))
 #: Words that one step of the sketches holds, members that share a copy of a leader's text, classes of sizes per unit of ln(size).
 STEP_WORDS, SHARE, SIZE_STEPS = 400_000, 64, 50
+#: Ids that are broadcast; more are shuffled.
+BROADCAST_ROWS = 1_000_000
 _GOLDEN, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _FRACTION = 25
 _EMPTY = np.uint32(0xFFFFFFFF)
@@ -351,13 +353,14 @@ def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col:
     A document's group is known by its id, so only ids are joined; rows without an id stay.
     """
     (name,) = fresh(docs, "dropped")
-    found = near_duplicates(docs, size, percent, id_col, text_col)
-    dropped = found.filter("not kept").select(F.col("doc_id").alias(name)).distinct()
-    repeated = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    found = stored(near_duplicates(docs, size, percent, id_col, text_col).filter("doc_id is not null"))
+    bounded = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    dropped = bounded(found.filter("not kept").select(F.col("doc_id").alias(name)).distinct())
     kept = docs.join(dropped, F.col(id_col) == F.col(name), "left_anti")
     # Rows of equal id are rare in a table of documents; only these are compared.
-    again = repeated.select(F.col("doc_id").alias(name))
+    again = found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(name))
     if again.isEmpty():
         return kept
+    again = bounded(again)
     once = kept.join(again, F.col(id_col) == F.col(name), "left_anti")
     return once.unionByName(kept.join(again, F.col(id_col) == F.col(name), "left_semi").dropDuplicates([id_col]))
