@@ -145,3 +145,13 @@ def test_roles_and_grades(spark):
 def test_lenient_json(spark):
     texts = ['{"k": 1}', '```json\n{"k": 2,}\n```', 'note {"k": 3} end', "none", None]
     assert [x and x.k for x in column(spark, texts, lambda c: v.lenient_json(c, "k int"))] == [1, 2, 3, None, None]
+
+
+def test_cron():
+    from datetime import datetime as dt
+
+    from noticelake.functions.schedules import due
+
+    assert due("once:x", None, dt(2024, 1, 1)) and not due("0 9 * * *", None, dt(2024, 1, 1))
+    assert due("0 9 * * *", dt(2024, 1, 1, 8, 0), dt(2024, 1, 1, 9, 0)) and not due("0 9 * * *", dt(2024, 1, 1, 9, 0), dt(2024, 1, 1, 23, 0))
+    assert due("*/15 * * * 1-5", dt(2024, 1, 1, 8, 1), dt(2024, 1, 1, 8, 15)) and not due("0 0 1 2 *", dt(2024, 1, 1), dt(2024, 1, 31))
