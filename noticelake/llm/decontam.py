@@ -9,7 +9,8 @@ weighted Jaccard similarity of the shingle counts, at least ``PERCENT``.
 A window that can reach the similarity shares a shingle with its item. So only
 windows that line up with an item on a shared shingle are fingerprinted; they are
 found by a look-up of all shingles of all documents, which is broadcast while the
-items have no more than ``BROADCAST_ROWS`` shingles and shuffled beyond that.
+items have no more than ``BROADCAST_ROWS`` shingles and shuffled beyond that; the
+same holds for the keys of the texts whose windows are then cut out.
 
 Words are runs of letters and digits in lower case. An item of fewer than five words
 has itself as its only shingle. Equal texts are compared once.
@@ -96,24 +97,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     known = item_grams.select("size", "gram").distinct()
     if item_grams.count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
-    whole = docs.select(F.md5(text).alias("content"), plain_words(text).alias("words"))
-    listed = whole.select("content", F.array(*(F.struct(F.lit(k).alias("size"), grams(F.col("words"), k).alias("g")) for k in sizes)).alias("all"))
+    hashed = docs.select(F.md5(text).alias("content"), F.xxhash64(text).alias("key"), text.alias("text"))
+    whole = hashed.select("content", "key", plain_words(F.col("text")).alias("words"))
+    listed = whole.select("content", "key", F.array(*(F.struct(F.lit(k).alias("size"), grams(F.col("words"), k).alias("g")) for k in sizes)).alias("all"))
     if len(sizes) == 1:  # the usual case, without an array of arrays
-        listed = whole.select("content", F.lit(sizes[0]).alias("size"), grams(F.col("words"), sizes[0]).alias("g"))
+        listed = whole.select("content", "key", F.lit(sizes[0]).alias("size"), grams(F.col("words"), sizes[0]).alias("g"))
     elif sizes:
-        listed = listed.select("content", F.explode_outer("all").alias("one")).select("content", "one.size", "one.g")
+        listed = listed.select("content", "key", F.explode_outer("all").alias("one")).select("content", "key", "one.size", "one.g")
     else:
-        listed = whole.select("content", F.lit(SIZE).alias("size"), grams(F.col("words"), SIZE).alias("g"))
+        listed = whole.select("content", "key", F.lit(SIZE).alias("size"), grams(F.col("words"), SIZE).alias("g"))
     # The outer form: for the inner one Spark adds a filter on the array's size and computes the array anew for it.
-    placed = listed.select("content", "size", F.posexplode_outer("g").alias("pos", "gram"))
+    placed = listed.select("content", "key", "size", F.posexplode_outer("g").alias("pos", "gram"))
     hits = placed.join(known, ["size", "gram"], "left_semi").distinct()
     windows = (
         hits.join(item_grams, ["size", "gram"])
-        .select("content", "item_id", "size", "m", (F.col("pos") - F.col("item_pos")).alias("start"))
+        .select("content", "key", "item_id", "size", "m", (F.col("pos") - F.col("item_pos")).alias("start"))
         .distinct()
     )
     windows = stored(windows)
-    texts = whole.join(windows.select("content").distinct(), "content", "left_semi").dropDuplicates(["content"])
+    keys = windows.select("key").distinct()
+    if keys.count() <= BROADCAST_ROWS:  # then only the texts in question are shuffled
+        keys = F.broadcast(keys)
+    texts = hashed.join(keys, "key", "left_semi").dropDuplicates(["content"]).select("content", plain_words(F.col("text")).alias("words"))
     own = grams(F.col("words"), SIZE)
     for k in range(SIZE - 1, 0, -1):
         own = F.when(F.col("size") == k, grams(F.col("words"), k)).otherwise(own)
@@ -157,4 +162,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     """The rows of ``docs``, with their columns, whose text holds no benchmark passage."""
     (name,) = fresh(docs, "content")
     found = contaminated(docs, benchmark, text_col).select(F.col("content").alias(name)).distinct()
+    if found.count() <= BROADCAST_ROWS:  # then no text is shuffled
+        found = F.broadcast(found)
     return docs.withColumn(name, F.md5(whole_text(text_col))).join(found, name, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
