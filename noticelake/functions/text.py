@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from dataclasses import dataclass
 from functools import lru_cache
@@ -17,6 +18,10 @@ WIDE = "　" + "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 NARROW = " " + "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
 BLANKS = frozenset(" \t\r\f\v")
 
+#: What makes places move: other blanks than a single one between characters of a line.
+_MOVES = re.compile(r"[\t\r\f\v]|  |\A | \Z|\n | \n")
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+
 NORMALIZED = (
     T.StructType()
     .add("text", T.StringType())
@@ -70,7 +75,13 @@ class Normalized:
 
 
 def normalize(raw: str) -> Normalized:
-    """Fold each character, trim each line, make one blank of a run of blanks; keep line ends."""
+    """Fold each character, trim each line, make one blank of a run of blanks; keep line ends.
+
+    A text that only has capitals to fold keeps all its places and is not walked through.
+    """
+    if not _MOVES.search(raw) and unicodedata.is_normalized("NFKC", raw):
+        normal, places = raw.translate(_LOWER), list(range(len(raw)))
+        return Normalized(normal, places, places if normal == raw else [-1 if c == " " else i for i, c in enumerate(raw)])
     text, forward, blank = [], [], -1  # blank: where a run of blanks inside a line began
     for at, char in enumerate(raw):
         for c in _folded(char):

@@ -40,6 +40,11 @@ CATEGORIES = (
 NOTICE_KINDS = ("tender", "award", "correction", "cancellation", "cancel")
 
 
+def bound(value: Column, make) -> Column:
+    """``make`` of a value that is computed once, however often the result names it."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
 def _scale(unit: Column) -> Column:
     return F.when(F.contains(unit, F.lit("亿")), 1e8).when(F.contains(unit, F.lit("万")), 1e4).otherwise(1.0)
 
@@ -49,18 +54,23 @@ def validate_amount(raw: Column, expected: str = "CNY") -> Column:
     text = F.trim(F.regexp_replace(F.trim(raw), AMOUNT_PREFIX, ""))
     text = F.regexp_replace(text, "\\s*（\\s*(万元|亿元|元|万|亿)\\s*）\\s*$", "$1")
     text = F.trim(F.regexp_replace(text, "（[^）]*）$", ""))
-    number = F.replace(F.regexp_extract(text, AMOUNT, 2), F.lit(","), F.lit("")).try_cast("double")
-    value = number * _scale(F.regexp_extract(text, AMOUNT, 3))
-    sign = F.regexp_extract(text, AMOUNT, 1)
-    currency = F.coalesce(*(F.when(sign == k, F.lit(v)) for k, v in CURRENCIES.items()), F.lit(expected))
-    valid = F.coalesce(text.rlike(AMOUNT), F.lit(False)) & number.isNotNull()
-    shown = (
-        F.when(value >= 1e8, F.format_string("%.2f亿元", value / 1e8))
-        .when(value >= 1e4, F.format_string("%.2f万元", value / 1e4))
-        .otherwise(F.format_string("%.2f元", value))
-    )
-    when = lambda c: F.when(valid, c)
-    return F.struct(valid.alias("valid"), when(value).alias("value"), when(shown).alias("normalized"), when(currency).alias("currency"), when(number == 0).alias("zero"))
+    part = lambda t, i: F.regexp_extract(t, AMOUNT, i)
+
+    def parsed(t: Column) -> Column:
+        number = F.replace(part(t, 2), F.lit(","), F.lit("")).try_cast("double")
+        return F.struct(number.alias("number"), (number * _scale(part(t, 3))).alias("value"), part(t, 1).alias("sign"))
+
+    def told(p: Column) -> Column:
+        value, currency = p["value"], F.coalesce(*(F.when(p["sign"] == k, F.lit(v)) for k, v in CURRENCIES.items()), F.lit(expected))
+        valid = p["number"].isNotNull()
+        shown = (
+            F.when(value >= 1e8, F.format_string("%.2f亿元", value / 1e8))
+            .when(value >= 1e4, F.format_string("%.2f万元", value / 1e4))
+            .when(valid, F.format_string("%.2f元", value))
+        )
+        return F.struct(valid.alias("valid"), value.alias("value"), shown.alias("normalized"), F.when(valid, currency).alias("currency"), (p["number"] == 0).alias("zero"))
+
+    return bound(bound(F.coalesce(text, F.lit("")), parsed), told)
 
 
 def lots_verdict(total: Column, lots: Column) -> Column:
@@ -96,14 +106,21 @@ def validate_date(raw: Column) -> Column:
     text = F.trim(raw)
     for _ in range(3):  # nested notes
         text = F.trim(F.regexp_replace(text, "[（(][^（）()]*[）)]", ""))
-    part = lambda i: F.coalesce(*(F.nullif(F.regexp_extract(text, p, i), F.lit("")) for p in DATES)).try_cast("int")
-    year, month, day = part(1), part(2), part(3)
-    hour, minute = F.coalesce(part(4), part(6)), F.coalesce(part(5), part(7))
-    longest = F.when(month == 2, 29).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
-    valid = F.coalesce(month.between(1, 12) & (day >= 1) & (day <= longest) & year.isNotNull(), F.lit(False))
-    date = F.format_string("%04d-%02d-%02d", year, month, day)
-    shown = F.when(hour.isNotNull() & minute.isNotNull(), F.concat(date, F.format_string(" %02d:%02d", hour, minute))).otherwise(date)
-    return F.struct(valid.alias("valid"), F.when(valid, shown).alias("normalized"))
+
+    def parsed(t: Column) -> Column:
+        part = lambda i: F.coalesce(*(F.nullif(F.regexp_extract(t, p, i), F.lit("")) for p in DATES)).try_cast("int")
+        hour, minute = F.coalesce(part(4), part(6)), F.coalesce(part(5), part(7))
+        return F.struct(part(1).alias("year"), part(2).alias("month"), part(3).alias("day"), hour.alias("hour"), minute.alias("minute"))
+
+    def told(p: Column) -> Column:
+        year, month, day, hour, minute = (p[n] for n in ("year", "month", "day", "hour", "minute"))
+        longest = F.when(month == 2, 29).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
+        valid = F.coalesce(month.between(1, 12) & (day >= 1) & (day <= longest) & year.isNotNull(), F.lit(False))
+        date = F.format_string("%04d-%02d-%02d", year, month, day)
+        shown = F.when(hour.isNotNull() & minute.isNotNull(), F.concat(date, F.format_string(" %02d:%02d", hour, minute))).otherwise(date)
+        return F.struct(valid.alias("valid"), F.when(valid, shown).alias("normalized"))
+
+    return bound(bound(F.coalesce(text, F.lit("")), parsed), told)
 
 
 def validate_identifier(raw: Column) -> Column:

@@ -11,7 +11,7 @@ from noticelake.operators import evidence as ev
 from noticelake.operators import facts, lineage, metrics, signals, simhash, versions
 from noticelake.operators import filters as f
 from noticelake.plans.relational import HOST_SQL
-from noticelake.sources.tables import AWARDS_SQL, NOTICES_SQL, awards, notices, table
+from noticelake.sources.tables import AWARDS_SQL, NOTICES_SQL, awards, notices, spread, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -38,7 +38,7 @@ def n00_text_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def n01_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised texts with the sizes of their maps."""
-    done = table(spark, sf_dir, "documents").select("doc_id", tx.normalize_text()("text").alias("n"))
+    done = spread(table(spark, sf_dir, "documents")).select("doc_id", tx.normalize_text()("text").alias("n"))
     return done.select("doc_id", F.sha2("n.text", 256).alias("text_sha256"), F.size("n.forward").alias("n_forward"), F.size("n.reverse").alias("n_reverse"))
 
 
@@ -112,27 +112,27 @@ SIMHASH_SQL = """t AS (SELECT doc_id, regexp_replace(text, '[ \\t\\n\\r\\f\\v]+'
 @query(f"""WITH {SIMHASH_SQL} SELECT doc_id, lower(printf('%016x', fp)) AS simhash FROM f""")
 def n11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints by the pandas function; its twin in Spark functions is held equal in tests."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", simhash.simhash_column()("text").alias("h"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", simhash.simhash_column()("text").alias("h"))
     return docs.select("doc_id", F.lower(F.lpad(F.hex("h"), 16, "0")).alias("simhash"))
 
 
 @query(f"""WITH {SIMHASH_SQL} SELECT a.doc_id AS a, b.doc_id AS b, CAST(bit_count(xor(a.fp, b.fp)::UBIGINT::HUGEINT) AS INT) AS distance
 FROM f a JOIN f b ON a.doc_id < b.doc_id AND bit_count(xor(a.fp, b.fp)::UBIGINT::HUGEINT) <= 3 WHERE a.fp <> 0 AND b.fp <> 0""")
 def j06_simhash_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), simhash.simhash_column()("text").alias("simhash"))
+    docs = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), simhash.simhash_column()("text").alias("simhash"))
     return simhash.near_pairs(docs, docs).filter("a < b")
 
 
 @query()
 def d01_ingest_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even documents come in against odd ones that are known."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("url"), simhash.simhash_column()("text").alias("simhash"))
+    docs = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("url"), simhash.simhash_column()("text").alias("simhash"))
     return simhash.ingest_verdict(docs.filter("id % 2 = 0"), docs.filter("id % 2 = 1"))
 
 
 @query()
 def d02_greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), simhash.simhash_column()("text").alias("simhash"))
+    docs = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), simhash.simhash_column()("text").alias("simhash"))
     return simhash.keep_first(docs)
 
 
@@ -165,7 +165,7 @@ def e10_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def e06_cascade_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The title-cased start of each text, without its blanks, found again in it at some level."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     quote = F.replace(F.substring(F.lower("text"), 20, 40), F.lit(" "), F.lit(""))
     found = docs.select("doc_id", ev.locate_column()("text", quote).alias("l"))
     return found.select("doc_id", "l.found", "l.level", "l.start", "l.end", "l.confidence", "l.support_level")
@@ -187,14 +187,14 @@ def j11_span_iou_match(spark: SparkSession, sf_dir: str) -> DataFrame:
  UNION ALL SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[0-9]{3,4}-?[0-9]{7,8}'))), 'phone' FROM documents)
 SELECT doc_id, category, value FROM f""")
 def p23_fact_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(facts.facts(F.col("text"))).alias("f"))
+    found = spread(table(spark, sf_dir, "documents")).select("doc_id", F.explode_outer(facts.facts(F.col("text"))).alias("f"))
     return found.select("doc_id", "f.category", "f.value").filter(F.col("category").isin("mail", "share", "phone"))
 
 
 @query()
 def p26_content_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of each document against the text with its digits changed by one rule."""
-    docs = table(spark, sf_dir, "documents").withColumn("source_text", F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.translate("text", "3", "4")))
+    docs = spread(table(spark, sf_dir, "documents")).withColumn("source_text", F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.translate("text", "3", "4")))
     return facts.check(docs, "doc_id", "text", "source_text")
 
 

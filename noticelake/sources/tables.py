@@ -33,6 +33,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where a small input has fewer partitions; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, purchaser, location, region, publish_time, budget, platform, notice_type."""
     kind = F.create_map(*(F.lit(x) for pair in NOTICE_TYPES.items() for x in pair))
