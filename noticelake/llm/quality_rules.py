@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from noticelake.llm.common import whole_text, words
 
 BUCKETS, SMOOTHING, THRESHOLD = 16_384, 0.5, -0.07
+#: Ids of trusted texts that are broadcast; more are shuffled.
+BROADCAST_ROWS = 1_000_000
 #: The base rules: fewest words, and the largest percentage of words in repeated windows.
 MIN_WORDS, MAX_REPEATED, WINDOW = 50, 50, 3
 
@@ -127,4 +129,6 @@ def quality_report(
 def trusted_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows of ``docs`` that ``labels`` marks as good."""
     good = labels.filter("quality = 1").select(F.col(id_col).alias("doc_id")).distinct()
+    if good.count() <= BROADCAST_ROWS:  # then no text is shuffled; beyond it each text is, once
+        good = F.broadcast(good)
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(good, "doc_id", "left_semi")
