@@ -30,7 +30,7 @@ from noticelake.llm.common import bounded_batches, whole_text
 #: The pattern that cuts a text into pre-tokens (fixed value of this family).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens that a worker remembers, and the longest that it does.
-CACHE_ENTRIES, CACHE_CHARS = 500_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 200_000, 48
 #: Up to here the pattern's classes agree with the library's; later characters are tried out.
 SURE = 0x557
 NEVER = 1 << 30

@@ -45,7 +45,7 @@ SIZE, PERCENT = 3, 85
 SLOTS = 128
 ROWS = ((85, 5), (70, 4), (50, 3), (0, 2))
 #: Words that one step of the sketches holds, members that share a copy of a leader's text, classes of sizes per unit of ln(size).
-STEP_WORDS, SHARE, SIZE_STEPS = 400_000, 64, 50
+STEP_WORDS, SHARE, SIZE_STEPS = 200_000, 64, 50
 #: Ids that are broadcast; more are shuffled.
 BROADCAST_ROWS = 1_000_000
 _GOLDEN, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -77,7 +77,7 @@ class _WordHashes(dict):
     """Hashes of words, made when missing, within a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
