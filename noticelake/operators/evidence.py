@@ -160,6 +160,14 @@ def occurrences(text: Column, quote: Column, most: int = 20) -> Column:
     return F.when((F.length(quote) > 0) & (count > 0), F.transform(F.sequence(F.lit(1), count), before)).otherwise(none)
 
 
+def overlapping_occurrences(text: Column, quote: str) -> Column:
+    """Number of places of a quote in the whole text, overlapping ones too; 0 for a null text or an empty quote."""
+    if not quote:
+        return F.lit(0)
+    escaped = "".join(f"\\x{{{ord(c):x}}}" for c in quote)
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"(?={escaped})"))
+
+
 def slice_agrees(text: Column, start: Column, end: Column, quote: Column) -> Column:
     """Whether the slice is the quote, up to blanks at its ends; out-of-range slices are not."""
     piece = F.substring(text, start + 1, end - start)
