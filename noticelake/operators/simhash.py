@@ -110,20 +110,19 @@ def ingest_verdict(new: DataFrame, known: DataFrame, within_batch: bool = True)
     return verdict.join(near, "id", "left").select("id", kind.alias("verdict"))
 
 
-def keep_first(rows: DataFrame, rounds: int = 50) -> DataFrame:
+def keep_first(rows: DataFrame) -> DataFrame:
     """(id, kept) in order of id: a row is dropped if an earlier kept row is within the radius.
 
     Not a transitive closure. Equal fingerprints keep their first row; the rest is settled in rounds: a
     fingerprint stays once all earlier neighbours are dropped, and is dropped once an earlier neighbour stays.
+    Each round settles at least the first open fingerprint of every component, so the rounds end when none is open.
     """
     from noticelake.sources.scratch import stored
 
     once = rows.filter("simhash <> 0").groupBy("simhash").agg(F.min("id").alias("id"))
     edges = stored(near_pairs(once, once).filter("a > b").select(F.col("a").alias("id"), F.col("b").alias("earlier")))
     state = stored(once.select("id").join(edges.select("id").distinct().withColumn("open", F.lit(True)), "id", "left").select("id", F.when(F.col("open"), F.lit(None)).otherwise(F.lit(True)).cast("boolean").alias("kept")))
-    for _ in range(rounds):
-        if state.filter("kept is null").isEmpty():
-            break
+    while not state.filter("kept is null").isEmpty():
         of = edges.join(state.select(F.col("id").alias("earlier"), F.col("kept").alias("e")), "earlier")
         seen = of.groupBy("id").agg(F.bool_or(F.coalesce("e", F.lit(False))).alias("hit"), F.bool_and(F.coalesce(~F.col("e"), F.lit(False))).alias("free"))
         next_ = F.when(F.col("hit"), F.lit(False)).when(F.col("free"), F.lit(True))
