@@ -6,8 +6,11 @@ containers hint at page furniture or at an article. A decision tree, trained on
 small labelled table below, tells main text from the rest.
 
 Defined results: null or empty html gives an empty text; unclosed tags end where
-their container does; a "<" that begins no tag is text; character references are
-decoded once; white space inside a block becomes one blank; blocks without words
+their container does; a skipped element that neither ends nor has a container that
+does loses its tag only, not the rest of the page; of a head only the elements that
+are skipped anyway are, so that it needs no end; scripts and the like are read raw,
+inside skipped elements too; a "<" that begins no tag is text; character references
+are decoded once; white space inside a block becomes one blank; blocks without words
 vanish; repeated rows give repeated results; other columns are not read. A page is
 read in one pass, whatever its length.
 """
@@ -15,6 +18,7 @@ read in one pass, whatever its length.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
 from html import unescape
@@ -34,9 +38,12 @@ BLOCKS = frozenset(
     " search section summary table tbody td tfoot th thead title tr ul".split()
 )
 #: Elements whose content is never text of a page.
-SKIPPED = frozenset("script style noscript template iframe object select textarea button svg math head title".split())
+SKIPPED = frozenset("script style noscript template iframe object select textarea button svg math title".split())
 #: Elements whose content holds no tags.
 RAW = frozenset("script style textarea title iframe noscript".split())
+#: Skipped elements that a block ends unless it stands in one of their inner HTML parts, and those that do not nest.
+FOREIGN, HTML_PARTS = frozenset(("svg", "math")), frozenset(("foreignobject", "desc", "annotation-xml"))
+FLAT = frozenset(("button", "select"))
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CONTAINERS = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header main menu nav ol section table ul".split())
@@ -109,30 +116,47 @@ def _hints(name: str, attributes: str, inside: tuple[str, bool, bool]) -> tuple[
 def flat_blocks(html: str) -> list[Block]:
     """The text blocks of a page in order."""
     state, at, skipping = _State(), 0, ""
-    depth = 0
-    for m in _TOKEN.finditer(html):
-        if m.start() < at:
+    depth, start, never = 0, 0, set()
+    opened: Counter = Counter()  # blocks open outside of what is skipped
+    within: Counter = Counter()  # blocks open in what is skipped
+    while True:
+        m = _TOKEN.search(html, at)
+        if m is None:
+            if not skipping:
+                break
+            never.add(skipping)
+            at, skipping = start, ""
             continue
         if not skipping and m.start() > at:
             state.text(html[at : m.start()])
         at = m.end()
         if not m[2]:
             continue
-        name, closing = m[2].lower(), bool(m[1])
+        name, closing, single = m[2].lower(), bool(m[1]), m[3].endswith("/")
+        if name in RAW and not closing:
+            if name in BLOCKS and not skipping:
+                state.end_block()
+            end = re.compile(rf"</{name}\s*>|</{name}\s", re.I).search(html, at)
+            if skipping not in FOREIGN or end is not None and not single:
+                at = len(html) if end is None else html.find(">", end.start()) + 1 or len(html)
+            continue
         if skipping:
             if name == skipping:
-                depth += -1 if closing else not m[3].endswith("/")
+                depth += -1 if closing else name not in FLAT and not single
                 if depth == 0:
                     skipping = ""
-            continue
+                continue
+            if closing and (within[name] or name not in BLOCKS or not opened[name]):
+                within[name] -= within[name] > 0
+                continue
+            if not closing and (skipping not in FOREIGN or name not in BLOCKS or any(within[x] for x in HTML_PARTS)):
+                within[name] += (name in BLOCKS or name in HTML_PARTS) and name not in VOID and not (single and name in HTML_PARTS)
+                continue
+            skipping = ""
         if name in SKIPPED and not closing:
-            if name in BLOCKS:
-                state.end_block()
-            if name in RAW:
-                end = re.compile(rf"</{name}\s*>|</{name}\s", re.I).search(html, at)
-                at = len(html) if end is None else html.find(">", end.start()) + 1 or len(html)
-            elif not m[3].endswith("/"):
-                skipping, depth = name, 1
+            if not single and name not in never:
+                skipping, depth, start = name, 1, at
+                within.clear()
             continue
         if name == "a":
             state.in_link = not closing
@@ -140,6 +164,7 @@ def flat_blocks(html: str) -> list[Block]:
             state.text("\n")
         elif name in BLOCKS:
             state.end_block()
+            opened[name] += -(opened[name] > 0) if closing else name not in VOID
             state.heading = name in HEADINGS and not closing
             if name in CONTAINERS:
                 state.in_link = False
@@ -151,7 +176,7 @@ def flat_blocks(html: str) -> list[Block]:
                 elif name not in VOID:
                     inside = state.open[-1] if state.open else ("", False, False)
                     state.open.append((name, *_hints(name, m[3], inside)))
-    if not skipping and at < len(html):
+    if at < len(html):
         state.text(html[at:])
     state.end_block()
     return state.blocks
