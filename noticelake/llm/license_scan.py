@@ -5,16 +5,21 @@ licence families apart, with a class of its own for what is no licence text. It
 trained on the templates below: on their sentences, on windows of their words, on
 variants with words left out, and, for the unknown class, on paragraphs made from
 the same words in another order. Its probabilities are calibrated by a temperature
-fitted on variants that it was not trained on. A prediction counts only when the
-paragraph also agrees with a template of that family: ``TEMPLATE_SHARE`` of the
-template's word pairs, or a whole short phrase, must stand in the paragraph.
+fitted on variants that it was not trained on. A prediction counts only for a window
+of words that agrees with a template of that family: a template phrase stands in it
+whole, or ``TEMPLATE_SHARE`` of the template's word pairs, one of them in no other
+family's templates, stand in a window of at most ``SPREAD`` times its length.
 
-A paragraph is a line. Lines without any of the ``ANCHORS`` cannot agree with a
-template, since every template phrase holds one, so they are passed over unread.
+A paragraph is a run of lines with other characters than white space, read over its
+line ends; every window of its words counts, so that a text may be wrapped, or stand
+in a long line. A window is no share of a template where its word pairs belong to a
+whole phrase of another family. Each family that stands in a paragraph is reported, with the line where
+its most probable window begins; overlapping windows of a family are one place. Paragraphs without any of the ``ANCHORS`` cannot agree with a
+template, since no phrase, nor the share of one, is without, so they are passed over.
 
 Defined results: a null or empty text has no licences; repeated rows give repeated
-results; families of equal probability are in order of name; other columns pass
-through. Lines are read whole.
+results; a family counts once a line; results are in order of line and name; other
+columns pass through. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -22,6 +27,8 @@ from __future__ import annotations
 import random
 import re
 import zlib
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -73,12 +80,14 @@ TEMPLATES = {
 }
 UNKNOWN = "unknown"
 FAMILIES = (*sorted(TEMPLATES), UNKNOWN)
-ANCHORS = ("licen", "copyright", "hereby granted", "cc by", "cc0", "rights reserved", "redistribute")
+ANCHORS = ("licen", "copyright", "hereby granted", "cc by", "cc0", "rights reserved", "redistribut", "person obtaining", "deal in")
+#: Words of a window, for each word of a template whose share it holds.
+SPREAD = 2
 #: Slots of the hashed n-grams, the least calibrated probability, and the share of a long template that must stand in a paragraph.
 SLOTS, MIN_PROBABILITY, TEMPLATE_SHARE, PHRASE_WORDS = 1 << 13, 0.5, 0.6, 12
 VARIANTS, STEPS, SEED = 12, 150, 20240101
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)?")
-_ANCHOR = re.compile("|".join(sorted(re.escape(a).replace(r"\ ", "[ -]") for a in ANCHORS)), re.I)
+_ANCHOR = re.compile("|".join(sorted(re.escape(a).replace(r"\ ", "[^a-z0-9]+") for a in ANCHORS)), re.I)
 RESULT = T.ArrayType(
     T.StructType().add("line", T.IntegerType()).add("family", T.StringType()).add("probability", T.DoubleType())
 )
@@ -170,23 +179,116 @@ def agrees(words: list[str], family: str) -> bool:
     return False
 
 
+@lru_cache(maxsize=1)
+def _templates() -> tuple[list[tuple[str, str, dict]], dict]:
+    """(family, phrase, {pair: whether no other family has it}) of each template, and the templates of each pair."""
+    every = [(f, phrase, own) for f, listed in _template_pairs().items() for phrase, own in listed]
+    owners: dict = {}
+    for f, _, own in every:
+        for pair in own:
+            owners.setdefault(pair, set()).add(f)
+    all_ = [(f, phrase, {pair: len(owners[pair]) == 1 for pair in own}) for f, phrase, own in every]
+    by_pair: dict = {}
+    for k, (_, _, own) in enumerate(all_):
+        for pair in own:
+            by_pair.setdefault(pair, []).append(k)
+    return all_, by_pair
+
+
+def windows(words: list[str]) -> list[tuple[int, int, str]]:
+    """(first word, end, family) of the windows of a paragraph that agree with a template."""
+    templates, by_pair = _templates()
+    text, found = f" {' '.join(words)} ", []
+    whole: dict[int, set] = {}
+    for family, phrase, _ in templates:
+        n, at = phrase.count(" ") + 1, text.find(f" {phrase} ")
+        first, counted = 0, 0
+        while at >= 0:
+            first += text.count(" ", counted, at)
+            counted = at
+            found.append((first, first + n, family))
+            for i in range(first, first + n - 1):
+                whole.setdefault(i, set()).add(family)
+            at = text.find(f" {phrase} ", at + 1)
+    places: dict[int, list[int]] = {}
+    taken: dict[int, list[int]] = {}
+    for i, pair in enumerate(zip(words, words[1:], strict=False)):
+        for k in by_pair.get(pair, ()):
+            (places if i not in whole or whole[i] == {templates[k][0]} else taken).setdefault(k, []).append(i)
+    for k, listed in places.items():
+        family, phrase, own = templates[k]
+        least, width = TEMPLATE_SHARE * len(own), SPREAD * (phrase.count(" ") + 1)
+        if len(listed) < least:
+            continue
+        seen, low, best, chosen = Counter(), 0, None, []
+        for high, i in enumerate(listed):
+            seen[words[i], words[i + 1]] += 1
+            while i - listed[low] > width - 2:
+                left = words[listed[low]], words[listed[low] + 1]
+                seen[left] -= 1
+                if not seen[left]:
+                    del seen[left]
+                low += 1
+            if best and listed[low] > best[2]:
+                chosen.append(best)
+                best = None
+            if len(seen) >= least and any(own[x] for x in seen) and (best is None or len(seen) > best[0]):
+                best = (len(seen), listed[low], i)
+        if best:
+            chosen.append(best)
+        others = taken.get(k, [])
+        for _, a, b in chosen:
+            lost = others[bisect_left(others, a) : bisect_right(others, b)]
+            if lost:
+                own_pairs = {(words[i], words[i + 1]) for i in listed[bisect_left(listed, a) : bisect_right(listed, b)]}
+                if any((words[i], words[i + 1]) not in own_pairs for i in lost):
+                    continue
+            found.append((a, b + 2, family))
+    return found
+
+
+def paragraphs(text: str) -> list[tuple[int, list[str]]]:
+    """(number of its first line, lines) of each run of lines that are not blank."""
+    out, run = [], []
+    for i, line in enumerate(text.split("\n")):
+        if line and not line.isspace():
+            run.append(line)
+        elif run:
+            out.append((i - len(run), run))
+            run = []
+    if run:
+        out.append((i + 1 - len(run), run))
+    return out
+
+
 def scan(text: str, trained: tuple[np.ndarray, float] | None = None) -> list[tuple[int, str, float]]:
-    """(line, family, probability) of each line that declares a licence."""
+    """(line, family, probability) of each place that declares a licence."""
     if not _ANCHOR.search(text):
         return []
-    found = []
-    for i, line in enumerate(text.split("\n")):
-        if not _ANCHOR.search(line):
+    found: dict[tuple[int, str], float] = {}
+    for first, lines in paragraphs(text):
+        if not _ANCHOR.search("\n".join(lines)):
             continue
-        words = line_words(line)
-        p = probabilities(words, trained)
-        for k in np.argsort(-p, kind="stable"):
-            if FAMILIES[k] == UNKNOWN or p[k] < MIN_PROBABILITY:
-                break
-            if agrees(words, FAMILIES[k]):
-                found.append((i, FAMILIES[k], float(p[k])))
-                break
-    return found
+        parts = [line_words(line) for line in lines]
+        words = [w for part in parts for w in part]
+        line_of = [first + i for i, part in enumerate(parts) for _ in part]
+        sure, places = [], []
+        for a, b, family in {*windows(words)}:
+            p = float(probabilities(words[a:b], trained)[FAMILIES.index(family)])
+            if p >= MIN_PROBABILITY:
+                sure.append((family, a, b, p))
+        last: tuple = ("", 0, 0.0, 0)
+        for family, a, b, p in sorted(sure):  # overlapping windows of a family are one place, where the most probable begins
+            end, best, at = (last[1], last[2], last[3]) if family == last[0] and a < last[1] else (b, -1.0, a)
+            if family != last[0] or a >= last[1]:
+                places.append(last)
+            last = (family, max(end, b), max(best, p), a if p > best else at)
+        places.append(last)
+        for family, _, p, at in places:
+            if family:
+                key = line_of[at], family
+                found[key] = max(found.get(key, 0.0), p)
+    return [(line, family, p) for (line, family), p in sorted(found.items())]
 
 
 def license_lines(docs: DataFrame, text_col: str = "text", out: str = "licenses") -> DataFrame:
@@ -209,7 +311,7 @@ def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return found.select(
         F.col(id_col).alias("doc_id"),
         F.array_join(F.array_sort(F.array_distinct(F.transform(name, lambda s: s["family"]))), ",").alias("families"),
-        F.size(name).cast("long").alias("n_license_lines"),
+        F.size(F.array_distinct(F.transform(name, lambda s: s["line"]))).cast("long").alias("n_license_lines"),
         F.coalesce(F.try_element_at(best, F.lit(1))["family"], F.lit(UNKNOWN)).alias("family"),
         F.array_join(F.transform(name, lambda s: F.concat_ws(":", s["line"].cast("string"), s["family"])), ",").alias("lines"),
     )
