@@ -17,7 +17,10 @@ has itself as its only shingle. Equal texts are compared once.
 
 Defined results: null or empty texts and items have no words and match nothing;
 repeated rows of documents give repeated rows of pairs, repeated items count once;
-rows without a doc_id are reported with a null one; a window over the edge of a
+an item is its id and its words, so that an id with several texts is searched by all
+of them and reported once a document with its best window, and an item without an id
+is searched too and reported with a null one; rows without a doc_id are reported with
+a null one; a window over the edge of a
 document is cut off there; other columns pass through the filter untouched.
 """
 
@@ -74,15 +77,20 @@ def shared_weight(a: Column, b: Column) -> Column:
     return F.aggregate(F.array_distinct(F.array_intersect(a, b)), F.lit(0), lambda s, g: s + F.least(count(a, g), count(b, g)))
 
 
+def _item_key(item_id: Column, listed: Column) -> Column:
+    """Key of an id, null or not, and words (which hold no blanks)."""
+    return F.sha2(F.concat(F.when(item_id.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.hex(item_id.cast("string")))), F.lit(" "), F.array_join(listed, " ")), 256)
+
+
 def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """(item_id, size, item_grams) of all items that have words."""
+    """(item, item_id, size, item_grams) of all items that have words; ``item`` is a key of the id and the words."""
     listed = benchmark.select(F.col(item_col).alias("item_id"), plain_words(whole_text(text_col)).alias("words"))
-    listed = listed.filter((F.size("words") > 0) & F.col("item_id").isNotNull()).distinct()
+    listed = listed.filter(F.size("words") > 0).withColumn("item", _item_key(F.col("item_id"), F.col("words")))
     size = F.least(F.size("words"), F.lit(SIZE)).alias("size")
     own = grams(F.col("words"), SIZE)
     for k in range(SIZE - 1, 0, -1):
         own = F.when(F.size("words") == k, grams(F.col("words"), k)).otherwise(own)
-    return stored(listed.select("item_id", size, own.alias("item_grams")).dropDuplicates(["item_id"]))
+    return stored(listed.select("item", "item_id", size, own.alias("item_grams")).dropDuplicates(["item"]))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -93,7 +101,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     text = whole_text(text_col)
     items = _items(benchmark, item_col, "text")
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # five values at most
-    item_grams = stored(items.select("item_id", "size", F.size("item_grams").alias("m"), F.posexplode("item_grams").alias("item_pos", "gram")))
+    item_grams = stored(items.select("item", "size", F.size("item_grams").alias("m"), F.posexplode("item_grams").alias("item_pos", "gram")))
     known = item_grams.select("size", "gram").distinct()
     if item_grams.count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
@@ -111,7 +119,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     hits = placed.join(known, ["size", "gram"], "left_semi").distinct()
     windows = (
         hits.join(item_grams, ["size", "gram"])
-        .select("content", "key", "item_id", "size", "m", (F.col("pos") - F.col("item_pos")).alias("start"))
+        .select("content", "key", "item", "size", "m", (F.col("pos") - F.col("item_pos")).alias("start"))
         .distinct()
     )
     windows = stored(windows)
@@ -126,21 +134,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     first = F.greatest(F.col("start"), F.lit(0))
     length = F.least(F.col("start") + F.col("m"), F.size("g")) - first
     cut = windows.join(by_size, ["content", "size"]).select(
-        "content", "item_id", "start", F.slice("g", first + 1, F.greatest(F.lit(0), length)).alias("window_grams")
+        "content", "item", "start", F.slice("g", first + 1, F.greatest(F.lit(0), length)).alias("window_grams")
     )
     cut = stored(cut.filter(F.size("window_grams") > 0).withColumn("print", fingerprint(F.col("window_grams"))))
-    items = stored(items.select("item_id", "item_grams", fingerprint(F.col("item_grams")).alias("item_print")))
+    items = stored(items.select("item", "item_id", "item_grams", fingerprint(F.col("item_grams")).alias("item_print")))
 
     # The items' share of this join has RADIUS + 1 rows an item and no shingles.
-    blocked = cut.select("content", "item_id", "start", "print", F.explode(blocks(F.col("print"))).alias("b"))
-    against = items.select("item_id", "item_print", F.explode(blocks(F.col("item_print"))).alias("b"))
+    blocked = cut.select("content", "item", "start", "print", F.explode(blocks(F.col("print"))).alias("b"))
+    against = items.select("item", "item_print", F.explode(blocks(F.col("item_print"))).alias("b"))
     near = (
-        blocked.join(against, ["item_id", "b"])
+        blocked.join(against, ["item", "b"])
         .filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
-        .select("content", "item_id", "start")
+        .select("content", "item", "start")
         .distinct()
     )
-    pairs = cut.join(near, ["content", "item_id", "start"]).join(items.select("item_id", "item_grams"), "item_id")
+    pairs = cut.join(near, ["content", "item", "start"]).join(items.select("item", "item_id", "item_grams"), "item")
     shared = shared_weight(F.col("window_grams"), F.col("item_grams"))
     pairs = pairs.select("content", "item_id", "start", shared.alias("shared"), (F.size("window_grams") + F.size("item_grams")).alias("both"))
     similarity = F.col("shared") / (F.col("both") - F.col("shared"))
