@@ -152,10 +152,6 @@ def test_decontamination_of_the_table(spark, docs):
     assert inside <= got and len(got) <= len(inside) + 1
 
 
-def test_blocks_hold_every_fingerprint_within_the_radius():
-    edges = [decontam.BITS * i // (decontam.RADIUS + 1) for i in range(decontam.RADIUS + 2)]
-    assert edges[0] == 0 and edges[-1] == 64 and len({*edges}) == decontam.RADIUS + 2
-
 
 # ---- operator 10
 
