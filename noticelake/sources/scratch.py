@@ -1,21 +1,47 @@
-"""Intermediate tables of iterative operators, in the shared folder that spark.checkpoint.dir names."""
+"""Intermediate tables of operators, in the shared folder that spark.checkpoint.dir names."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share.
+
+    Where none is named, a temporary one serves a driver that runs its own tasks, as in tests; on a cluster that is an error.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="noticelake-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
+def _tables(spark: SparkSession) -> str:
+    return os.path.join(shared_dir(spark), f"tables-{spark.sparkContext.applicationId}")
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet and read again, so that its lineage ends; a folder of our own only where none is set."""
+    """``df`` written as Parquet to the shared folder and read again, so that its lineage ends.
+
+    A lost executor then costs no more than the tasks that it ran. The tables of an application stay until ``clear``.
+    """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="noticelake-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = os.path.join(folder, f"table-{uuid4().hex}")
+    path = os.path.join(_tables(spark), f"table-{uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete this application's tables; call it once the results that were made from them are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
