@@ -1,32 +1,5 @@
-"""Intermediate tables in the shared folder that spark.checkpoint.dir names."""
+"""Intermediate tables of the training-data operators; they live where those of the engine do."""
 
-from __future__ import annotations
+from noticelake.sources.scratch import clear, shared_dir, stored
 
-import atexit
-import os
-import shutil
-import tempfile
-from uuid import uuid4
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        named = tempfile.mkdtemp(prefix="noticelake-")
-        atexit.register(shutil.rmtree, named, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: its lineage ends there.
-
-    A lost executor then costs no more than the tasks that it ran.
-    """
-    spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"table-{uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["clear", "shared_dir", "stored"]
