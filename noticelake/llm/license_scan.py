@@ -11,15 +11,18 @@ whole, or ``TEMPLATE_SHARE`` of the template's word pairs, one of them in no oth
 family's templates, stand in a window of at most ``SPREAD`` times its length.
 
 A paragraph is a run of lines with other characters than white space, read over its
-line ends; every window of its words counts, so that a text may be wrapped, or stand
-in a long line. A window is no share of a template where its word pairs belong to a
-whole phrase of another family. Each family that stands in a paragraph is reported, with the line where
-its most probable window begins; overlapping windows of a family are one place. Paragraphs without any of the ``ANCHORS`` cannot agree with a
-template, since no phrase, nor the share of one, is without, so they are passed over.
+line ends. The classifier reads every paragraph whole, in windows of ``WIDTHS`` words at
+every place; no keyword comes before it. Where a window's odds against the unknown class
+reach ``CANDIDATE``, a low bar, the paragraph is compared with the templates, and what
+agrees gets the classifier's calibrated probability. So a text may be wrapped, or stand in
+a long line. A window is no share of a template where its word pairs belong to a whole
+phrase of another family. Each family that stands in a paragraph is reported, with the line
+where its most probable window begins; overlapping windows of a family are one place.
 
 Defined results: a null or empty text has no licences; repeated rows give repeated
-results; a family counts once a line; results are in order of line and name; other
-columns pass through. Texts are read whole.
+results; a family counts once a line; ties in probability go to the family first in order
+of name; results are in order of line and name; other columns pass through. Texts are read
+whole, long ones in one piece.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -46,10 +50,13 @@ TEMPLATES = {
         "you may not use this file except in compliance with the license you may obtain a copy of the license at"
         " http www apache org licenses license 2.0",
         "apache license 2.0",
+        "spdx license identifier apache 2.0",
     ),
     "mit": (
         "released under the mit license",
         "licensed under the mit license",
+        "mit license",
+        "spdx license identifier mit",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated"
         " documentation files to deal in the software without restriction",
     ),
@@ -59,18 +66,35 @@ TEMPLATES = {
         " the following conditions are met redistributions of source code must retain the above copyright notice",
         "bsd 3 clause license",
         "bsd 2 clause license",
+        "bsd 2 clause simplified license",
+        "spdx license identifier bsd 3 clause",
+        "spdx license identifier bsd 2 clause",
     ),
     "gpl": (
         "this work is licensed under the gnu general public license version 3",
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general"
         " public license as published by the free software foundation",
         "gnu general public license",
+        "spdx license identifier gpl 2.0",
+        "spdx license identifier gpl 3.0",
+    ),
+    "lgpl": (
+        "gnu lesser general public license",
+        "licensed under the gnu lesser general public license version 3",
+        "spdx license identifier lgpl 2.1",
+        "spdx license identifier lgpl 3.0",
+    ),
+    "agpl": ("gnu affero general public license", "licensed under the gnu affero general public license version 3", "spdx license identifier agpl 3.0"),
+    "isc": (
+        "isc license",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby"
+        " granted provided that the above copyright notice and this permission notice appear in all copies",
+        "spdx license identifier isc",
     ),
-    "lgpl": ("gnu lesser general public license", "licensed under the gnu lesser general public license version 3"),
-    "agpl": ("gnu affero general public license", "licensed under the gnu affero general public license version 3"),
     "mpl-2.0": (
         "mozilla public license version 2.0",
         "this source code form is subject to the terms of the mozilla public license v 2.0",
+        "spdx license identifier mpl 2.0",
     ),
     "cc-by": ("cc by 4.0", "licensed under cc by 4.0", "creative commons attribution 4.0 international license"),
     "cc-by-sa": ("cc by sa 4.0", "licensed under cc by sa 4.0", "creative commons attribution sharealike 4.0 international license"),
@@ -80,14 +104,18 @@ TEMPLATES = {
 }
 UNKNOWN = "unknown"
 FAMILIES = (*sorted(TEMPLATES), UNKNOWN)
-ANCHORS = ("licen", "copyright", "hereby granted", "cc by", "cc0", "rights reserved", "redistribut", "person obtaining", "deal in")
+#: Words of the classifier's windows, and the least log odds of a family against the unknown class for a closer look.
+WIDTHS, CANDIDATE = (2, 3, 5, 8, 16, 32), -3.0
+#: Words that one step of the classifier reads.
+STEP_WORDS = 50_000
 #: Words of a window, for each word of a template whose share it holds.
 SPREAD = 2
 #: Slots of the hashed n-grams, the least calibrated probability, and the share of a long template that must stand in a paragraph.
 SLOTS, MIN_PROBABILITY, TEMPLATE_SHARE, PHRASE_WORDS = 1 << 13, 0.5, 0.6, 12
 VARIANTS, STEPS, SEED = 12, 150, 20240101
+#: Prose that is no licence and shares no words with one is made of these.
+SYLLABLES = "ba da fo ga ki lo mu ne pa ri so ta ve wo za sten dor lin mar".split()
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)?")
-_ANCHOR = re.compile("|".join(sorted(re.escape(a).replace(r"\ ", "[^a-z0-9]+") for a in ANCHORS)), re.I)
 RESULT = T.ArrayType(
     T.StructType().add("line", T.IntegerType()).add("family", T.StringType()).add("probability", T.DoubleType())
 )
@@ -97,10 +125,37 @@ def line_words(line: str) -> list[str]:
     return _WORD.findall(line.lower())
 
 
+class _WordHashes(dict):
+    """Hashes of words, made when missing, within a bound."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 100_000:
+            self.clear()
+        value = self[word] = zlib.crc32(word.encode())
+        return value
+
+
+_hashes = _WordHashes()
+
+
+def gram_slots(words: list[str]) -> list[np.ndarray]:
+    """Slots of the one-, two- and three-word n-grams at each place."""
+    h = np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+    out, value = [], np.zeros(len(h), dtype=np.uint64)
+    for n in range(3):
+        value = value[: len(h) - n] if n else value
+        value = (value ^ (h[n:] + np.uint64(n + 1))) * np.uint64(0x9E3779B97F4A7C15)
+        value = value ^ (value >> np.uint64(29))
+        out.append((value % np.uint64(SLOTS)).astype(np.int64))
+        if len(h) <= n + 1:
+            out += [np.zeros(0, dtype=np.int64)] * (2 - n)
+            break
+    return out
+
+
 def slots(words: list[str]) -> np.ndarray:
     """Slots of the one- to three-word n-grams of a paragraph, each once."""
-    grams = {" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)}
-    return np.array(sorted({zlib.crc32(g.encode()) % SLOTS for g in grams}), dtype=np.int64)
+    return np.unique(np.concatenate(gram_slots(words)))
 
 
 def _examples() -> tuple[list[np.ndarray], list[int]]:
@@ -121,6 +176,8 @@ def _examples() -> tuple[list[np.ndarray], list[int]]:
         n = rng.randrange(1, 24)
         x.append(slots([rng.choice(pool if rng.random() < 0.4 else filler) for _ in range(n)]))
         y.append(len(FAMILIES) - 1)
+        x.append(slots(["".join(rng.choice(SYLLABLES) for _ in range(rng.randrange(1, 4))) if rng.random() < 0.7 else rng.choice(filler) for _ in range(n)]))
+        y.append(len(FAMILIES) - 1)
     return x, y
 
 
@@ -160,6 +217,43 @@ def probabilities(words: list[str], trained: tuple[np.ndarray, float] | None = N
     return p / p.sum()
 
 
+def promising(listed: list[list[str]], trained: tuple[np.ndarray, float] | None = None) -> list[bool]:
+    """Whether the classifier takes any window of a paragraph's words for a licence rather than for none.
+
+    Windows may begin in one paragraph and end in the next; they count for the first, which only means a look at more.
+    """
+    weights, temperature = trained or model()
+    words = [w for part in listed for w in part]
+    if not words:
+        return [False] * len(listed)
+    # Odds of each family against the unknown class, summed over the n-grams that end at or before each place.
+    odds = (weights[:-1] - weights[-1:]).astype(np.float32)
+    grams = gram_slots(words)
+    hit = np.zeros(len(words), dtype=bool)
+    sums = []
+    for listed_slots in grams:
+        part = np.zeros((len(odds), len(listed_slots) + 1), dtype=np.float64)
+        np.cumsum(odds[:, listed_slots], axis=1, out=part[:, 1:])
+        sums.append(part)
+    for width in WIDTHS:
+        width = min(width, len(words))
+        n = len(words) - width + 1
+        z = np.zeros((len(odds), n))
+        count = 0
+        for k, part in enumerate(sums):
+            if width > k:
+                z += part[:, width - k : width - k + n] - part[:, :n]
+                count += width - k
+        z = (z / np.sqrt(count) + odds[:, SLOTS, None]) / temperature
+        hit[:n] |= z.max(axis=0) >= CANDIDATE
+    # A window counts for every paragraph that it can reach into.
+    ends = np.cumsum([len(part) for part in listed])
+    marks = np.concatenate([[0], np.cumsum(hit)])
+    begins = ends - [len(part) for part in listed]
+    reach = np.maximum(begins - max(WIDTHS) + 1, 0)
+    return [bool(len(part) and marks[e] > marks[r]) for part, r, e in zip(listed, reach, ends, strict=True)]
+
+
 @lru_cache(maxsize=1)
 def _template_pairs() -> dict[str, list[tuple[str, set]]]:
     return {
@@ -261,34 +355,57 @@ def paragraphs(text: str) -> list[tuple[int, list[str]]]:
     return out
 
 
+def _places(first: int, parts: list[list[str]], trained: tuple[np.ndarray, float] | None) -> dict[tuple[int, str], float]:
+    """Probability of each (line, family) of a paragraph, by the words of its lines."""
+    words = [w for part in parts for w in part]
+    line_of = [first + i for i, part in enumerate(parts) for _ in part]
+    sure, places = [], []
+    for a, b, family in {*windows(words)}:
+        p = float(probabilities(words[a:b], trained)[FAMILIES.index(family)])
+        if p >= MIN_PROBABILITY:
+            sure.append((family, a, b, p))
+    last: tuple = ("", 0, 0.0, 0)
+    for family, a, b, p in sorted(sure):  # overlapping windows of a family are one place, where the most probable begins
+        end, best, at = (last[1], last[2], last[3]) if family == last[0] and a < last[1] else (b, -1.0, a)
+        if family != last[0] or a >= last[1]:
+            places.append(last)
+        last = (family, max(end, b), max(best, p), a if p > best else at)
+    places.append(last)
+    found: dict[tuple[int, str], float] = {}
+    for family, _, p, at in places:
+        if family:
+            key = line_of[at], family
+            found[key] = max(found.get(key, 0.0), p)
+    return found
+
+
+def scan_all(texts: list[str], trained: tuple[np.ndarray, float] | None = None) -> Iterator[list[tuple[int, str, float]]]:
+    """(line, family, probability) of each place that declares a licence, for each text."""
+    waiting: list[list[tuple[int, list[list[str]]]]] = []
+    size = 0
+
+    def done() -> Iterator[list[tuple[int, str, float]]]:
+        flat = [[w for part in parts for w in part] for listed in waiting for _, parts in listed]
+        likely = iter(promising(flat, trained))
+        for listed in waiting:
+            found: dict[tuple[int, str], float] = {}
+            for first, parts in listed:
+                if next(likely):
+                    found |= _places(first, parts, trained)
+            yield [(line, family, p) for (line, family), p in sorted(found.items())]
+
+    for text in texts:
+        waiting.append([(first, [line_words(line) for line in lines]) for first, lines in paragraphs(text)])
+        size += sum(len(part) for _, parts in waiting[-1] for part in parts)
+        if size > STEP_WORDS:
+            yield from done()
+            waiting, size = [], 0
+    yield from done()
+
+
 def scan(text: str, trained: tuple[np.ndarray, float] | None = None) -> list[tuple[int, str, float]]:
     """(line, family, probability) of each place that declares a licence."""
-    if not _ANCHOR.search(text):
-        return []
-    found: dict[tuple[int, str], float] = {}
-    for first, lines in paragraphs(text):
-        if not _ANCHOR.search("\n".join(lines)):
-            continue
-        parts = [line_words(line) for line in lines]
-        words = [w for part in parts for w in part]
-        line_of = [first + i for i, part in enumerate(parts) for _ in part]
-        sure, places = [], []
-        for a, b, family in {*windows(words)}:
-            p = float(probabilities(words[a:b], trained)[FAMILIES.index(family)])
-            if p >= MIN_PROBABILITY:
-                sure.append((family, a, b, p))
-        last: tuple = ("", 0, 0.0, 0)
-        for family, a, b, p in sorted(sure):  # overlapping windows of a family are one place, where the most probable begins
-            end, best, at = (last[1], last[2], last[3]) if family == last[0] and a < last[1] else (b, -1.0, a)
-            if family != last[0] or a >= last[1]:
-                places.append(last)
-            last = (family, max(end, b), max(best, p), a if p > best else at)
-        places.append(last)
-        for family, _, p, at in places:
-            if family:
-                key = line_of[at], family
-                found[key] = max(found.get(key, 0.0), p)
-    return [(line, family, p) for (line, family), p in sorted(found.items())]
+    return next(scan_all([text], trained))
 
 
 def license_lines(docs: DataFrame, text_col: str = "text", out: str = "licenses") -> DataFrame:
@@ -298,7 +415,7 @@ def license_lines(docs: DataFrame, text_col: str = "text", out: str = "licenses"
 
     @F.pandas_udf(RESULT)
     def scanned(texts: pd.Series) -> pd.Series:
-        return pd.Series([scan(t, shared.value) for t in texts], dtype=object)
+        return pd.Series(list(scan_all(texts.tolist(), shared.value)), dtype=object)
 
     return docs.withColumn(out, scanned(whole_text(text_col)))
 

@@ -46,3 +46,36 @@ def test_several_licences():
 def test_a_short_phrase_by_share():
     assert families("This work is licensed under a GNU General Public License, version 3") == {"gpl"}
     assert families("the license of the house was under the bridge and the version of the public license 2.0") == set()
+
+
+def test_identifiers_and_names():
+    for text, family in [
+        ("SPDX-License-Identifier: MIT", "mit"), ("// SPDX-License-Identifier: Apache-2.0", "apache-2.0"), ("SPDX-License-Identifier: GPL-3.0-only", "gpl"),
+        ("SPDX-License-Identifier: LGPL-2.1-or-later", "lgpl"), ("SPDX-License-Identifier: BSD-3-Clause", "bsd"), ("SPDX-License-Identifier: ISC", "isc"),
+        ("MIT License", "mit"), ('BSD 2-Clause "Simplified" License', "bsd"), ("ISC License", "isc"),
+    ]:
+        assert families(text) == {family}, text
+    assert families("SPDX-License-Identifier: Zlib") == set()
+
+
+def test_the_classifier_passes_no_agreeing_text_over():
+    """What agrees with a template gets a look, whatever stands around it and whatever words it lacks."""
+    rng = random.Random(9)
+    filler = "the of and a to in is for that with stone garden window house river".split()
+    for family, phrases in license_scan.TEMPLATES.items():
+        for phrase in phrases:
+            words = phrase.split()
+            for share in (1.0, 0.9, 0.8):
+                kept = [w for w in words if rng.random() < share]
+                text = [rng.choice(filler) for _ in range(rng.randrange(60))] + kept + [rng.choice(filler) for _ in range(rng.randrange(60))]
+                if any(f == family for _, _, f in license_scan.windows(text)):
+                    assert license_scan.promising([text]) == [True], (family, kept)
+
+
+def test_prose_is_unknown_and_ties_and_steps_change_nothing():
+    rng = random.Random(3)
+    prose = [" ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(3, 80))) for _ in range(300)]
+    assert not any(license_scan.scan_all(prose))
+    texts = ["", MIT, "x\n\n" + BSD, prose[0], "MIT License MIT License", MIT + "\n" + MIT, " \n\n ", "word " * 60_000 + "MIT License"]
+    assert list(license_scan.scan_all(texts * 2)) == [license_scan.scan(t) for t in texts] * 2
+    assert license_scan.scan("MIT License MIT License")[0][:2] == (0, "mit") and len(license_scan.scan(texts[-1])) == 1
