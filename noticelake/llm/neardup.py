@@ -20,8 +20,10 @@ probability below one in a million.
 Defined results: a null text is an empty one; a document without words has an empty
 set, is linked with nothing and is its own component; with fewer words than a shingle
 the whole sequence is the one shingle; rows without an id are linked with nothing and
-have a null component; repeated rows are repeated in the result; a link of an id that
-comes with several texts holds if one of them confirms it; other columns are not read.
+have a null component; repeated rows are repeated in the result; where an id comes with
+several texts each of them is linked by its own set, and the row has the component of its
+text; of texts with equal sets the one of the least id, then of the least hash, stands for
+all; empty tables give empty results; long texts are read whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -46,6 +48,8 @@ SLOTS = 128
 ROWS = ((85, 5), (70, 4), (50, 3), (0, 2))
 #: Words that one step of the sketches holds, members that share a copy of a leader's text, classes of sizes per unit of ln(size).
 STEP_WORDS, SHARE, SIZE_STEPS = 200_000, 64, 50
+#: Parts that the pairs of a leader with more than SHARE of them are dealt into.
+SALTS = 32
 #: Ids that are broadcast; more are shuffled.
 BROADCAST_ROWS = 1_000_000
 _GOLDEN, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -185,18 +189,19 @@ def _steps(texts: list[str]) -> Iterator[tuple[int, int]]:
 
 
 def sketches(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(doc_id, n, s1, s2, bands) of (doc_id, text)."""
+    """(doc_id, text_key, n, s1, s2, bands) of (doc_id, text_key, text)."""
     rows = band_rows(percent)
-    schema = T.StructType([texts.schema["doc_id"]])
+    schema = T.StructType([texts.schema["doc_id"], texts.schema["text_key"]])
     for name, kind in (("n", T.LongType()), ("s1", T.LongType()), ("s2", T.LongType()), ("bands", T.ArrayType(T.LongType()))):
         schema = schema.add(name, kind)
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids, whole = batch["doc_id"], batch["text"].tolist()
+            ids, keys, whole = batch["doc_id"], batch["text_key"], batch["text"].tolist()
             for a, b in _steps(whole):
                 done = pd.DataFrame(sketch(whole[a:b], size, rows), columns=["n", "s1", "s2", "bands"])
                 done.insert(0, "doc_id", ids.iloc[a:b].to_numpy())
+                done.insert(1, "text_key", keys.iloc[a:b].to_numpy())
                 yield done
 
     return texts.mapInPandas(made, schema)
@@ -229,14 +234,18 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
     copies = pairs.groupBy("a").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("copies"))
     texts = texts.hint("merge")  # the same plan at every size
+    own = lambda side: (F.col(f"{side}.id") == F.col("doc_id")) & (F.col(f"{side}.set") == F.col("text_key"))
     leaders = (
-        copies.join(texts.withColumnRenamed("text", "a_text"), F.col("a.id") == F.col("doc_id"))
+        copies.join(texts.withColumnRenamed("text", "a_text"), own("a"))
         .select("a", "a_text", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
     )
+    # Only leaders with several copies have a row here, one for each part of their pairs, so that no task reads all of them.
+    salt = F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt")
+    hot = copies.filter("copies > 1").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))).hint("merge")
+    dealt = pairs.select("a", "b", salt).join(hot, ["a", "salt"], "left").select("a", "b", F.coalesce("copies", F.lit(1)).alias("copies"))
     members = (
-        pairs.join(texts.withColumnRenamed("text", "b_text"), F.col("b.id") == F.col("doc_id"))
-        .join(copies, "a")
-        .select("a", "b", "b_text", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("copy"))
+        dealt.join(texts.withColumnRenamed("text", "b_text"), own("b"))
+        .select("a", "b", "b_text", F.pmod(F.xxhash64("b", F.lit(1)), F.col("copies")).cast("int").alias("copy"))
     )
     both = members.join(leaders, ["a", "copy"])
     return both.filter(linked("a_text", "b_text")).select("a", "b").distinct()
@@ -263,9 +272,8 @@ def _rest(buckets: DataFrame, labels: DataFrame, texts: DataFrame, size: int, pe
         return pd.Series([shingle_hashes([words_of(t)], size)[0].view(np.int64) for t in batch], dtype=object)
 
     tokens = stored(
-        open_.join(texts.hint("merge"), F.col("node.id") == F.col("doc_id"))
+        open_.join(texts.hint("merge"), (F.col("node.id") == F.col("doc_id")) & (F.col("node.set") == F.col("text_key")))
         .select("node", "label", "n", "outside", hashes("text").alias("tokens"))
-        .dropDuplicates(["node"])
         .select("node", "label", "n", "outside", F.explode("tokens").alias("token"))
     )
     common = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
@@ -308,14 +316,15 @@ def near_duplicates(
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id and kept."""
     bounded_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
+    text = whole_text(text_col)
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     drawn = stored(sketches(texts, size, percent))
     texts = texts.filter(F.col("doc_id").isNotNull())
     classes = (
         drawn.filter(F.col("doc_id").isNotNull() & (F.col("n") > 0))
         .groupBy("s1", "s2", "n")
-        .agg(F.min(F.struct("doc_id", "bands")).alias("first"))
-        .select("s1", "s2", "n", F.struct(F.col("first.doc_id").alias("id"), F.col("s1").alias("set")).alias("node"), "first.bands")
+        .agg(F.min(F.struct("doc_id", "text_key", "bands")).alias("first"))
+        .select("s1", "s2", "n", F.struct(F.col("first.doc_id").alias("id"), F.col("first.text_key").alias("set")).alias("node"), "first.bands")
     )
     classes = stored(classes)
     rows = classes.select("node", "n", F.explode("bands").alias("key"))
@@ -325,8 +334,8 @@ def near_duplicates(
     leaders = buckets.join(weights, "node").groupBy("key").agg(F.max(F.struct("weight", "node"))["node"].alias("a"))
     stars = buckets.join(leaders, "key").filter(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
     # Whole texts are shuffled once; what follows reads only those of documents that share a bucket.
-    shared = buckets.select(F.col("node.id").alias("doc_id")).distinct().hint("merge")
-    texts = stored(texts.join(shared, "doc_id", "left_semi"))
+    shared = buckets.select(F.col("node.id").alias("doc_id"), F.col("node.set").alias("text_key")).distinct().hint("merge")
+    texts = stored(texts.join(shared, ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"]))
     links = stored(confirmed(stored(stars), texts, size, percent))
     labels = components(links)
     more = _rest(buckets, labels, texts, size, percent)
