@@ -1,61 +1,79 @@
 """Operator 7: rules of quality and a hashed n-gram likelihood ratio, in Spark functions only.
 
-Words and word pairs are hashed into ``BUCKETS`` slots. Two multinomials over the
-slots, one of trusted texts and one of all raw texts, both counted over all their
-rows and smoothed, give each slot a log-likelihood ratio; a document's score is the
-mean ratio of its n-grams. A document is kept if it passes the base rules and its
-score reaches ``THRESHOLD``, a fixed value, so that verdicts are deterministic.
+Words and word pairs are hashed into slots, whose number grows with the corpus: it is
+``SLOT_RATE`` times the square root of its bytes, ``MIN_SLOTS`` at least, as the number of
+different n-grams grows slower than the text, so that a slot mixes about as many of them
+at any size. Two multinomials over the slots, one of trusted texts and one of all raw
+texts, both counted over all their rows and smoothed, give each slot a log-likelihood
+ratio; a document's score is the mean ratio of its n-grams. A document is kept if it passes
+the base rules and its score reaches ``THRESHOLD``, a fixed value, so that verdicts are
+deterministic: 0 is the score of a text that is as likely under both multinomials, and the
+margin below it leaves room for the smoothing of rare n-grams.
+
+The n-grams of a document are looked up and summed in the task that reads it: the table of
+ratios, one row for each slot that occurs, is broadcast while the corpus has no more than
+``BROADCAST_SLOTS`` slots, and joined by slot beyond that, after each document's n-grams
+are counted.
 
 Defined results: a null text is an empty one and fails the base rules; n-grams of a
 document without words give the score 0; repeated rows give repeated results and
 count repeatedly in the raw multinomial; where there are no trusted texts every slot
-has the ratio 0; other columns are not read.
+has the ratio 0; empty tables give empty results; long texts are read whole; other columns
+are not read.
 """
 
 from __future__ import annotations
 
-from math import log
+from math import ceil, sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticelake.llm.common import whole_text, words
+from noticelake.llm.scratch import stored
 
-BUCKETS, SMOOTHING, THRESHOLD = 16_384, 0.5, -0.07
+SLOT_RATE, MIN_SLOTS, SMOOTHING, THRESHOLD = 3, 16_384, 0.5, -0.07
+#: Slots up to which their ratios are broadcast: some 100 MB.
+BROADCAST_SLOTS = 1 << 22
 #: Ids of trusted texts that are broadcast; more are shuffled.
 BROADCAST_ROWS = 1_000_000
 #: The base rules: fewest words, and the largest percentage of words in repeated windows.
 MIN_WORDS, MAX_REPEATED, WINDOW = 50, 50, 3
 
 
-def ngram_slots(listed: Column) -> Column:
+def number_of_slots(raw: DataFrame, text_col: str = "text") -> int:
+    """Slots for a corpus, by the bytes of all its texts."""
+    size = raw.select(F.sum(F.octet_length(whole_text(text_col)))).first()[0] or 0
+    return max(MIN_SLOTS, ceil(SLOT_RATE * sqrt(size)))
+
+
+def ngram_slots(listed: Column, slots: int) -> Column:
     """Slots of the words of a text, then of its word pairs."""
-    slot = lambda *parts: F.pmod(F.xxhash64(*parts), F.lit(BUCKETS)).cast("int")
+    slot = lambda *parts: F.pmod(F.xxhash64(*parts), F.lit(slots))
     following = F.slice(listed, 2, F.greatest(F.lit(0), F.size(listed)))
     pairs = F.slice(F.zip_with(listed, following, lambda a, b: slot(a, b)), 1, F.greatest(F.lit(0), F.size(listed) - 1))
     return F.concat(F.transform(listed, lambda w: slot(w)), pairs)
 
 
-def slot_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def slot_counts(docs: DataFrame, slots: int, text_col: str = "text") -> DataFrame:
     """(slot, n) over all rows; each task sums its own slots before the shuffle."""
     listed = docs.select(words(whole_text(text_col)).alias("words"))
     # The outer form: for the inner one Spark adds a filter on the array's size and computes the array anew for it.
-    slots = listed.select(F.explode_outer(ngram_slots(F.col("words"))).alias("slot"))
-    return slots.groupBy("slot").agg(F.count("slot").alias("n")).filter("slot is not null")
+    found = listed.select(F.explode_outer(ngram_slots(F.col("words"), slots)).alias("slot"))
+    return found.groupBy("slot").agg(F.count("slot").alias("n")).filter("slot is not null")
 
 
-def log_ratios(trusted: DataFrame, raw: DataFrame, text_col: str = "text") -> list[float]:
-    """Log-likelihood ratio of each slot; the table has BUCKETS numbers whatever the input."""
-    good = {r["slot"]: r["n"] for r in slot_counts(trusted, text_col).collect()}
-    every = {r["slot"]: r["n"] for r in slot_counts(raw, text_col).collect()}
-    if not good or not every:
-        return [0.0] * BUCKETS
-    good_total = sum(good.values()) + SMOOTHING * BUCKETS
-    raw_total = sum(every.values()) + SMOOTHING * BUCKETS
-    return [
-        log((good.get(i, 0) + SMOOTHING) / good_total) - log((every.get(i, 0) + SMOOTHING) / raw_total)
-        for i in range(BUCKETS)
-    ]
+def log_ratios(trusted: DataFrame, raw: DataFrame, slots: int, text_col: str = "text") -> DataFrame:
+    """(slot, ratio) of each slot that occurs in ``raw``: its log-likelihood ratio."""
+    good, every = stored(slot_counts(trusted, slots, text_col)), stored(slot_counts(raw, slots, text_col))
+    total = lambda df: (df.agg(F.sum("n")).first()[0] or 0) + SMOOTHING * slots
+    good_total, raw_total = total(good), total(every)
+    both = every.join(good.withColumnRenamed("n", "g"), "slot", "left")
+    of = lambda n, size: F.log((n + F.lit(SMOOTHING)) / F.lit(size))
+    ratio = of(F.coalesce("g", F.lit(0)), good_total) - of(F.col("n"), raw_total)
+    if good_total == SMOOTHING * slots:  # no trusted text
+        ratio = F.lit(0.0)
+    return stored(both.select("slot", ratio.alias("ratio")))
 
 
 def _repeated_words(listed: Column) -> Column:
@@ -71,13 +89,14 @@ def _repeated_words(listed: Column) -> Column:
 
 
 def base_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the array ``words`` and the base counts of every row."""
+    """doc_id, a hash of the text, the array ``words`` and the base counts of every row."""
     text = whole_text(text_col)
     inner = "[^ \\t-\\r]"
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(inner))
     docs = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), words(text).alias("words"), lines.alias("lines"))
     docs = docs.select(
         "doc_id",
+        F.xxhash64("text").alias("text_key"),
         "words",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
@@ -107,11 +126,22 @@ def quality_report(
     docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Per document: the base counts, base_failed, kept and the score."""
-    ratios = ",".join(f"{x:.6f}" for x in log_ratios(trusted, docs, text_col))
-    table = F.from_json(F.lit(f"[{ratios}]"), "array<double>")
-    base = base_columns(docs, id_col, text_col).withColumn("slots", ngram_slots(F.col("words")))
-    total = F.aggregate("slots", F.lit(0.0), lambda s, i: s + F.element_at(table, i + 1))
-    score = F.when(F.size("slots") > 0, total / F.size("slots")).otherwise(F.lit(0.0))
+    slots = number_of_slots(docs, text_col)
+    ratios = log_ratios(trusted, docs, slots, text_col)
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    base = base_columns(docs, id_col, text_col)
+    own = ("doc_id", "text_key", *counts)
+    grams = base.select(*own, F.explode_outer(ngram_slots(F.col("words"), slots)).alias("slot"))
+    if slots <= BROADCAST_SLOTS:
+        ratios = F.broadcast(ratios)
+        grams = grams.withColumn("n", F.lit(1).cast("long"))
+    else:
+        grams = grams.groupBy(*own, "slot").agg(F.count("*").alias("n"))
+    # Equal rows of equal id are summed together; their number is that of their n-grams by that of one of them.
+    summed = grams.join(ratios, "slot", "left").groupBy(*own).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("ratio")).alias("total"))
+    each = F.greatest(F.lit(1), 2 * F.col("n_words") - 1)
+    score = F.when(F.col("n_words") > 0, F.round(F.col("total") / F.col("n"), 9)).otherwise(F.lit(0.0))
+    base = summed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), (F.col("n") / each).cast("long"))))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     return base.select(
         "doc_id",

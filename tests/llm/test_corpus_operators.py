@@ -79,11 +79,11 @@ def test_rules_on_repetition(spark):
 def test_scores_follow_the_ratio_of_multinomials(spark):
     raw = spark.createDataFrame([(1, "good good words"), (2, "bad words bad")], "doc_id long, text string")
     trusted = raw.filter("doc_id = 1")
-    ratios = quality_rules.log_ratios(trusted, raw)
-    slots = {r.doc_id: r.s for r in raw.select("doc_id", quality_rules.ngram_slots(quality_rules.words(raw.text)).alias("s")).collect()}
-    assert len(slots[1]) == 5
+    m, a = quality_rules.number_of_slots(raw), quality_rules.SMOOTHING
+    ratios = {r.slot: r.ratio for r in quality_rules.log_ratios(trusted, raw, m).collect()}
+    slots = {r.doc_id: r.s for r in raw.select("doc_id", quality_rules.ngram_slots(quality_rules.words(raw.text), m).alias("s")).collect()}
+    assert len(slots[1]) == 5 and set(ratios) == {*slots[1], *slots[2]}
     good, every = Counter(slots[1]), Counter(slots[1] + slots[2])
-    m, a = quality_rules.BUCKETS, quality_rules.SMOOTHING
     for i in every:
         want = math.log((good[i] + a) / (5 + a * m)) - math.log((every[i] + a) / (10 + a * m))
         assert ratios[i] == pytest.approx(want)
@@ -91,6 +91,17 @@ def test_scores_follow_the_ratio_of_multinomials(spark):
     assert report[1] > report[2] and report[1] == pytest.approx(np.mean([ratios[i] for i in slots[1]]), abs=1e-5)
 
 
+def test_rules_beyond_the_broadcast_and_with_more_slots(spark, docs, odd_docs, monkeypatch):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    report = lambda df: sorted(map(str, quality_rules.quality_report(df, quality_rules.trusted_texts(df, labels)).collect()))
+    want = [report(df) for df in (docs, odd_docs)]
+    monkeypatch.setattr(quality_rules, "BROADCAST_SLOTS", 0)
+    monkeypatch.setattr(quality_rules, "BROADCAST_ROWS", 0)
+    assert [report(df) for df in (docs, odd_docs)] == want
+    many = docs.select("text").crossJoin(spark.range(300))
+    assert quality_rules.number_of_slots(docs) < quality_rules.number_of_slots(many)
+
+
 # ---- operator 6
 
 PLAIN = regex.compile(r"[\p{L}\p{N}]+")
