@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -151,17 +152,18 @@ def find_spans(text: str) -> list[tuple[str, int, int, float, bool]]:
     base = _base(text)
     spans = [(k, a, b, min(1.0, max(0.0, 0.9 + _context(text, k, a, b))), True) for k, a, b in base]
     taken = sorted((a, b) for _, a, b in base)
+    begins, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
     for kind, a, b, score in _further(text):
         score = min(1.0, score + _context(text, kind, a, b))
-        if score >= MIN_SCORE and not any(x < b and a < y for x, y in _around(taken, a, b)):
+        if score >= MIN_SCORE and not _overlaps(begins, reach, a, b):
             spans.append((kind, a, b, score, False))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def _around(taken: list[tuple[int, int]], a: int, b: int) -> list[tuple[int, int]]:
-    """The base spans that can overlap [a, b); base kinds overlap at most four deep."""
-    at = bisect_left(taken, (b, 0))
-    return taken[max(0, at - 8) : at]
+def _overlaps(begins: list[int], reach: list[int], a: int, b: int) -> bool:
+    """Whether a base span overlaps [a, b): of those that begin before b, one ends after a."""
+    before = bisect_left(begins, b)
+    return before > 0 and reach[before - 1] > a
 
 
 @F.pandas_udf(SPAN_TYPE)
