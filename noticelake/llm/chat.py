@@ -9,18 +9,24 @@ read back, and gives the stretches of assistant text as the loss mask.
 Defined results: a null text or role is an empty one; turns of equal number are in
 order of role, then text; repeated rows are repeated turns; rows without a
 conversation id form one conversation with a null id; a row whose fingerprint no
-mapping knows has no turns; columns that no layout names are ignored.
+mapping knows keeps its row with no turns, the status ``unknown`` and its fingerprint, so
+that it can be set aside and mapped later, see ``unmapped``; a row none of whose known
+fields is filled has the status ``empty``; other rows are ``mapped``; an empty system text
+is a turn of its own; columns that no layout names are ignored; empty tables give empty
+results; columns of the input that have a result's name are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from noticelake.llm.common import fresh
+
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 TRAINED_ROLE = "assistant"
 #: The first character of every string that a chat template may take for a control.
@@ -32,25 +38,31 @@ TURNS = "array<struct<role:string,text:string>>"
 class Layout:
     """The field paths of a record, [] for an array's elements, and how its turns are built.
 
-    Each step is (role or path of the role, path of the text); ``over`` names the array that it walks.
+    Each step is (role or path of the role, path of the text); ``over`` names the array that it walks,
+    ``optional`` a text that follows the user's, ``lead`` the text of a system turn before all others.
     """
 
     paths: tuple[str, ...]
     steps: tuple[tuple[str, str], ...]
     over: str = ""
     optional: str = ""
+    lead: str = ""
 
 
 #: What common layouts look like. Roles in quotation marks are constants.
-LAYOUTS = (
+PLAIN_LAYOUTS = (
     Layout(("messages[].content", "messages[].role"), (("role", "content"),), over="messages"),
     Layout(("conversations[].from", "conversations[].value"), (("from", "value"),), over="conversations"),
     Layout(("completion", "prompt"), (("'user'", "prompt"), ("'assistant'", "completion"))),
     Layout(("prompt", "response"), (("'user'", "prompt"), ("'assistant'", "response"))),
+    Layout(("answer", "question"), (("'user'", "question"), ("'assistant'", "answer"))),
+    Layout(("instruction", "response"), (("'user'", "instruction"), ("'assistant'", "response"))),
     Layout(("instruction", "output"), (("'user'", "instruction"), ("'assistant'", "output"))),
     Layout(("input", "instruction", "output"), (("'user'", "instruction"), ("'assistant'", "output")), optional="input"),
-    Layout(("prompt", "response", "system"), (("'system'", "system"), ("'user'", "prompt"), ("'assistant'", "response"))),
+    Layout(("input", "output"), (("'user'", "input"), ("'assistant'", "output"))),
 )
+#: Each of them also comes with a system text.
+LAYOUTS = PLAIN_LAYOUTS + tuple(replace(x, paths=tuple(sorted((*x.paths, "system"))), lead="system") for x in PLAIN_LAYOUTS)
 #: Names of other makers for the three roles.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
@@ -81,10 +93,12 @@ def row_fingerprint(df: DataFrame) -> Column:
 def _turns(layout: Layout) -> Column:
     empty = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     turn = lambda role, text: F.struct(role.alias("role"), text.alias("text"))
+    lead = [turn(F.lit("system"), empty(F.col(layout.lead)))] if layout.lead else []
     if layout.over:
         (role, text) = layout.steps[0]
-        return F.transform(F.col(layout.over), lambda m: turn(empty(m[role]), empty(m[text])))
-    made = []
+        listed = F.transform(F.col(layout.over), lambda m: turn(empty(m[role]), empty(m[text])))
+        return F.concat(F.array(*lead), listed) if lead else listed
+    made = lead
     for role, path in layout.steps:
         text = empty(F.col(path))
         if layout.optional and role == "'user'":
@@ -94,17 +108,26 @@ def _turns(layout: Layout) -> Column:
     return F.array(*made)
 
 
-def canonical_turns(df: DataFrame, out: str = "turns") -> DataFrame:
-    """``df`` with the turns that the mapping of each row's fingerprint gives."""
+def canonical_turns(df: DataFrame, out: str = "turns", status: str = "status", fingerprint_col: str = "fingerprint") -> DataFrame:
+    """``df`` with the turns that the mapping of each row's fingerprint gives, the fingerprint, and whether it is known."""
     have = set(field_paths(df.schema))
     chosen = F.lit(None).cast(TURNS)
     print_ = row_fingerprint(df)
     for layout in LAYOUTS:
         if set(layout.paths) <= have:
             chosen = F.when(print_ == fingerprint(layout.paths), _turns(layout)).otherwise(chosen)
+    known = [fingerprint(x.paths) for x in LAYOUTS if set(x.paths) <= have]
+    state = F.when(print_.isin(known), "mapped").when(print_ == fingerprint(()), "empty").otherwise("unknown")
     turns = F.coalesce(chosen, F.array().cast(TURNS))
     role = lambda r: F.coalesce(*(F.when(r == k, F.lit(v)) for k, v in ROLES.items()), r)
-    return df.withColumn(out, F.transform(turns, lambda t: F.struct(role(t["role"]).alias("role"), t["text"].alias("text"))))
+    renamed = F.transform(turns, lambda t: F.struct(role(t["role"]).alias("role"), t["text"].alias("text")))
+    return df.withColumns({out: renamed, status: state, fingerprint_col: print_})
+
+
+def unmapped(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` that no mapping knows, with their fingerprint: what is to be set aside and mapped by a new layout."""
+    status, print_ = fresh(df, "status", "fingerprint")
+    return canonical_turns(df, fresh(df, "turns")[0], status, print_).filter(F.col(status) == "unknown").select(*[F.col(f"`{c}`") for c in df.columns], print_)
 
 
 def gather_turns(rows: DataFrame, id_col: str = "conv_id") -> DataFrame:
@@ -164,7 +187,7 @@ def masked_text(formatted: Column, mask: Column) -> Column:
 
 def chat_report(records: DataFrame) -> DataFrame:
     """Per conversation the digests of what is read back from its formatted text."""
-    done = format_turns(canonical_turns(records).select("conv_id", "turns"))
+    done = format_turns(canonical_turns(records).select("conv_id", "turns", "status", "fingerprint"))
     back = read_back(F.col("formatted"))
     spoken = F.array_join(F.transform(back, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = masked_text(F.col("formatted"), F.col("loss_mask"))
@@ -175,4 +198,6 @@ def chat_report(records: DataFrame) -> DataFrame:
         F.length(loss).cast("long").alias("loss_chars"),
         F.sha2(loss, 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "status",
+        "fingerprint",
     )
