@@ -59,7 +59,8 @@ def frequent_lengths(docs: DataFrame, source, sample_rows: int, table_size: int,
             yield pd.DataFrame({"piece": [p for p, _ in top], "n": [n for _, n in top], "length": [len(coder.encode_piece(p)) for p, _ in top]})
 
     partial = sample.mapInPandas(counted, "piece string, n long, length int")
-    best = partial.groupBy("piece", "length").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(table_size)
+    # What the sample holds once is not frequent, and need not go to the driver.
+    best = partial.groupBy("piece", "length").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "piece").limit(table_size)
     return {r["piece"]: r["length"] for r in best.collect()}
 
 
