@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor
 kept. All but the last return the columns of ``documents``; the last adds the tokens.
 Tables that a stage needs besides ``docs`` are read from ``sf_dir``.
+
+Defined results: empty tables give empty ones; a null text counts as an empty one and
+stays null until its tokens, of which it has none, are counted; texts are read whole,
+whatever their length; a null in any other column stays; columns beyond those of
+``documents`` pass through all stages, and a result whose name is taken gets another.
 """
 
 from __future__ import annotations
@@ -19,22 +24,28 @@ SHINGLE, PERCENT = 5, 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier does not reject."""
+    """Documents that the compression classifier does not reject.
+
+    Rows without an id are scored by their text like all others; repeated rows all go or all stay; a score at the threshold stays.
+    """
     return quality_zstd.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one of the least doc_id; rows without an id stay."""
+    """One document of each group of near-duplicates, the one of the least doc_id.
+
+    Rows without an id and texts without words stay; of rows that repeat an id, one stays if the id does.
+    """
     return neardup.keep_one(docs, SHINGLE, PERCENT)
 
 
 def decontam_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
+    """Documents that hold no benchmark passage; equal texts all go or all stay, with or without an id; empty ones stay."""
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with personal data replaced by its kind; n_chars follows the text."""
+    """All documents with personal data replaced by its kind; n_chars follows the text and is null for a null one."""
     redacted = pii.redact_pii(docs)
     if "n_chars" in docs.columns:
         redacted = redacted.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -42,9 +53,8 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with token_ids (packed little-endian uint32) and n_tokens."""
-    ids, count = fresh(docs, "token_ids", "n_tokens")
-    return bpe.with_tokens(docs, ids, count)
+    """All documents with token_ids (packed little-endian uint32), n_tokens, and whether they decode to the text; none is left out."""
+    return bpe.with_tokens(docs, *fresh(docs, "token_ids", "n_tokens", "restored"))
 
 
 STAGES = [

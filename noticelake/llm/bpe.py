@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.llm.common import bounded_batches, whole_text
+from noticelake.llm.common import bounded_batches, fresh, whole_text
 
 #: The pattern that cuts a text into pre-tokens (fixed value of this family).
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -254,21 +254,20 @@ def bpe_report(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
     )
 
 
-def with_tokens(docs: DataFrame, ids: str = "token_ids", count: str = "n_tokens", path: str | None = None, text_col: str = "text") -> DataFrame:
-    """``docs`` with its packed token ids and their number; fails on a text that does not decode to itself."""
+def with_tokens(
+    docs: DataFrame, ids: str = "token_ids", count: str = "n_tokens", restored: str = "restored", path: str | None = None, text_col: str = "text"
+) -> DataFrame:
+    """``docs`` with its packed token ids, their number, and whether they decode to the text; null counts as empty."""
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = shared_vocabulary(spark, path or vocabulary_path())
 
-    @F.pandas_udf("binary")
-    def tokens(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf("struct<ids:binary,restored:boolean>")
+    def tokens(texts: pd.Series) -> pd.DataFrame:
         coder = _coder(shared.value)
-        out = []
-        for text in texts:
-            packed = coder.encode_packed(text)
-            if coder.decode_packed(packed) != text:
-                raise ValueError("a text is not restored by decoding")
-            out.append(packed)
-        return pd.Series(out, dtype=object)
-
-    return docs.withColumn(ids, tokens(whole_text(text_col))).withColumn(count, (F.octet_length(ids) / 4).cast("long"))
+        packed = [coder.encode_packed(t) for t in texts]
+        return pd.DataFrame({"ids": packed, "restored": [coder.decode_packed(x) == t for x, t in zip(packed, texts, strict=True)]})
+
+    (coded,) = fresh(docs, "coded")
+    done = docs.withColumn(coded, tokens(whole_text(text_col)))
+    return done.withColumns({ids: F.col(f"{coded}.ids"), count: (F.octet_length(f"{coded}.ids") / 4).cast("long"), restored: F.col(f"{coded}.restored")}).drop(coded)

@@ -21,7 +21,7 @@ def test_stages_and_rows(spark, docs):
     coder = ByteBpe(open(vocabulary_path(), encoding="utf-8").read())
     for i, r in got.items():
         text = pii.redact(clean[i].text, pii.find_spans(clean[i].text))
-        assert r.text == text and r.n_chars == len(text) and bytes(r.token_ids) == coder.encode_packed(text) and r.n_tokens == len(r.token_ids) // 4
+        assert r.text == text and r.n_chars == len(text) and bytes(r.token_ids) == coder.encode_packed(text) and r.restored and r.n_tokens == len(r.token_ids) // 4
 
 
 def test_stages_on_odd_and_empty_tables(spark, odd_docs, no_docs):
