@@ -10,7 +10,7 @@ from collections.abc import Iterable, Mapping
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Spoken names of notice types (fixed values); the first that a query contains decides.
@@ -117,3 +117,20 @@ def strategy_keeps(strategy: str, grade: str = "display_grade", support: str = "
     if strategy not in kept:
         raise ValueError(f"unknown strategy {strategy!r}")
     return F.coalesce(kept[strategy], F.lit(False))
+
+
+def newest_of_each(rows: DataFrame, group: str, order: str, most: int | None = None) -> DataFrame:
+    """The rows of the ``most`` largest ``order`` of each group; all rows without a bound."""
+    if most is None:
+        return rows
+    return rows.withColumn("__rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(order)))).filter(F.col("__rank") <= most).drop("__rank")
+
+
+def split_check(whole: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
+    """One row: sizes of two splits of a table of ids, how many ids they share, how many both miss, and whether neither happens."""
+    count = lambda df, name: df.agg(F.count("*").alias(name))
+    parts = count(first, "first"), count(second, "second"), count(first.intersect(second), "shared"), count(whole.exceptAll(first.unionByName(second).distinct()), "missing")
+    row = parts[0]
+    for part in parts[1:]:  # one row each
+        row = row.crossJoin(F.broadcast(part))
+    return row.withColumn("disjoint_and_complete", (F.col("shared") == 0) & (F.col("missing") == 0))

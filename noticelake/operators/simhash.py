@@ -2,8 +2,9 @@
 
 Tokens are two-character grams without white space, counted; a token's hash is the
 first eight bytes of its MD5. A bit of the fingerprint is set where the counted votes
-are positive. Two fingerprints at a distance of at most 3 agree in one of four bands
-of 16 bits, so an equi join on bands finds every pair.
+are positive. Two fingerprints at a distance of at most 3 agree in at least three of six
+blocks, so an equi join on the 20 choices of three blocks, of 32 bits on average, finds
+every pair, and hardly any other, however many fingerprints there are.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from collections import Counter
 from functools import lru_cache
 from hashlib import md5
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -20,7 +22,7 @@ from pyspark.sql import types as T
 
 from noticelake.functions.text import bigrams
 
-BITS, BANDS, RADIUS = 64, 4, 3
+BITS, BLOCKS, RADIUS = 64, 6, 3
 
 
 @lru_cache(maxsize=200_000)
@@ -65,11 +67,34 @@ def simhash_native(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return votes.select(id_col, value.alias("simhash"))
 
 
+#: Borders of the blocks, and the choices of blocks that a pair within the radius shares one of.
+EDGES = tuple(BITS * i // BLOCKS for i in range(BLOCKS + 1))
+CHOICES = tuple(combinations(range(BLOCKS), BLOCKS - RADIUS))
+
+
+def _mask(choice: tuple[int, ...]) -> int:
+    bits = sum(1 << i for k in choice for i in range(EDGES[k], EDGES[k + 1]))
+    return bits - (1 << BITS) if bits >> (BITS - 1) else bits
+
+
 def bands(column: str) -> F.Column:
-    """(band, value) of each of the four bands."""
-    width = BITS // BANDS
-    cut = lambda b: F.shiftrightunsigned(F.col(column), b * width).bitwiseAND(F.lit((1 << width) - 1))
-    return F.array(*(F.struct(F.lit(b).alias("band"), cut(b).cast("long").alias("value")) for b in range(BANDS)))
+    """(band, value) of each choice of blocks: the fingerprint with the other blocks set to zero."""
+    return F.array(*(F.struct(F.lit(b).alias("band"), F.col(column).bitwiseAND(F.lit(_mask(c))).alias("value")) for b, c in enumerate(CHOICES)))
+
+
+def first_band(apart: F.Column) -> F.Column:
+    """The first choice of blocks in which two fingerprints, given by their difference, agree."""
+    return F.coalesce(*(F.when(apart.bitwiseAND(F.lit(_mask(c))) == 0, F.lit(b)) for b, c in enumerate(CHOICES)))
+
+
+def near_prints(left: DataFrame, right: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(x, y) of all different fingerprints of two tables (simhash) within the radius, each pair once; 0 pairs with nothing."""
+    if radius > RADIUS:
+        raise ValueError("the blocks guarantee a radius of 3")
+    of = lambda df: df.filter("simhash <> 0").select("simhash").distinct().select("simhash", F.explode(bands("simhash")).alias("k"))
+    x, y = of(left).withColumnRenamed("simhash", "x"), of(right).withColumnRenamed("simhash", "y")
+    apart = F.col("x").bitwiseXOR(F.col("y"))
+    return x.join(y, "k").filter((F.bit_count(apart) <= radius) & (F.col("k.band") == first_band(apart))).select("x", "y")
 
 
 def near_pairs(left: DataFrame, right: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -77,11 +102,7 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: int = RADIUS) -> DataF
 
     Equal fingerprints are joined once and only then expanded to their rows.
     """
-    if radius >= BANDS:
-        raise ValueError("the bands guarantee a radius of 3")
-    of = lambda df: df.filter("simhash <> 0").select("simhash").distinct().select("simhash", F.explode(bands("simhash")).alias("k"))
-    x, y = of(left).withColumnRenamed("simhash", "x"), of(right).withColumnRenamed("simhash", "y")
-    close = x.join(y, "k").filter(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= radius).select("x", "y").distinct()
+    close = near_prints(left, right, radius)
     return (
         left.select(F.col("id").alias("a"), F.col("simhash").alias("x"))
         .join(close, "x")
@@ -91,9 +112,11 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: int = RADIUS) -> DataF
 
 
 def first_match(new: DataFrame, existing: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """For each new row the earliest existing row within the radius."""
-    pairs = near_pairs(new, existing, radius)
-    return pairs.groupBy(F.col("a").alias("id")).agg(F.min(F.struct(F.col("b").alias("match"), "distance")).alias("m")).select("id", "m.match", "m.distance")
+    """For each new row the earliest existing row within the radius; fingerprints are matched, not rows."""
+    first = existing.filter("simhash <> 0").groupBy(F.col("simhash").alias("y")).agg(F.min("id").alias("match"))
+    close = near_prints(new, first.select(F.col("y").alias("simhash")), radius).join(first, "y")
+    best = close.groupBy("x").agg(F.min(F.struct("match", F.bit_count(F.col("x").bitwiseXOR(F.col("y"))).alias("distance"))).alias("m"))
+    return new.join(best, F.col("simhash") == F.col("x")).select("id", "m.match", "m.distance")
 
 
 def ingest_verdict(new: DataFrame, known: DataFrame, within_batch: bool = True) -> DataFrame:

@@ -161,6 +161,9 @@ def x01_fallback_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id").orderBy(F.desc("id")).limit(30)
 
 
-@query("""WITH l AS (SELECT *, lag(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS before FROM events) SELECT event_id FROM l WHERE before IS NULL OR before < ts - INTERVAL 15 MINUTE""")
+@query("""WITH RECURSIVE k AS (SELECT event_type, min(ts) AS ts FROM events GROUP BY ALL
+ UNION ALL SELECT k.event_type, min(e.ts) FROM k JOIN events e ON e.event_type = k.event_type AND e.ts >= k.ts + INTERVAL 15 MINUTE GROUP BY k.event_type)
+SELECT min(event_id) AS event_id FROM events JOIN k USING (event_type, ts) GROUP BY event_type, ts""")
 def st05_collect_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streams.drop_repeats_batch(table(spark, sf_dir, "events"), ["event_type"], "event_id", 15).select("event_id")
+    """Collections that are not within 15 minutes of the last one that ran."""
+    return streams.drop_repeats_batch(table(spark, sf_dir, "events"), ["event_type"], "event_id", 15, inclusive=True).select("event_id")

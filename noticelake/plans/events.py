@@ -30,9 +30,11 @@ def shown(column: str) -> F.Column:
     return F.date_format(column, "yyyy-MM-dd HH:mm:ss").alias(column)
 
 
-@query("""WITH l AS (SELECT *, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM events)
-SELECT event_id, user_id, event_type FROM l WHERE before IS NULL OR before < ts - INTERVAL 30 MINUTE""")
+@query("""WITH RECURSIVE k AS (SELECT user_id, event_type, min(ts) AS ts FROM events GROUP BY ALL
+ UNION ALL SELECT k.user_id, k.event_type, min(e.ts) FROM k JOIN events e ON e.user_id = k.user_id AND e.event_type = k.event_type AND e.ts > k.ts + INTERVAL 30 MINUTE GROUP BY k.user_id, k.event_type)
+SELECT min(event_id) AS event_id, user_id, event_type FROM events JOIN k USING (user_id, event_type, ts) GROUP BY user_id, event_type, ts""")
 def st04_dedup_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pushes that no pushed one of the same content precedes by 30 minutes or less."""
     return streams.drop_repeats_batch(events(spark, sf_dir), ["user_id", "event_type"], "event_id").select("event_id", "user_id", "event_type")
 
 
