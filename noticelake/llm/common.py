@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that an Arrow batch on its way to a Python worker may hold.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 2 << 20
 #: Words are runs of anything but these six characters.
 SPACES = " \t\n\x0b\x0c\r"
 

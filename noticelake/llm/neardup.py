@@ -47,7 +47,7 @@ SIZE, PERCENT = 3, 85
 SLOTS = 128
 ROWS = ((85, 5), (70, 4), (50, 3), (0, 2))
 #: Words that one step of the sketches holds, members that share a copy of a leader's text, classes of sizes per unit of ln(size).
-STEP_WORDS, SHARE, SIZE_STEPS = 200_000, 64, 50
+STEP_WORDS, SHARE, SIZE_STEPS = 80_000, 64, 50
 #: Parts that the pairs of a leader with more than SHARE of them are dealt into.
 SALTS = 32
 #: Ids that are broadcast; more are shuffled.
