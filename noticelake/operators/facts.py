@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Categories and patterns (fixed values), digits in ASCII; the first five must be found in the source.
+#: Categories and patterns in the order in which facts are listed (fixed values), digits in ASCII.
 PATTERNS = {
-    "amount": "\\d+(?:\\.\\d+)?\\s*(?:亿元|亿|万元|万|元)",
-    "date": "\\d{4}年\\d{1,2}月\\d{1,2}日|\\d{4}-\\d{1,2}-\\d{1,2}|\\d{4}/\\d{1,2}/\\d{1,2}",
-    "phone": "\\d{3,4}-?\\d{7,8}",
-    "mail": "[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\\.[A-Za-z0-9_.-]+",
-    "number": "(?:SH|ZB|GG|BJ|GD|JS|ZJ|FZ|XM|CG|GS|GZ)-[A-Z0-9-]{4,28}|[A-Z]{2,}\\d{4,}[A-Z0-9]*(?:-[A-Z0-9]+)?",
-    "share": "\\d+(?:\\.\\d+)?\\s*%",
-    "count": "\\d+\\s*(?:台|套|个|批|项|份|辆)",
+    "金额": "\\d+(?:\\.\\d+)?\\s*(?:亿元|亿|万元|万|元)",
+    "日期": "\\d{4}年\\d{1,2}月\\d{1,2}日|\\d{4}-\\d{1,2}-\\d{1,2}|\\d{4}/\\d{1,2}/\\d{1,2}",
+    "百分比": "\\d+(?:\\.\\d+)?\\s*%",
+    "数量": "\\d+\\s*(?:台|套|个|批|项|份|辆)",
+    "联系电话": "\\d{3,4}-?\\d{7,8}",
+    "邮箱": "[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\\.[A-Za-z0-9_.-]+",
+    "招标编号": "(?:SH|ZB|GG|BJ|GD|JS|ZJ|FZ|XM|CG|GS|GZ)-[A-Z0-9-]{4,28}|[A-Z]{2,}\\d{4,}[A-Z0-9]*(?:-[A-Z0-9]+)?",
 }
-STRICT = ("amount", "date", "phone", "mail", "number")
+#: Categories that must be found in the source.
+STRICT = ("金额", "日期", "联系电话", "邮箱", "招标编号")
 
 
 def facts(text: Column) -> Column:
@@ -45,7 +46,7 @@ def check(rows: DataFrame, id_col: str, content: str, source: str, strict: bool
     equal = lambda k, canon: F.exists(F.regexp_extract_all("s", F.lit(PATTERNS[k]), F.lit(0)), lambda v: canon(v) == canon(F.col("one.value")))
     one = given.select(id_col, "s", "bare", F.explode_outer("f").alias("one"))
     kind = F.col("one.category")
-    found = F.contains("bare", bare(F.col("one.value"))) | ((kind == "amount") & equal("amount", canonical_amount)) | ((kind == "date") & equal("date", canonical_date))
+    found = F.contains("bare", bare(F.col("one.value"))) | ((kind == "金额") & equal("金额", canonical_amount)) | ((kind == "日期") & equal("日期", canonical_date))
     wrong = kind.isNotNull() & ~F.coalesce(found, F.lit(False)) & (F.lit(strict) | kind.isin(*STRICT))
     sums = one.groupBy(id_col).agg(F.count("one").alias("n_facts"), F.count_if(wrong).alias("n_wrong"))
     return sums.select(id_col, "n_facts", (F.col("n_facts") - F.col("n_wrong")).alias("n_verified"), "n_wrong", (F.col("n_wrong") == 0).alias("passed"))

@@ -182,13 +182,13 @@ def j11_span_iou_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.best_overlap(found, gold, ["doc_id"]).select("doc_id", "iou", "matched")
 
 
-@query(r"""WITH f AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+'))) AS value, 'mail' AS category FROM documents
- UNION ALL SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?\s*%'))), 'share' FROM documents
- UNION ALL SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[0-9]{3,4}-?[0-9]{7,8}'))), 'phone' FROM documents)
+@query(r"""WITH f AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+'))) AS value, '邮箱' AS category FROM documents
+ UNION ALL SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?\s*%'))), '百分比' FROM documents
+ UNION ALL SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[0-9]{3,4}-?[0-9]{7,8}'))), '联系电话' FROM documents)
 SELECT doc_id, category, value FROM f""")
 def p23_fact_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spread(table(spark, sf_dir, "documents")).select("doc_id", F.explode_outer(facts.facts(F.col("text"))).alias("f"))
-    return found.select("doc_id", "f.category", "f.value").filter(F.col("category").isin("mail", "share", "phone"))
+    return found.select("doc_id", "f.category", "f.value").filter(F.col("category").isin("邮箱", "百分比", "联系电话"))
 
 
 @query()
