@@ -104,7 +104,7 @@ def test_bpe_and_counts_on_odd_rows(odd_docs, no_docs):
     assert all(r.over_limit == (r.n_tokens > 512) for r in counted)
     assert bpe.bpe_report(no_docs).count() == 0 and token_count.count_tokens(no_docs).count() == 0
     stage = bpe.with_tokens(odd_docs, "ids", "n")
-    assert stage.columns == [*odd_docs.columns, "ids", "n"] and stage.count() == odd_docs.count()
+    assert stage.columns == [*odd_docs.columns, "ids", "n", "restored"] and stage.count() == odd_docs.count() and all(r.restored for r in stage.collect())
 
 
 def test_chat_is_read_back(spark):
