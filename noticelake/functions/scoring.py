@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from noticelake.functions.values import UNITS, bound, contact_hash, parse_timestamp, precision_tolerance, validate_amount, validate_date
+from noticelake.functions.values import UNITS, bound, contact_hash, parse_timestamp, precision_tolerance, validate_amount, validate_date, validate_identifier
 
 #: What may stand before a date, units by which the tolerance is told, classes of annotation, organisations and regions, aliases.
 DATE_PREFIX = (
@@ -55,6 +55,17 @@ DEADLINE_PATTERNS = (
     "(?:20\\d{2}年\\d{1,2}月\\d{1,2}日\\s*\\d{1,2}[:：]\\d{2}[^。\\n]*)(?:开标|截止)",
 )
 DEADLINE_TIME = "20\\d{2}年\\d{1,2}月\\d{1,2}日\\s*\\d{1,2}[:：]\\d{2}"
+#: Fields in the text of attachments, by a pattern each (fixed values).
+ATTACHMENT_PATTERNS = {
+    "project_name": "(?:项目名称|项目名|工程名称|采购项目名)\\s*[:：]\\s*([^\\n\\r，。；]{2,100})",
+    "bid_number": "(?:招标编号|项目编号|采购编号|标段编号)\\s*[:：]\\s*([A-Z0-9\\-/]{6,40})",
+    "budget_amount": "(?:预算金额|项目预算|采购预算|控制价)\\s*[:：]\\s*(\\d+(?:\\.\\d+)?\\s*(?:万元|亿元|元|万|亿))",
+    "deadline": "(?:投标截止时间|报名截止时间|截止时间|投标截止日期)\\s*[:：]\\s*(\\d{4}年\\d{1,2}月\\d{1,2}日(?:\\s*\\d{1,2}:\\d{1,2})?)",
+    "tender_org": "(?:招标人|采购人|招标单位|采购单位)\\s*[:：]\\s*([^\\n\\r，。；]{2,50})",
+    "agency": "(?:代理机构|招标代理|采购代理)\\s*[:：]\\s*([^\\n\\r，。；]{2,50})",
+    "contact_name": "(?:联系人|项目联系人)\\s*[:：]\\s*([^\\n\\r，。；]{2,30})",
+    "contact_phone": "(?:联系电话|电话|联系方式)\\s*[:：]\\s*(\\d{3,4}-?\\d{7,8})",
+}
 #: Longest texts of a notice's fields.
 LONGEST = {"project_name": 500, "bid_number": 100, "location": 200, "tender_org": 300, "agency": 300, "contact_name": 100, "notice_type": 50, "source_url": 500}
 
@@ -230,3 +241,17 @@ def evidence_refusal(support: Column, role: Column, has_evidence: Column, levels
         .when(~has_evidence & support.isin("direct", "equivalent"), "no_evidence")
         .when(has_evidence & (~role.isin(*roles) | role.isNull()), "evidence_role")
     )
+
+
+def attachment_fields(text: Column) -> Column:
+    """struct of the fields that an attachment's text states, null where it does not; the budget in yuan, the deadline as a time."""
+    raw = {k: F.trim(_none(F.regexp_extract(text, p, 1))) for k, p in ATTACHMENT_PATTERNS.items()}
+    told = {**raw, "budget_amount": decimal_amount(raw["budget_amount"]).cast("double"), "deadline": parse_timestamp(raw["deadline"])}
+    return F.struct(*(c.alias(k) for k, c in told.items()))
+
+
+def validate_field(kind: Column, raw: Column) -> Column:
+    """struct(valid, normalized) by the validator of a field's kind; of an unknown kind nothing is valid."""
+    of = lambda x: F.struct(F.coalesce(x["valid"], F.lit(False)).alias("valid"), x["normalized"].alias("normalized"))
+    none = F.struct(F.lit(False).alias("valid"), F.lit(None).cast("string").alias("normalized"))
+    return F.when(kind == "amount", of(validate_amount(raw))).when(kind == "date", of(validate_date(raw))).when(kind == "project_identifier", of(validate_identifier(raw))).otherwise(none)

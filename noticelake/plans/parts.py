@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticelake.functions import notice_text, schedules
+from noticelake.functions import scoring as sc
 from noticelake.functions import text as tx
 from noticelake.functions import values as v
+from noticelake.operators.organisations import resolved_names
 from noticelake.plans.scoring import pick
 from noticelake.sources.tables import table
 
@@ -100,3 +102,46 @@ def st02_due_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = datetime(2024, 1, 2)
     due = [h for h in range(24) if schedules.due("0 8 * * *", day.replace(hour=h), day.replace(hour=8))]
     return table(spark, sf_dir, "events").groupBy("user_id").agg((F.count_if(F.hour("ts").isin(*due)) > 0).alias("ran"), F.count("event_type").alias("n"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_linenumber % 4 <> 3 AS valid, CASE l_linenumber % 4 WHEN 0 THEN CAST(l_quantity AS BIGINT) || '.00元' WHEN 1 THEN strftime(l_shipdate, '%Y-%m-%d') WHEN 2 THEN 'BH-' || (100000 + l_orderkey) END AS normalized FROM lineitem""")
+def v07_field_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of four kinds, one of them unknown, by their validators."""
+    line = F.col("l_linenumber")
+    kind = pick(line, *map(F.lit, ("amount", "date", "project_identifier", "colour")))
+    raw = pick(
+        line, F.concat(F.lit("金额："), F.col("l_quantity").cast("long").cast("string"), F.lit("元")), F.date_format("l_shipdate", "yyyy.M.d"),
+        F.concat(F.lit("bh-"), (F.col("l_orderkey") + 100_000).cast("string"), F.lit("（一标段）")), F.lit("red"),
+    )
+    told = table(spark, sf_dir, "lineitem").select("l_orderkey", line.alias("l_linenumber"), sc.validate_field(kind, raw).alias("f"))
+    return told.select("l_orderkey", "l_linenumber", "f.valid", "f.normalized")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN NULL ELSE c_name END AS name FROM orders JOIN customer ON o_custkey = c_custkey""")
+def n42_resolved_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of organisations that are asked for by entity id, by hash, by name, or by something unknown."""
+    entities = table(spark, sf_dir, "customer").select(F.upper(F.lpad(F.concat(F.lit("E"), F.col("c_custkey").cast("string")), 26, "A")).alias("organization_id"), F.col("c_name").alias("name"), "c_custkey")
+    asked = table(spark, sf_dir, "orders").join(entities, F.col("o_custkey") == F.col("c_custkey"))
+    hashed = F.concat(F.lit("org_"), F.substring(F.sha1("name"), 1, 12))
+    asked = asked.select(F.col("o_orderkey").alias("id"), pick(F.col("o_orderkey"), F.col("organization_id"), hashed, F.col("name"), F.lit("org_000000000000")).alias("org_id"))
+    return resolved_names(asked, entities).select(F.col("id").alias("o_orderkey"), "name")
+
+
+@query("""SELECT o_orderkey, 'P ' || o_orderpriority AS project_name, 'BH-' || (100000 + o_orderkey) AS bid_number, CASE WHEN o_orderkey % 2 = 0 THEN (o_custkey * 10000)::DOUBLE END AS budget_amount, strftime(o_orderdate, '%Y-%m-%d') AS deadline,
+ c_name AS tender_org, CASE WHEN o_orderkey % 3 = 0 THEN '0571-' || (10000000 + o_custkey) END AS contact_phone FROM orders JOIN customer ON o_custkey = c_custkey""")
+def p21_attachment_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields in the text of attachments, some of which state no budget or telephone."""
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    key = F.col("o_orderkey")
+    text = F.concat(
+        F.lit("项目名称: P "), "o_orderpriority", F.lit("\n项目编号：BH-"), (key + 100_000).cast("string"), F.when(key % 2 == 0, F.concat(F.lit("\n控制价："), F.col("o_custkey").cast("string"), F.lit(" 万元"))).otherwise(F.lit("")),
+        F.lit("\n截止时间："), F.date_format("o_orderdate", "yyyy年M月d日"), F.lit("。采购人："), "c_name", F.when(key % 3 == 0, F.concat(F.lit("；电话：0571-"), (F.col("o_custkey") + 10_000_000).cast("string"))).otherwise(F.lit("")),
+    )
+    parsed = rows.select("o_orderkey", sc.attachment_fields(text).alias("f"))
+    return parsed.select("o_orderkey", "f.project_name", "f.bid_number", "f.budget_amount", F.date_format("f.deadline", "yyyy-MM-dd").alias("deadline"), "f.tender_org", "f.contact_phone")
+
+
+@query("""SELECT event_id FROM events WHERE user_id = 3 AND event_id % 2 = 0""")
+def f21_owned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a user asks for, as far as it is theirs."""
+    return table(spark, sf_dir, "events").filter((F.col("event_id") % 2 == 0) & (F.col("user_id") == 3)).select("event_id")
