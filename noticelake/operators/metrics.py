@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -23,10 +23,17 @@ def set_scores(gold: Column, predicted: Column) -> Column:
     return F.struct(precision.alias("precision"), recall.alias("recall"), f1.alias("f1"))
 
 
-def index_percentile(values: Column, share: float) -> Column:
-    """Element int(n * share), at most the last, of a sorted array; null when empty."""
-    at = F.least((F.size(values) * share).cast("int"), F.size(values) - 1) + 1
-    return F.try_element_at(F.sort_array(values), F.when(F.size(values) > 0, at))
+def index_percentiles(rows: DataFrame, key: str, value: str, share: float, name: str) -> DataFrame:
+    """(key, name): element int(n * share), at most the last, of each key's values in order; null values do not count.
+
+    Equal values are counted first, so what is ranked per key is its distinct values, whatever the rows of a hot key.
+    """
+    counted = rows.filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_m"))
+    whole = Window.partitionBy(key)
+    upto, total = F.sum("_m").over(whole.orderBy(value)), F.sum("_m").over(whole)
+    at = F.least(F.floor(total * share), total - 1)
+    ranked = counted.withColumn("_hit", upto > at)
+    return ranked.filter("_hit").groupBy(key).agg(F.min(value).alias(name))
 
 
 def buckets(value: Column, edges: tuple[float, ...]) -> Column:

@@ -51,12 +51,11 @@ def n07_value_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select("raw", tx.normalized_value(F.col("raw")).alias("value"))
 
 
-@query("""WITH p AS (SELECT p_partkey, p_name, p_type FROM part WHERE p_size < 10),
- g AS (SELECT p_partkey, list_distinct([substr(p_name, i, 2) FOR i IN range(1, length(p_name))]) AS a, list_distinct([substr(p_type, i, 2) FOR i IN range(1, length(p_type))]) AS b FROM p)
+@query("""WITH g AS (SELECT p_partkey, list_distinct([substr(p_name, i, 2) FOR i IN range(1, length(p_name))]) AS a, list_distinct([substr(p_type, i, 2) FOR i IN range(1, length(p_type))]) AS b FROM part)
 SELECT p_partkey, len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) AS similarity FROM g""")
 def n08_bigram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = tx.jaccard(tx.bigrams(F.col("p_name")), tx.bigrams(F.col("p_type")))
-    return table(spark, sf_dir, "part").filter("p_size < 10").select("p_partkey", near.alias("similarity"))
+    return table(spark, sf_dir, "part").select("p_partkey", near.alias("similarity"))
 
 
 @query("""SELECT c_custkey, CASE WHEN trim(c_name) <> '' THEN sha256(trim(c_name)) END AS contact FROM customer""")
@@ -182,13 +181,14 @@ def j11_span_iou_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.best_overlap(found, gold, ["doc_id"]).select("doc_id", "iou", "matched")
 
 
-@query(r"""WITH f AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+'))) AS value, '邮箱' AS category FROM documents
- UNION ALL SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)?\s*%'))), '百分比' FROM documents
- UNION ALL SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[0-9]{3,4}-?[0-9]{7,8}'))), '联系电话' FROM documents)
-SELECT doc_id, category, value FROM f""")
+@query(
+    "WITH f AS ("
+    + " UNION ALL ".join(f"SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '{p}'))) AS value, '{k}' AS category FROM documents" for k, p in facts.PATTERNS.items())
+    + ") SELECT DISTINCT doc_id, category, trim(value) AS value FROM f"
+)
 def p23_fact_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spread(table(spark, sf_dir, "documents")).select("doc_id", F.explode_outer(facts.facts(F.col("text"))).alias("f"))
-    return found.select("doc_id", "f.category", "f.value").filter(F.col("category").isin("邮箱", "百分比", "联系电话"))
+    return found.select("doc_id", "f.category", "f.value").filter("category is not null")
 
 
 @query()
@@ -295,8 +295,7 @@ def m09_set_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT l_suppkey, list_sort(list(l_quantity))[least(CAST(floor(count(*) * 0.95) AS BIGINT), count(*) - 1) + 1] AS p95 FROM lineitem GROUP BY l_suppkey""")
 def k08_percentile_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.collect_list("l_quantity").alias("q"))
-    return groups.select("l_suppkey", metrics.index_percentile(F.col("q"), 0.95).alias("p95"))
+    return metrics.index_percentiles(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_quantity", 0.95, "p95")
 
 
 @query("""SELECT l_suppkey, quantile_cont(CAST(l_quantity AS DOUBLE), 0.5) AS p50, quantile_cont(CAST(l_quantity AS DOUBLE), 0.95) AS p95 FROM lineitem GROUP BY l_suppkey""")

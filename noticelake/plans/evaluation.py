@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticelake.operators import ablation, lineage, metrics, signals
+from noticelake.operators import evidence as ev
 from noticelake.operators import filters as f
 from noticelake.sources.tables import AWARDS_SQL, NOTICES_SQL, awards, money, notices, table
 from noticelake.streaming import streams
@@ -65,9 +66,9 @@ def s07_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("winner").agg(F.sum("n").cast("long").alias("n"), F.sum("amount").cast("double").alias("amount"), text.alias("trend"))
 
 
-@query(f"""WITH {AWARDS_SQL} SELECT winner, count(*) AS n, string_agg(DISTINCT region, ',' ORDER BY region) AS items FROM awards WHERE lot = 1 GROUP BY winner""")
+@query(f"""WITH {AWARDS_SQL} SELECT winner, count(*) AS n, string_agg(DISTINCT region, ',' ORDER BY region) AS items FROM awards GROUP BY winner""")
 def s03_link_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = signals.link_lists(awards(spark, sf_dir).filter("lot = 1"), "winner", "region")
+    listed = signals.link_lists(awards(spark, sf_dir), "winner", "region")
     return listed.select("winner", "n", F.array_join("items", ",").alias("items"))
 
 
@@ -133,11 +134,10 @@ def a30_gold_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""SELECT doc_id, list_count(list_filter(range(1, 400), i -> substr(text, i, 2) = 'th'))::BIGINT AS n FROM documents""".replace("i -> ", "lambda i: "))
+@query("""SELECT doc_id, list_count(list_filter(range(1, length(coalesce(text, ''))), lambda i: substr(text, i, 2) = 'th'))::BIGINT AS n FROM documents""")
 def x04_overlapping_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All places, overlapping ones too, of a short quote in the heads of texts."""
-    places = F.filter(F.sequence(F.lit(1), F.lit(399)), lambda i: F.substring(F.col("text"), i, F.lit(2)) == "th")
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(places).cast("long").alias("n"))
+    """All places, overlapping ones too, of a short quote in whole texts."""
+    return table(spark, sf_dir, "documents").select("doc_id", ev.overlapping_occurrences(F.col("text"), "th").cast("long").alias("n"))
 
 
 @query("""SELECT user_id, max_by(event_type, ts) AS state, count(*) AS steps FROM (SELECT user_id, event_type, ts, row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id) AS k FROM events) WHERE k = 1 GROUP BY user_id""")

@@ -315,14 +315,19 @@ def a15_json_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
   strftime(max(win_date), '%Y-%m-%d') AS last_day FROM awards GROUP BY winner)
 SELECT s.*, main_purchasers FROM s JOIN t ON s.winner = t.winner""")
 def a16_supplier_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    won = awards(spark, sf_dir)
-    summary = won.groupBy("winner").agg(
-        F.count("*").alias("n"), F.sum(money("win_amount")).cast("double").alias("amount"), day(F.min("win_date")).alias("first_day"), day(F.max("win_date")).alias("last_day")
+    each = awards(spark, sf_dir).groupBy("winner", "purchaser").agg(
+        F.count("*").alias("n"), F.sum(money("win_amount")).alias("amount"), F.min("win_date").alias("first"), F.max("win_date").alias("last")
     )
     rank = Window.partitionBy("winner").orderBy(F.desc("n"), "purchaser")
-    top = won.groupBy("winner", "purchaser").agg(F.count("*").alias("n")).withColumn("k", F.row_number().over(rank)).filter("k <= 5")
-    names = top.groupBy("winner").agg(F.sort_array(F.collect_list(F.struct("k", "purchaser"))).alias("t"))
-    return summary.join(names, "winner").select(*summary.columns, F.array_join(F.transform("t", lambda x: x["purchaser"]), ",").alias("main_purchasers"))
+    top = F.when(F.col("k") <= 5, F.struct("k", "purchaser"))
+    return (
+        each.withColumn("k", F.row_number().over(rank))
+        .groupBy("winner")
+        .agg(
+            big("n").alias("n"), F.sum("amount").cast("double").alias("amount"), day(F.min("first")).alias("first_day"), day(F.max("last")).alias("last_day"),
+            F.array_join(F.transform(F.sort_array(F.collect_list(top)), lambda x: x["purchaser"]), ",").alias("main_purchasers"),
+        )
+    )
 
 
 @query("""SELECT source, count(*) AS total, count(DISTINCT text) AS inserted, count(*) - count(DISTINCT text) AS duplicates FROM documents GROUP BY source""")
