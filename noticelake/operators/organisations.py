@@ -19,3 +19,32 @@ def resolved_names(asked: DataFrame, entities: DataFrame) -> DataFrame:
     found = asked.join(ids, "org_id", "left").join(hashes, "org_id", "left").join(names.select(F.col("name").alias("org_id"), F.col("name").alias("own")), "org_id", "left")
     entity = F.when(F.col("org_id").rlike(ENTITY_ID) & F.col("org_id").rlike("[A-Z]"), F.col("by_id"))
     return found.select("id", F.coalesce(entity, "by_hash", "own").alias("name"))
+
+
+def resolve(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, method, organization_id, confidence) of rows (id, code, name): by credit code, then exact name, then a near name.
+
+    ``known`` has organization_id, name and code; of equal codes, names and distances the least id wins. Names are
+    normalised by the caller. Near names are within 3 bits of a SimHash and are matched by fingerprint, not by row;
+    only names that nothing else resolves are hashed. A blank name is ``empty_name``, whatever its code.
+    """
+    from noticelake.operators.simhash import near_prints, simhash_column
+
+    least = F.min("organization_id")
+    by_code = known.filter("code <> ''").groupBy("code").agg(least.alias("_code"))
+    by_name = known.filter("name <> ''").groupBy("name").agg(least.alias("_name"))
+    first = asked.select("id", "code", "name").join(by_code, "code", "left").join(by_name, "name", "left")
+    blank = F.trim(F.coalesce("name", F.lit(""))) == ""
+    hashed = lambda names: names.select("name", simhash_column()("name").alias("simhash"))
+    open_names = hashed(first.filter("_code is null and _name is null").filter(~blank).select("name").distinct())
+    prints = hashed(by_name.select("name")).join(by_name, "name").groupBy(F.col("simhash").alias("y")).agg(F.min("_name").alias("_near"))
+    close = near_prints(open_names, prints.select(F.col("y").alias("simhash"))).join(prints, "y")
+    best = close.groupBy("x").agg(F.min(F.struct(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))).alias("d"), F.col("_near").alias("org"))).alias("best"))
+    near = open_names.join(best, F.col("simhash") == F.col("x")).select("name", "best")
+    joined = first.join(near, "name", "left")
+    method = (
+        F.when(blank, "empty_name").when(F.col("_code").isNotNull(), "exact_credit_code").when(F.col("_name").isNotNull(), "exact_name").when(F.col("best").isNotNull(), "fuzzy_name").otherwise("no_match")
+    )
+    sure = F.when(method == "exact_credit_code", 1.0).when(method == "exact_name", 0.95).when(method == "fuzzy_name", F.greatest(F.lit(0.7), F.round(0.9 - 0.1 * F.col("best.d"), 2))).otherwise(0.0)
+    org = F.when(~blank, F.coalesce("_code", "_name", "best.org"))
+    return joined.select("id", method.alias("method"), org.alias("organization_id"), sure.alias("confidence"))
