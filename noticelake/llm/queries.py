@@ -10,12 +10,15 @@ from noticelake.llm import (
     chat,
     decontam,
     html_text,
+    lexical,
     license_scan,
     neardup,
+    negatives,
     pii,
     quality_rules,
     quality_zstd,
     token_count,
+    vectors,
 )
 from noticelake.llm.common import table
 
@@ -68,6 +71,18 @@ def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -81,6 +96,9 @@ QUERIES = {
         op8_html,
         op9_token_counts,
         op10_neardup,
+        op11_search,
+        op12_vectors,
+        op13_negatives,
     )
 }
 
@@ -93,11 +111,39 @@ def _written_chars(column: str) -> str:
 
 
 _FRAME = len(chat.TURN) + len(chat.TEXT) + len(chat.END)
+#: The terms of a text, and whether a vector is there with finite components only, in SQL.
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{lexical.UPPER}', '{lexical.LOWER}'), '[^{lexical.PARTS[1:-2]}]+')"
+_FINITE = "(embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"
 ORACLE_SQL: dict[str, str] = {
     "op1_chat": f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
  UNION ALL VALUES (-1, 0, 'user', '{HOSTILE}'), (-1, 1, 'assistant', '{HOSTILE}')),
  g AS (SELECT conv_id, count(*) AS n_turns, string_agg(r || chr(10) || x || chr(10), '' ORDER BY turn, r, x) AS spoken,
   coalesce(string_agg(x, '' ORDER BY turn, r, x) FILTER (r = 'assistant'), '') AS loss,
   sum({_FRAME} + {_written_chars("r")} + {_written_chars("x")})::BIGINT AS formatted_chars FROM t GROUP BY conv_id)
-SELECT conv_id, n_turns, sha256(spoken) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g"""
+SELECT conv_id, n_turns, sha256(spoken) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g""",
+    "op11_search": f"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_TERMS} AS ts FROM documents),
+ s AS (SELECT count(*) FILTER (len(ts) > 0) AS big_n, sum(len(ts))::BIGINT AS big_l FROM d),
+ q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+ w AS (SELECT r, doc_id, len(ts) AS n, unnest(ts) AS term FROM d),
+ p AS (SELECT r, doc_id, n, term, count(*) AS tf FROM w WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+ f AS (SELECT term, floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY term),
+ x AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * big_n) // big_l))))::BIGINT AS score
+  FROM q JOIN f USING (term) JOIN p USING (term), s GROUP BY ALL),
+ k AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM x WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 50""",
+    "op12_vectors": f"""WITH RECURSIVE e AS (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: x::DOUBLE) AS v, {_FINITE} AS able FROM embeddings),
+ u AS (SELECT * FROM e WHERE able AND list_dot_product(v, v) > 0),
+ l AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM u AS a JOIN u AS b ON a.r <> b.r AND list_cosine_similarity(a.v, b.v) >= 0.9),
+ reach AS (SELECT r, vec_id AS c FROM e UNION SELECT b, c FROM reach JOIN l ON a = r),
+ least AS (SELECT r, min(c) AS component_id FROM reach GROUP BY r), n AS (SELECT a AS r, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM e JOIN least USING (r) LEFT JOIN n USING (r)""",
+    "op13_negatives": f"""WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND {_FINITE}),
+ s AS MATERIALIZED (SELECT a.vec_id AS anchor_id, e.vec_id, a.label = e.label AS same, list_dot_product(a.v, e.v)::BIGINT AS score FROM e AS a, e WHERE a.vec_id % 100 = 0),
+ p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same AND vec_id <> anchor_id
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+ vec_id AS negative_id, positive_score, score AS negative_score FROM p JOIN s USING (anchor_id)
+ WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+ QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 10""",
 }
