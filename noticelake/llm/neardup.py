@@ -1,7 +1,7 @@
 """Operator 10: near-duplicate documents by SuperMinHash, banding, checks and union-find.
 
-Each document becomes the set of its distinct word shingles. Documents of equal sets
-form a class; classes get SuperMinHash signatures (one permutation per element, cut
+Each document becomes the set of its distinct word shingles. Documents of equal sets,
+told by a 128-bit digest of the sets' hashes, form a class; classes get SuperMinHash signatures (one permutation per element, cut
 short as soon as no later rank can lower a minimum), whose bands go into buckets.
 No bucket is ever expanded into all its pairs:
 
@@ -311,10 +311,8 @@ def _rest(buckets: DataFrame, labels: DataFrame, texts: DataFrame, size: int, pe
     return pairs.select(*_ordered(F.col("x"), F.col("y"))).distinct()
 
 
-def near_duplicates(
-    docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id and kept."""
+def _grouped(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Per row of ``docs``: doc_id, text_key, n (the size of its set) and label, the least (id, text_key) that it is linked to; null without words or an id."""
     bounded_batches(docs.sparkSession)
     text = whole_text(text_col)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
@@ -344,11 +342,17 @@ def near_duplicates(
         more = stored(confirmed(stored(more), texts, size, percent))
         if not more.isEmpty():
             labels = components(links.unionByName(more))
-    found = classes.join(labels, "node", "left").select("s1", "s2", F.coalesce("label", "node")["id"].alias("component_id"))
+    found = classes.join(labels, "node", "left").select("s1", "s2", F.coalesce("label", "node").alias("label"))
     linked = drawn.join(found, ["s1", "s2"], "left")
-    own = F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
-    component = F.when(F.col("doc_id").isNotNull(), own)
-    return linked.select(
+    return linked.select("doc_id", "text_key", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("label")).alias("label"))
+
+
+def near_duplicates(
+    docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id and kept."""
+    component = F.coalesce("label.id", "doc_id")
+    return _grouped(docs, size, percent, id_col, text_col).select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         component.alias("component_id"),
@@ -357,19 +361,24 @@ def near_duplicates(
 
 
 def keep_one(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with their columns, that near_duplicates() keeps; equal rows stay once.
+    """The rows of ``docs``, with their columns, of which one of each group stays: that of the least id and, within it, the least hash of its text.
 
-    A document's group is known by its id, so only ids are joined; rows without an id stay.
+    Rows are known by id and text, so an id with several texts loses only those that stand in the groups of others.
+    Of rows that repeat an id and its text the one stays whose JSON comes first; rows without an id all stay.
     """
-    (name,) = fresh(docs, "dropped")
-    found = stored(near_duplicates(docs, size, percent, id_col, text_col).filter("doc_id is not null"))
-    bounded = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    dropped = bounded(found.filter("not kept").select(F.col("doc_id").alias(name)).distinct())
-    kept = docs.join(dropped, F.col(id_col) == F.col(name), "left_anti")
-    # Rows of equal id are rare in a table of documents; only these are compared.
-    again = found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(name))
+    id_of, key_of, key = fresh(docs, "dropped_id", "dropped_key", "text_key")
+    keyed = docs.withColumn(key, F.xxhash64(whole_text(text_col)))
+    first = F.col("label").isNull() | ((F.col("label.id") == F.col("doc_id")) & (F.col("label.set") == F.col("text_key")))
+    found = _grouped(docs, size, percent, id_col, text_col).filter("doc_id is not null").groupBy(F.col("doc_id").alias(id_of), F.col("text_key").alias(key_of))
+    found = stored(found.agg(F.bool_and(first).alias("first"), F.count("*").alias("n")))
+    bounded = lambda rows: F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    same = (F.col(id_col) == F.col(id_of)) & (F.col(key) == F.col(key_of))
+    kept = keyed.join(bounded(found.filter("not first").select(id_of, key_of)), same, "left_anti")
+    # Repeated rows are rare in a table of documents; only these are compared.
+    again = found.filter("first and n > 1").select(id_of, key_of)
     if again.isEmpty():
-        return kept
+        return kept.drop(key)
     again = bounded(again)
-    once = kept.join(again, F.col(id_col) == F.col(name), "left_anti")
-    return once.unionByName(kept.join(again, F.col(id_col) == F.col(name), "left_semi").dropDuplicates([id_col]))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = kept.join(again, same, "left_semi").groupBy(id_col, key).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    return kept.join(again, same, "left_anti").drop(key).unionByName(one)
