@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticelake.operators import ablation, lineage, metrics, signals
+from noticelake.operators import lineage, metrics, signals
 from noticelake.operators import evidence as ev
 from noticelake.operators import filters as f
 from noticelake.sources.tables import AWARDS_SQL, NOTICES_SQL, awards, money, notices, table
@@ -25,36 +25,6 @@ def query(sql: str | None = None):
     return register
 
 
-CANDIDATES_SQL = """c AS (SELECT d.doc_id, text, CASE WHEN d.doc_id % 7 <> 0 THEN lang ELSE '' END AS value,
-  CASE d.doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN substr(text, 5, 12) ELSE '~' || substr(text, 5, 12) END AS quote,
-  CASE WHEN quality = 1 THEN lang ELSE '' END AS gold, CASE WHEN d.doc_id % 2 = 0 THEN 'direct' ELSE 'inferred' END AS support,
-  CASE WHEN d.doc_id % 5 = 0 THEN 'unknown' ELSE 'official_original' END AS role FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
- k AS (SELECT *, quote <> '' AS quoted, quote <> '' AND contains(text, quote) AS located, lang_ok FROM (SELECT *, length(value) = 2 AS lang_ok FROM c)),
- r AS (SELECT doc_id, 'A' AS grp, value <> '' AS v, false AS j, value, gold FROM k UNION ALL SELECT doc_id, 'B', value <> '', quoted, value, gold FROM k
-  UNION ALL SELECT doc_id, 'C', value <> '' AND located AND lang_ok, located, value, gold FROM k
-  UNION ALL SELECT doc_id, 'D', value <> '' AND located AND lang_ok AND role <> 'unknown', located, value, gold FROM k),
- s AS (SELECT *, v AND gold <> '' AND (contains(value, gold) OR contains(gold, value)) AS ok, gold = '' AS a FROM r)"""
-
-
-@query(f"""WITH {CANDIDATES_SQL} SELECT grp AS "group", count(*) AS n, count(*) FILTER (v) AS n_values, count(*) FILTER (v AND ok)::DOUBLE / nullif(count(*) FILTER (v), 0) AS precision,
- count(*) FILTER (v AND NOT j)::DOUBLE / nullif(count(*) FILTER (v), 0) AS unjustified_rate, count(*) FILTER (v AND a)::DOUBLE / nullif(count(*) FILTER (a), 0) AS null_false_positive_rate FROM s GROUP BY grp""")
-def m01_acceptance_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups A to D of the same candidates, summed up."""
-    d, key = table(spark, sf_dir, "documents"), F.col("doc_id")
-    quote = F.substring("text", 5, 12)
-    rows = d.join(table(spark, sf_dir, "labels"), "doc_id").select(
-        "doc_id",
-        "text",
-        F.when(key % 7 != 0, F.col("lang")).otherwise("").alias("value"),
-        F.when(key % 3 == 0, "").when(key % 3 == 1, quote).otherwise(F.concat(F.lit("~"), quote)).alias("quote"),
-        F.when(F.col("quality") == 1, F.col("lang")).otherwise("").alias("gold"),
-        F.when(key % 2 == 0, "direct").otherwise("inferred").alias("support"),
-        F.when(key % 5 == 0, "unknown").otherwise("official_original").alias("role"),
-    )
-    each = ablation.candidate_rows(rows, F.contains("text", F.col("quote")), F.length("value") == 2)
-    return metrics.group_summary(each, "group")
-
-
 @query(f"""WITH {AWARDS_SQL}, m AS (SELECT winner, strftime(win_date, '%Y-%m') AS month, sum(CAST(win_amount AS DECIMAL(18,2))) AS amount, count(*) AS n FROM awards GROUP BY ALL)
 SELECT winner, sum(n)::BIGINT AS n, sum(amount)::DOUBLE AS amount, string_agg(month || '=' || n, ',' ORDER BY month) AS trend FROM m GROUP BY winner""")
 def s07_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
