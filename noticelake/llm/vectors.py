@@ -43,11 +43,12 @@ from noticelake.llm.scratch import stored
 
 COSINE = 0.9
 #: Axes of a block, and the share of the mean variance of a block below which it gets no budget.
-BLOCK_DIMS, LEAST_VARIANCE = 8, 0.01
+BLOCK_DIMS, LEAST_VARIANCE = 16, 0.01
 #: Vectors that axes and centres are fitted on, about; vectors for each centre, and centres of a block at most.
-FIT_ROWS, CELL_ROWS, MOST_CELLS = 20_000, 4096, 1024
-#: Members of a chunk, and rows of a tile of distances.
-CHUNK, TILE = 4096, 1024
+FIT_ROWS, CELL_ROWS, MOST_CELLS = 20_000, 16_384, 1024
+#: Members of a chunk, vectors that are dealt in one step, rows and columns of a tile of distances, and candidates that are checked in one step.
+CHUNK, TILE = 16_384, 1024
+TILE_ROWS, TILE_COLUMNS, STEP = 512, 2048, 32_768
 #: What rounding may add to a squared distance of vectors of length one: in double and in single precision.
 SLACK, COARSE = 1e-9, 1e-5
 
@@ -221,24 +222,33 @@ def _within(y: np.ndarray, z: np.ndarray, cut: slice) -> np.ndarray:
 
 def links_between(x: np.ndarray, side: np.ndarray, same: bool, block: int, space: Space) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of the two sides that are linked and within the budget of ``block`` and of no block before it."""
-    y, cut = space.turned(x), space.blocks[block]
     left = np.arange(len(x)) if same else np.flatnonzero(side == 0)
     right = left if same else np.flatnonzero(side == 1)
-    small = y[:, cut].astype(np.float32)
-    for at in range(0, len(left), TILE):
-        rows = left[at : at + TILE]
-        p, q = np.nonzero(_squares(small[rows], small[right]) <= space.budgets[block] + COARSE)
-        if same:
-            p, q = p[q > p + at], q[q > p + at]
-        for part in range(0, len(p), 64 * TILE):
-            a, b = rows[p[part : part + 64 * TILE]], right[q[part : part + 64 * TILE]]
-            for earlier in range(block + 1):
-                inside = _within(y[a], y[b], space.blocks[earlier]) <= space.budgets[earlier]
-                good = inside if earlier == block else ~inside
-                a, b = a[good], b[good]
-            linked = (x[a] * x[b]).sum(axis=1) >= space.cosine
-            if linked.any():
-                yield a[linked], b[linked]
+    part = (x @ space.axes[:, space.blocks[block]]).astype(np.float32)
+    squares, ones = (part * part).sum(axis=1, keepdims=True), np.ones((len(x), 1), dtype=np.float32)
+    # One product of these gives all squared distances of a tile.
+    rows = np.concatenate((-2 * part, squares, ones), axis=1)[left]
+    columns = np.concatenate((part, ones, squares), axis=1)[right]
+    most = np.float32(space.budgets[block] + COARSE)
+    for i in range(0, len(left), TILE_ROWS):
+        for j in range(i - i % TILE_COLUMNS if same else 0, len(right), TILE_COLUMNS):
+            tile = rows[i : i + TILE_ROWS] @ columns[j : j + TILE_COLUMNS].T
+            p, q = np.divmod(np.flatnonzero(tile.ravel() <= most), tile.shape[1])
+            p, q = p + i, q + j
+            if same:
+                p, q = p[q > p], q[q > p]
+            for at in range(0, len(p), STEP):
+                a, b = left[p[at : at + STEP]], right[q[at : at + STEP]]
+                own, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+                turned, y, z = space.turned(x[own]), place[: len(a)], place[len(a) :]
+                for earlier in range(block + 1):
+                    inside = _within(turned[y], turned[z], space.blocks[earlier]) <= space.budgets[earlier]
+                    good = inside if earlier == block else ~inside
+                    y, z = y[good], z[good]
+                a, b = own[y], own[z]
+                linked = (x[a] * x[b]).sum(axis=1) >= space.cosine
+                if linked.any():
+                    yield a[linked], b[linked]
 
 
 def _compared(dealt: DataFrame, space: Space) -> DataFrame:
