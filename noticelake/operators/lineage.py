@@ -62,12 +62,33 @@ def conflict(key_a: Column, key_b: Column, project: Column, type_a: Column, type
     )
 
 
+def _given(project: str) -> Column:
+    return F.coalesce(F.col(project).cast("string"), F.lit("")) != ""
+
+
+def conflict_counts(rows: DataFrame, keys: list[str], value: str, kind: str) -> DataFrame:
+    """One row per assertion (keys, value, kind) with n_conflicts and n_version_diffs: how many assertions of its keys contradict it.
+
+    The same rule as conflict_pairs(), from counts: of the assertions of a key, those of its kind have other values, and
+    of the rest those of its value are no contradiction. So a key of m assertions costs m rows, not their pairs. Rows
+    without a project (the first key) give none; null values, kinds and further keys are values of their own.
+    """
+    each = rows.filter(_given(keys[0])).groupBy(*keys, value, kind).agg(F.lit(1).alias("_one"))
+    names = [*keys, value, kind]
+    counted = each
+    for by, name in ((keys, "_all"), ([*keys, kind], "_kind"), ([*keys, value], "_value")):
+        sums = each.groupBy(*by).agg(F.count("*").alias(name)).select(*(F.col(c).alias(f"_{name}_{c}") for c in by), name)
+        counted = counted.join(sums, [counted[c].eqNullSafe(sums[f"_{name}_{c}"]) for c in by]).select(*counted.columns, name)
+    return counted.select(*names, (F.col("_kind") - 1).alias("n_conflicts"), (F.col("_all") - F.col("_kind") - F.col("_value") + 1).alias("n_version_diffs"))
+
+
 def conflict_pairs(rows: DataFrame, keys: list[str], value: str, order: str, kind: str) -> DataFrame:
     """Pairs of rows of equal keys, nulls included, with different values: keys, both orders, values and the verdict.
 
+    The first key is the project; rows without one (null or empty) cannot be compared and are in no pair.
     Rows of equal key, kind and value are one assertion, kept by its first row, so that repeats make no pairs.
     """
-    once = rows.groupBy(*keys, value, kind).agg(F.min(order).alias(order))
+    once = rows.filter(_given(keys[0])).groupBy(*keys, value, kind).agg(F.min(order).alias(order))
     a, b = once.alias("a"), once.alias("b")
     same = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
     pairs = a.join(b, same + [F.col(f"a.{order}") < F.col(f"b.{order}"), ~F.col(f"a.{value}").eqNullSafe(F.col(f"b.{value}"))])
@@ -107,13 +128,13 @@ def cross_verified(status: Column) -> Column:
     return F.coalesce(status.isin("independent", "consistent_unknown"), F.lit(False))
 
 
-def repost_clusters(pairs: DataFrame, rounds: int = 50) -> DataFrame:
+def repost_clusters(pairs: DataFrame) -> DataFrame:
     """(id, cluster) of linked pairs (a, b): least id reachable, by label rounds with pointer jumping."""
     from noticelake.sources.scratch import stored
 
     both = stored(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near")).select("id", F.least("id", "near").alias("cluster")))
-    for _ in range(rounds):
+    while True:  # until no label moves
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("near"))
         least = labels.join(near, "id").select("id", "cluster", F.least("cluster", "near").alias("next"))
         jumped = least.join(labels.select(F.col("id").alias("next"), F.col("cluster").alias("far")), "next", "left")
@@ -121,7 +142,6 @@ def repost_clusters(pairs: DataFrame, rounds: int = 50) -> DataFrame:
         labels = new.select("id", F.col("now").alias("cluster"))
         if new.filter("now <> cluster").isEmpty():
             return labels
-    raise RuntimeError("the labels did not settle")
 
 
 def combined(pages: DataFrame, field: str | None = None, value: str | None = None, project: str | None = None) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from noticelake.operators import ablation, acceptance, crossverify, lineage
+from noticelake.operators import ablation, acceptance, crossverify, deletes, lineage, quotes, spans
 from noticelake.plans.scoring import pick
 from noticelake.sources import responses
 from noticelake.sources.tables import table
@@ -178,3 +180,119 @@ def g04_cross_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_returnflag").alias("notice_type"),
     )
     return crossverify.states(claims, clusters)
+
+
+SPANS_SQL = """f AS (SELECT doc_id, k * 30 + doc_id % 7 AS s, k * 30 + doc_id % 7 + 15 + k % 20 AS e FROM (SELECT doc_id, unnest(range(0, n_chars // 30)) AS k FROM documents)),
+ g AS (SELECT doc_id, k * 45 + doc_id % 11 AS s, k * 45 + doc_id % 11 + 25 AS e FROM (SELECT doc_id, unnest(range(0, n_chars // 45)) AS k FROM documents))"""
+
+
+@query(f"""WITH {SPANS_SQL}, p AS (SELECT f.doc_id, f.s, f.e, max((least(f.e, g.e) - greatest(f.s, g.s))::DOUBLE / (greatest(f.e, g.e) - least(f.s, g.s))) AS iou FROM f JOIN g ON f.doc_id = g.doc_id AND f.s < g.e AND g.s < f.e GROUP BY ALL)
+SELECT doc_id, f.s AS start, f.e AS "end", coalesce(iou, 0) AS iou, coalesce(iou, 0) >= 0.5 AS matched FROM f LEFT JOIN p USING (doc_id, s, e)""")
+def m06_binned_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans all along each document with their best overlap; those of the gold side count from where a body begins."""
+    docs, key = table(spark, sf_dir, "documents"), F.col("doc_id")
+    along = lambda step: docs.filter(F.col("n_chars") >= step).select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n_chars") / step) - 1)).alias("k"))
+    start = F.col("k") * 30 + key % 7
+    found = along(30).select("doc_id", start.alias("start"), (start + 15 + F.col("k") % 20).alias("end"))
+    body = key % 4 * 5
+    start = F.col("k") * 45 + key % 11 - body
+    gold = along(45).select("doc_id", start.alias("start"), (start + 25).alias("end"))
+    return spans.best_overlap(found, gold, ["doc_id"], offset=body)
+
+
+@query("""WITH q AS (SELECT item_id * 100 + k AS quote_id, substr(text, 1 + 10 * k, 8) AS quote FROM (SELECT item_id, text, unnest(range(0, length(text) // 10)) AS k FROM benchmark) WHERE length(substr(text, 1 + 10 * k, 8)) = 8),
+ w AS (SELECT doc_id, i AS start, substr(text, i + 1, 8) AS quote FROM (SELECT doc_id, text, unnest(range(0, length(text) - 7)) AS i FROM documents)),
+ p AS (SELECT doc_id, quote_id, start FROM w JOIN q USING (quote)),
+ m AS (SELECT doc_id, k * 200 + doc_id % 50 AS mark FROM (SELECT doc_id, unnest(range(0, n_chars // 200)) AS k FROM documents)),
+ n AS (SELECT DISTINCT p.doc_id, start FROM p JOIN m ON p.doc_id = m.doc_id AND abs(start - mark) <= 50)
+SELECT doc_id, quote_id, start::INT AS start, n.start IS NOT NULL AS near FROM p LEFT JOIN n USING (doc_id, start)""")
+def x04_quotes_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All places of pieces of all benchmark items in all documents, and whether one of the marks along a document is near."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    piece = F.substring("text", F.col("k") * 10 + 1, F.lit(8))
+    cut = items.filter(F.length("text") >= 10).select("item_id", "text", F.explode(F.sequence(F.lit(0), F.floor(F.length("text") / 10).cast("int") - 1)).alias("k"))
+    wanted = cut.select((F.col("item_id") * 100 + F.col("k")).alias("quote_id"), piece.alias("quote")).filter(F.length("quote") == 8)
+    marks = docs.filter(F.col("n_chars") >= 200).select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n_chars") / 200) - 1)).alias("k"))
+    marks = marks.select("doc_id", (F.col("k") * 200 + F.col("doc_id") % 50).alias("start"))
+    return quotes.near_annotations(quotes.all_places(docs, wanted), marks, ["doc_id"])
+
+
+#: Tables of stored notices over the given ones, and the addresses to be forgotten.
+FORGOTTEN = ("u3", "u17", "u250", "u77")
+STORE_SQL = {
+    "notice_sources": "SELECT o_orderkey AS notice_source_id, o_custkey AS notice_id, 'u' || (o_custkey % 500) AS source_url, CASE WHEN o_orderkey % 3 = 0 THEN 'u' || (o_orderkey % 400) END AS origin_url FROM orders",
+    "notice_versions": "SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS notice_source_id FROM lineitem",
+    "notice_participants": "SELECT c_custkey AS id, c_custkey AS notice_id FROM customer",
+    "tenders": "SELECT p_partkey AS id, 'u' || (p_partkey % 700) AS source_url FROM part",
+    "extracted_fields": "SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey AS tender_id FROM lineitem",
+    "field_evidence_links": "SELECT l_orderkey * 10 + l_linenumber AS field_id, coalesce(CASE WHEN l_linenumber % 2 = 0 THEN lag(l_partkey * 100000 + l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) END, l_partkey * 100000 + l_suppkey) AS evidence_id FROM lineitem",
+    "evidence": "SELECT DISTINCT l_partkey * 100000 + l_suppkey AS id, l_partkey AS tender_id FROM lineitem",
+    "party_roles": "SELECT s_suppkey AS id, s_suppkey AS tender_id FROM supplier",
+    "push_logs": "SELECT event_id AS id, user_id AS tender_id FROM events",
+    "scrape_jobs": "SELECT c_custkey AS id, 'u' || c_custkey AS url FROM customer",
+}
+
+
+def _store(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The tables of STORE_SQL; the text is that of the stated result, read by Spark."""
+    given = {n: table(spark, sf_dir, n) for n in ("orders", "lineitem", "customer", "part", "supplier", "events")}
+    named = lambda text: text.replace(" FROM ", " FROM {").rstrip() + "}"
+    return {name: spark.sql(named(text), **{n: df for n, df in given.items() if text.endswith(f" {n}")}) for name, text in STORE_SQL.items()}
+
+
+DOOMED_SQL = f"""{", ".join(f"{n} AS ({s})" for n, s in STORE_SQL.items())}, a AS (SELECT unnest([{", ".join(f"'{x}'" for x in FORGOTTEN)}]) AS u),
+ c_notice_sources AS (SELECT *, notice_source_id AS k, CASE WHEN source_url IN (FROM a) THEN 'source_url' WHEN origin_url IN (FROM a) THEN 'origin_url' END AS cause, false AS stays FROM notice_sources),
+ c_tenders AS (SELECT *, id AS k, CASE WHEN source_url IN (FROM a) THEN 'source_url' END AS cause, false AS stays FROM tenders),
+ c_scrape_jobs AS (SELECT *, id AS k, CASE WHEN url IN (FROM a) THEN 'url' END AS cause, false AS stays FROM scrape_jobs),
+ gs AS (SELECT notice_source_id FROM c_notice_sources WHERE cause IS NOT NULL), gn AS (SELECT notice_id FROM c_notice_sources WHERE cause IS NOT NULL), gt AS (SELECT id FROM c_tenders WHERE cause IS NOT NULL),
+ c_notice_versions AS (SELECT *, id AS k, CASE WHEN notice_source_id IN (FROM gs) THEN 'notice_sources.notice_source_id' END AS cause, false AS stays FROM notice_versions),
+ c_notice_participants AS (SELECT *, id AS k, CASE WHEN notice_id IN (FROM gn) THEN 'notice_sources.notice_id' END AS cause, false AS stays FROM notice_participants),
+ c_extracted_fields AS (SELECT *, id AS k, CASE WHEN tender_id IN (FROM gt) THEN 'tenders.id' END AS cause, false AS stays FROM extracted_fields),
+ gf AS (SELECT id FROM c_extracted_fields WHERE cause IS NOT NULL),
+ c_field_evidence_links AS (SELECT *, field_id AS k, CASE WHEN field_id IN (FROM gf) THEN 'extracted_fields.id' END AS cause, false AS stays FROM field_evidence_links),
+ c_evidence AS (SELECT *, id AS k, CASE WHEN tender_id IN (FROM gt) THEN 'tenders.id' END AS cause, id IN (SELECT evidence_id FROM c_field_evidence_links WHERE cause IS NULL) AS stays FROM evidence),
+ c_party_roles AS (SELECT *, id AS k, CASE WHEN tender_id IN (FROM gt) THEN 'tenders.id' END AS cause, false AS stays FROM party_roles),
+ c_push_logs AS (SELECT *, id AS k, CASE WHEN tender_id IN (FROM gt) THEN 'tenders.id' END AS cause, false AS stays FROM push_logs),
+ marked AS ({" UNION ALL ".join(f"SELECT '{n}' AS tab, k, cause, stays FROM c_{n}" for n in STORE_SQL)})"""
+
+
+def _forgotten(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    return deletes.delete_closure(_store(spark, sf_dir), spark.createDataFrame([(u,) for u in FORGOTTEN], "address string"))
+
+
+@query(f"""WITH {DOOMED_SQL} SELECT tab AS "table", k AS id FROM marked WHERE cause IS NULL OR stays""")
+def d05_kept_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of all tables that stay when some addresses are forgotten."""
+    ids = {"notice_sources": "notice_source_id", "field_evidence_links": "field_id"}
+    kept = [df.select(F.lit(n).alias("table"), F.col(ids.get(n, "id")).alias("id")) for n, df in _forgotten(spark, sf_dir)[0].items()]
+    return reduce(DataFrame.unionByName, kept)
+
+
+@query(f"""WITH {DOOMED_SQL} SELECT tab AS "table", cause, count(*) FILTER (NOT stays) AS deleted, count(*) FILTER (stays) AS spared, 'source_url' AS deletion_scope, '{",".join(FORGOTTEN)}' AS target, 'owner' AS operator,
+ substr(sha256('source_url|{",".join(FORGOTTEN)}|request|owner|2024-01-31|' || tab || '|' || cause), 1, 16) AS audit_id FROM marked WHERE cause IS NOT NULL GROUP BY ALL""")
+def d09_deletion_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was deleted and what was spared, per table and cause, under the name of who asked for it."""
+    audit = deletes.audit_record(_forgotten(spark, sf_dir)[1], "source_url", ",".join(FORGOTTEN), "request", "owner", "2024-01-31")
+    return audit.drop("request_basis", "executed_at")
+
+
+@query(f"""WITH {", ".join(f"{n} AS ({STORE_SQL[n]})" for n in ("notice_sources", "notice_versions", "notice_participants"))}, g AS (SELECT * FROM notice_sources WHERE notice_source_id % 1000 = 7)
+SELECT 'notice_sources' AS "table", 'notice_source_id' AS cause, count(*) AS deleted, 0::BIGINT AS spared FROM g HAVING count(*) > 0
+UNION ALL SELECT 'notice_versions', 'notice_sources.notice_source_id', count(*), 0 FROM notice_versions WHERE notice_source_id IN (SELECT notice_source_id FROM g) HAVING count(*) > 0
+UNION ALL SELECT 'notice_participants', 'notice_sources.notice_id', count(*), 0 FROM notice_participants WHERE notice_id IN (SELECT notice_id FROM g) HAVING count(*) > 0""")
+def d06_source_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit of the deletion of sources by their ids, with their versions and participants."""
+    own = ("notice_sources", "notice_versions", "notice_participants")
+    tables = {n: df for n, df in _store(spark, sf_dir).items() if n in own}
+    ids = tables["notice_sources"].filter("notice_source_id % 1000 = 7").select("notice_source_id")
+    return deletes.delete_closure(tables, ids, roots={"notice_sources": ("notice_source_id",)})[1]
+
+
+@query("""WITH u AS (SELECT DISTINCT CASE WHEN l_orderkey % 10 <> 0 THEN l_orderkey END AS project, l_returnflag AS value, l_linestatus AS kind FROM lineitem), v AS (SELECT * FROM u WHERE project IS NOT NULL)
+SELECT project, value, kind, (SELECT count(*) FROM v b WHERE b.project = a.project AND b.kind = a.kind AND b.value <> a.value) AS n_conflicts,
+ (SELECT count(*) FROM v b WHERE b.project = a.project AND b.kind <> a.kind AND b.value <> a.value) AS n_version_diffs FROM v a""")
+def l07_conflict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What contradicts each assertion about an order; a tenth of the rows has no project."""
+    project = F.when(F.col("l_orderkey") % 10 != 0, F.col("l_orderkey"))
+    rows = table(spark, sf_dir, "lineitem").select(project.alias("project"), F.col("l_returnflag").alias("value"), F.col("l_linestatus").alias("kind"))
+    return lineage.conflict_counts(rows, ["project"], "value", "kind")

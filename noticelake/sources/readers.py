@@ -44,8 +44,12 @@ def read_gold(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_checkpoint(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
-    """Last record per key of JSON lines that are appended to; lines that do not parse are passed over."""
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line"))
+    """Last record per key of JSON lines that are appended to, files in the order of their paths; lines that do not parse are passed over.
+
+    Spark deals files to tasks by size; a line's place is its file, the block that it was read in, and its row within the block.
+    """
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(path).select("value", place.alias("line"))
     parsed = lines.select("line", F.from_json("value", schema).alias("r")).filter(F.col(f"r.{key}").isNotNull())
     return parsed.groupBy(f"r.{key}").agg(F.max_by("r", "line").alias("r")).select("r.*")
 

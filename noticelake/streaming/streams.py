@@ -95,11 +95,14 @@ def drop_repeats_batch(events: DataFrame, keys: list[str], order: str, minutes:
 
 
 def append_batches(stream: DataFrame, path: str, checkpoint: str, log: str | None = None):
-    """Write a stream to ``path`` in available batches; a log of the batch's ids follows last, so delivery is at least once."""
+    """Write a stream to ``path`` in available batches, then a log of the batch's ids.
+
+    A batch has a partition of its own number in both, which a repeated run of the batch replaces.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
         if log:
-            batch.select("event_id").withColumn("batch", F.lit(number)).write.mode("append").parquet(log)
+            batch.select("event_id").write.mode("overwrite").parquet(f"{log}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
