@@ -7,9 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from noticelake.operators import ablation, acceptance, crossverify, deletes, lineage, quotes, spans
+from noticelake.functions import tabular
+from noticelake.operators import ablation, acceptance, crossverify, deletes, lineage, quotes, resampling, spans
+from noticelake.operators.facts import PATTERNS
+from noticelake.plans.domain import LICENSE
 from noticelake.plans.scoring import pick
-from noticelake.sources import responses
+from noticelake.sources import evolving, responses, scratch, selectors
 from noticelake.sources.tables import table
 
 QUERIES: dict = {}
@@ -296,3 +299,73 @@ def l07_conflict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     project = F.when(F.col("l_orderkey") % 10 != 0, F.col("l_orderkey"))
     rows = table(spark, sf_dir, "lineitem").select(project.alias("project"), F.col("l_returnflag").alias("value"), F.col("l_linestatus").alias("kind"))
     return lineage.conflict_counts(rows, ["project"], "value", "kind")
+
+
+@query("""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<li>.*?</li>')) AS li, generate_subscripts(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<li>.*?</li>'), 1) - 1 AS item FROM pages),
+ a AS (SELECT *, regexp_extract(li, '<a href="([^"]*)"', 1) AS href, regexp_extract(li, '<a [^>]*>([^<]*)</a>', 1) AS t FROM l)
+SELECT page_id, item::INT AS item, replace(t, '&amp;', '&') AS title, CASE WHEN href LIKE '/%' THEN regexp_extract(url, '^[a-z]+://[^/?#]+') || replace(href, '&amp;', '&') ELSE nullif(replace(href, '&amp;', '&'), '') END AS url FROM a""")
+def src07_list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of the navigation of every page by selectors, with their texts and absolute addresses."""
+    return selectors.scrape(table(spark, sf_dir, "pages"), selectors.NAVIGATION)
+
+
+@query("""WITH a AS (SELECT page_id, html, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS body FROM pages)
+SELECT page_id, 0::INT AS item, CASE WHEN body LIKE '%<h1>%' THEN trim(replace(regexp_extract(body, '(?s)<h1>(.*?)</h1>', 1), '&amp;', '&')) END AS title,
+ CASE WHEN html LIKE '%<nav>%<a href="/%</nav>%' THEN replace(regexp_extract(html, '<a href="/[^"]*">([^<]*)</a>', 1), '&amp;', '&') END AS link FROM a""")
+def src08_article_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title of every article and the text of the page's first inner link, by a template without a list."""
+    return selectors.scrape(table(spark, sf_dir, "pages"), selectors.ARTICLE).drop("first")
+
+
+@query()
+def m10_exact_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of good documents with its interval, sources resampled with exactly as many draws as there are sources."""
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").withColumn("one", F.lit(1))
+    return resampling.interval(rows, "source", "quality", "one", replicates=500)
+
+
+@query(f"""WITH p AS (SELECT doc_id, string_split(text, '{LICENSE}') AS parts FROM documents WHERE contains(text, '{LICENSE}')),
+ k AS (SELECT doc_id, parts, unnest(range(0, len(parts) - 1)) AS number FROM p)
+SELECT doc_id, number::INT AS number, (list_sum(list_transform(parts[1:number + 1], lambda x: length(x))) + number * {len(LICENSE)})::INT AS start FROM k""")
+def e08_lateral_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of a quote in every document, by a table function in a LATERAL join."""
+    tabular.register(spark)
+    return spark.sql(f"SELECT doc_id, o.number, o.start FROM {{docs}} AS d, LATERAL occurrences(d.text, '{LICENSE}', CAST(NULL AS INT)) AS o", docs=table(spark, sf_dir, "documents"))
+
+
+@query(
+    "WITH f AS ("
+    + " UNION ALL ".join(f"SELECT doc_id, source, unnest(list_distinct(regexp_extract_all(text, '{p}'))) AS fact, '{k}' AS category FROM documents" for k, p in PATTERNS.items())
+    + ") SELECT DISTINCT doc_id, source, category, trim(fact) AS fact FROM f"
+)
+def p23_table_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of every document, by a table function over the documents as a partitioned table; its schema comes from theirs."""
+    tabular.register(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return spark.sql("SELECT * FROM facts(TABLE(SELECT * FROM {docs}) PARTITION BY (doc_id), 'text')", docs=docs)
+
+
+#: The columns of the batches that x11_evolving_table writes, in the order in which they were added.
+EVOLVED = [
+    evolving.Added("id", "bigint"), evolving.Added("amount", "decimal(20,2)"), evolving.Added("published", "timestamp"),
+    evolving.Added("kind", "string", "tender", 2), evolving.Added("checked", "boolean", False, 3), evolving.Added("score", "double", None, 3),
+]
+
+
+@query("""WITH b AS (SELECT o_orderkey AS id, CAST(floor(o_totalprice) AS INT) AS amount, CAST(o_orderdate AS DATE)::TIMESTAMP AS published, 'tender' AS kind, false AS checked, NULL::DOUBLE AS score, 1 AS schema_version FROM orders WHERE o_orderkey % 3 = 0
+ UNION ALL SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)), o_orderdate, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END, false, NULL, 2 FROM orders WHERE o_orderkey % 3 = 1
+ UNION ALL SELECT o_orderkey, CAST(o_totalprice AS DECIMAL(18,2)), o_orderdate, o_orderstatus, o_custkey % 2 = 0, o_custkey / 4, 3 FROM orders WHERE o_orderkey % 3 = 2)
+SELECT schema_version, kind, checked, count(*) AS n, count(score) AS n_scored, sum(amount)::DOUBLE AS amount, min(published) AS first_published FROM b GROUP BY ALL""")
+def x11_evolving_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as three batches, before and after columns were added and types widened, and read back as one table."""
+    orders, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    price, at = F.col("o_totalprice"), F.col("o_orderdate")
+    batches = (
+        orders.filter(key % 3 == 0).select(key.alias("id"), F.floor(price).cast("int").alias("amount"), at.cast("date").alias("published")),
+        orders.filter(key % 3 == 1).select(key.alias("id"), price.cast("decimal(18,2)").alias("amount"), at.alias("published"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("kind")),
+        orders.filter(key % 3 == 2).select(key.alias("id"), price.cast("decimal(18,2)").alias("amount"), at.alias("published"), F.col("o_orderstatus").alias("KIND"), (F.col("o_custkey") % 2 == 0).alias("checked"), (F.col("o_custkey") / 4).cast("float").alias("score"), F.lit(1).alias("left_out")),
+    )
+    paths = [scratch.written(b) for b in batches]
+    whole = evolving.read_evolving(spark, paths, EVOLVED)
+    sums = (F.count("*").alias("n"), F.count("score").alias("n_scored"), F.sum("amount").cast("double").alias("amount"), F.min("published").alias("first_published"))
+    return whole.groupBy("schema_version", "kind", "checked").agg(*sums)

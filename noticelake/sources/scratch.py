@@ -30,15 +30,19 @@ def _tables(spark: SparkSession) -> str:
     return os.path.join(shared_dir(spark), f"tables-{spark.sparkContext.applicationId}")
 
 
+def written(df: DataFrame) -> str:
+    """The path of a new table in the shared folder that holds ``df``."""
+    path = os.path.join(_tables(df.sparkSession), f"table-{uuid4().hex}")
+    df.write.parquet(path)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again, so that its lineage ends.
 
     A lost executor then costs no more than the tasks that it ran. The tables of an application stay until ``clear``.
     """
-    spark = df.sparkSession
-    path = os.path.join(_tables(spark), f"table-{uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(written(df))
 
 
 def clear(spark: SparkSession) -> None:

@@ -3,12 +3,15 @@
 import json
 import os
 import random
+from html.parser import HTMLParser
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from noticelake.operators import acceptance, crossverify, deletes, evidence, lineage, quotes, spans, versions
-from noticelake.sources import readers, responses
+from noticelake.functions import tabular
+from noticelake.operators import acceptance, crossverify, deletes, evidence, lineage, quotes, resampling, spans, versions
+from noticelake.sources import evolving, readers, responses, selectors
 from noticelake.streaming import pages, pushes
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -220,3 +223,111 @@ def test_a_batch_that_fails_between_its_writes_is_pushed_once(spark, tmp_path, m
     assert sorted((r.subscription_id, r.tender_id) for r in pushes.pushed(spark, out, log).collect()) == [(1, 1), (1, 2), (2, 1)]
     pushes.push_stream(stream(), out, log, mark).awaitTermination()
     assert sorted((r.subscription_id, r.tender_id, r.batch) for r in pushes.pushed(spark, out, log).collect()) == [(1, 1, 0), (1, 2, 0), (1, 3, 1), (1, 4, 2), (2, 1, 0)]
+
+
+class Tree(HTMLParser):
+    """A page's elements as dictionaries with their parents and texts, for well-formed markup."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.all, self.open = [], []
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.all.append({"tag": tag, "attrs": dict(attrs), "up": list(self.open), "text": []})
+        if tag not in ("br", "img", "meta"):
+            self.open.append(self.all[-1])
+
+    def handle_endtag(self, tag):
+        if any(e["tag"] == tag for e in self.open):
+            while self.open.pop()["tag"] != tag:
+                pass
+
+    def handle_data(self, data):
+        if not self.open or self.open[-1]["tag"] not in ("script", "style"):
+            for e in self.open:
+                e["text"].append(data)
+
+
+def test_items_by_selectors_equal_a_tree(spark):
+    """The navigation of all pages, by html.parser."""
+    pages_ = spark.read.parquet(f"{SF}/pages.parquet")
+    want = []
+    for p in pages_.collect():
+        tree = Tree(p.html)
+        lis = [e for e in tree.all if e["tag"] == "li" and e["up"] and e["up"][-1]["tag"] == "ul" and any(u["tag"] == "nav" for u in e["up"])]
+        for n, li in enumerate(lis):
+            a = next((e for e in tree.all if e["tag"] == "a" and any(u is li for u in e["up"])), None)
+            root = "/".join(p.url.split("/")[:3])
+            want.append((p.page_id, n, " ".join("".join(a["text"]).split()), root + a["attrs"]["href"]))
+    assert want and sorted(tuple(r) for r in selectors.scrape(pages_, selectors.NAVIGATION).collect()) == sorted(want)
+
+
+def test_selectors_on_odd_markup(spark):
+    page = (
+        "<div id=main class='a b'><ul class=list><li>One <a href='/x?a=1&amp;b=2'>go  <b>now</b></a> <span class=time>2024</span><li data-k=\"v1\"><!-- <a href=no> --><p class='date area'>T</p><a>none</a>"
+        "</ul><ul><li>out</li></ul><script>'<li>'</script></div><ul class=bid-list><li><a HREF=http://y/z>far</a><img src=q><i>é&lt;</i></li></ul><p>tail"
+    )
+    df = spark.createDataFrame([(1, "https://h.org:8/p/q", page), (2, "u", None), (3, "u", ""), (4, "u", "no markup <")], "page_id int, url string, html string")
+    got = sorted(tuple(r) for r in selectors.scrape(df, selectors.NOTICE_LIST).select("page_id", "item", "title", "publish_time", "location", "detail_url", "content").collect())
+    assert got == [(1, 0, "go now", "2024", None, "https://h.org:8/x?a=1&b=2", None), (1, 1, "none", "T", "T", None, "T"), (1, 2, "far", None, None, "http://y/z", None)]
+    own = {"first": "#main .list > li", "second": "li[data-k^=v] a", "any": "ul.none, i", "star": "div > *", "has": "[data-k]", "end": "p"}
+    single = selectors.Template("own", own)
+    rows = {r.page_id: r for r in selectors.scrape(df, single).collect()}
+    assert tuple(rows[1])[2:] == ("One go now 2024", "none", "é<", "One go now 2024Tnone", "Tnone", "T")
+    assert rows[4].first is None and set(rows) == {1, 4}
+    for bad in ("", "a >> (", "li:hover"):
+        with pytest.raises(ValueError, match="not understood"):
+            selectors.compiled(bad)
+    assert {"navigation", "notice_list", "article"} <= set(selectors.template_names()) and selectors.template("Navigation") is selectors.NAVIGATION
+
+
+def test_resampling_draws_exactly_and_agrees_with_brute_force(spark):
+    rng = np.random.default_rng(1)
+    rows = [(f"p{i}", float(rng.integers(0, 10)), float(rng.integers(1, 12))) for i in range(60) for _ in range(int(rng.integers(1, 5)))] + [(None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "project string, x double, y double")
+    for block in (4096, 7):
+        parts = resampling.weighted_sums(df, "project", "x", "y", 50, 3, block)
+        assert {r.w for r in parts.groupBy("replicate").agg(F.sum("weight").alias("w")).collect()} == {60}
+    again = resampling.interval(df.repartition(7), "project", "x", "y", 400, 3, block=7).first()
+    assert again == resampling.interval(df.coalesce(1), "project", "x", "y", 400, 3, block=7).first() and again.n_draws == 60
+    sums = {}
+    for p, x, y in rows[:-1]:
+        a, b = sums.get(p, (0, 0))
+        sums[p] = (a + x, b + y)
+    flat = np.array(list(sums.values()))
+    drawn = flat[rng.integers(0, 60, size=(4000, 60))].sum(axis=1)
+    ratios = np.sort(drawn[:, 0] / drawn[:, 1])
+    for linear in (False, True):
+        got = resampling.interval(df, "project", "x", "y", 1000, 5, linear)
+        low, high = got.first().low, got.first().high
+        width = ratios[3899] - ratios[100]
+        assert got.first().point == pytest.approx(flat[:, 0].sum() / flat[:, 1].sum())
+        assert abs(low - ratios[100]) < 0.15 * width and abs(high - ratios[3899]) < 0.15 * width
+    with pytest.raises(ValueError, match="two projects"):
+        resampling.interval(df.filter("project = 'p1'"), "project", "x", "y")
+
+
+def test_table_functions_on_odd_rows(spark):
+    tabular.register(spark)
+    df = spark.createDataFrame([(1, "aaaa 5元 5元 1%", "x"), (2, None, "y"), (3, "", None)], "id int, text string, fact_of string")
+    got = spark.sql("SELECT id, o.number, o.start FROM {d}, LATERAL occurrences(text, 'aa', 1) AS o", d=df).collect()
+    assert [tuple(r) for r in got] == [(1, 0, 0)]
+    got = spark.sql("SELECT * FROM facts(TABLE(SELECT * FROM {d}) PARTITION BY (id), 'text')", d=df)
+    assert got.columns == ["id", "fact_of", "category", "fact"]
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "x", "百分比", "1%"), (1, "x", "金额", "5元")]
+    with pytest.raises(Exception, match="no column"):
+        spark.sql("SELECT * FROM facts(TABLE(SELECT * FROM {d}), 'nothing')", d=df).collect()
+
+
+def test_batches_that_do_not_widen_are_an_error(spark, tmp_path):
+    columns = [evolving.Added("id", "bigint"), evolving.Added("n", "int", 7, 2)]
+    spark.createDataFrame([(1,)], "id int").write.parquet(str(tmp_path / "a"))
+    spark.createDataFrame([(2, 5), (3, None)], "id long, n short").write.parquet(str(tmp_path / "b"))
+    spark.createDataFrame([(4, 5)], "id long, n long").write.parquet(str(tmp_path / "c"))
+    got = evolving.read_evolving(spark, [str(tmp_path / n) for n in "ab"], columns)
+    assert sorted(map(tuple, got.collect())) == [(1, 7, 1), (2, 5, 2), (3, None, 2)] and got.dtypes == [("id", "bigint"), ("n", "int"), ("schema_version", "int")]
+    with pytest.raises(TypeError, match="n: bigint does not widen to int"):
+        evolving.read_evolving(spark, [str(tmp_path / n) for n in "abc"], columns)
+    assert evolving.read_evolving(spark, [], columns).count() == 0
