@@ -4,11 +4,16 @@ Words and word pairs are hashed into slots, whose number grows with the corpus:
 ``SLOT_RATE`` times the square root of its bytes, ``MIN_SLOTS`` at least, as the number of
 different n-grams grows slower than the text, so that a slot mixes about as many of them
 at any size. Two multinomials over the slots, one of trusted texts and one of all raw
-texts, both counted over all their rows and smoothed, give each slot a log-likelihood
-ratio; a document's score is the mean ratio of its n-grams. A document is kept if it passes
-the base rules and its score reaches ``THRESHOLD``, a fixed value, so that verdicts are
-deterministic: 0 is the score of a text that is as likely under both multinomials, and the
-margin below it leaves room for the smoothing of rare n-grams.
+texts, both counted over all their rows, give each slot a log-likelihood ratio. Both are
+smoothed by ``SMOOTHING`` raw n-grams a slot, the trusted one by as many as its share, so
+that a slot that neither holds says nothing.
+
+No text is measured by its own counts: an n-gram of a text counts one less in the raw
+multinomial and, where the text is trusted, in the trusted one, and its length is taken
+from the sums of those. Without that a text that is trusted scores higher than one as good
+that is not. The score is the mean ratio over a text's n-grams. A document is kept if it
+passes the base rules and its score reaches ``THRESHOLD``, a fixed value, so that verdicts
+are deterministic; it was set on labelled texts of which half were not trusted.
 
 The n-grams of a document are looked up and summed in the task that reads it: the table of
 ratios, one row for each slot that occurs, is broadcast while the corpus has no more than
@@ -17,13 +22,14 @@ are counted.
 
 Defined results: a null text is an empty one and fails the base rules; n-grams of a
 document without words give the score 0; repeated rows give repeated results and
-count repeatedly in the raw multinomial; where there are no trusted texts every slot
-has the ratio 0; empty tables give empty results; long texts are read whole; other columns
+count repeatedly in the raw multinomial; all rows of a trusted id are trusted; where there
+are no trusted texts every score is 0; empty tables give empty results; long texts are read whole; other columns
 are not read.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from math import ceil, sqrt
 
 from pyspark.sql import Column, DataFrame
@@ -32,7 +38,7 @@ from pyspark.sql import functions as F
 from noticelake.llm.common import whole_text, words
 from noticelake.llm.scratch import stored
 
-SLOT_RATE, MIN_SLOTS, SMOOTHING, THRESHOLD = 3, 16_384, 0.5, -0.07
+SLOT_RATE, MIN_SLOTS, SMOOTHING, THRESHOLD = 3, 16_384, 60, -0.08
 #: Slots up to which their ratios are broadcast: some 100 MB.
 BROADCAST_SLOTS = 1 << 22
 #: Ids of trusted texts that are broadcast; more are shuffled.
@@ -63,17 +69,34 @@ def slot_counts(docs: DataFrame, slots: int, text_col: str = "text") -> DataFram
     return found.groupBy("slot").agg(F.count("slot").alias("n")).filter("slot is not null")
 
 
-def log_ratios(trusted: DataFrame, raw: DataFrame, slots: int, text_col: str = "text") -> DataFrame:
-    """(slot, ratio) of each slot that occurs in ``raw``: its log-likelihood ratio."""
+@dataclass(frozen=True)
+class Multinomials:
+    """``logs`` (slot, plain, trusted): the logarithm of the ratio of both counts for an n-gram of a text that is not trusted, and of one that is; the sums of both counts; slots."""
+
+    logs: DataFrame
+    good: int
+    raw: int
+    slots: int
+
+    def score(self, total: Column, n: Column, trusted: Column) -> Column:
+        """The mean ratio of ``n`` n-grams from the sum of their logarithms, without the text's own counts."""
+        share = SMOOTHING * self.good / self.raw if self.raw else 0.0
+        good = F.lit(self.good) - F.when(trusted, n).otherwise(0) + share * self.slots
+        raw = F.lit(self.raw) - n + SMOOTHING * self.slots
+        return total / n - F.log(good) + F.log(raw)
+
+
+def multinomials(trusted: DataFrame, raw: DataFrame, slots: int, text_col: str = "text") -> Multinomials:
+    """Counts of trusted texts and of all raw ones, of which the trusted are a part."""
     good, every = stored(slot_counts(trusted, slots, text_col)), stored(slot_counts(raw, slots, text_col))
-    total = lambda df: (df.agg(F.sum("n")).first()[0] or 0) + SMOOTHING * slots
+    total = lambda df: df.agg(F.sum("n")).first()[0] or 0
     good_total, raw_total = total(good), total(every)
+    share = SMOOTHING * good_total / raw_total if raw_total else 0.0
+    g = F.coalesce("g", F.lit(0))
+    below = F.log(F.greatest(F.col("n") - 1, F.lit(0)) + F.lit(SMOOTHING))
     both = every.join(good.withColumnRenamed("n", "g"), "slot", "left")
-    of = lambda n, size: F.log((n + F.lit(SMOOTHING)) / F.lit(size))
-    ratio = of(F.coalesce("g", F.lit(0)), good_total) - of(F.col("n"), raw_total)
-    if good_total == SMOOTHING * slots:  # no trusted text
-        ratio = F.lit(0.0)
-    return stored(both.select("slot", ratio.alias("ratio")))
+    logs = both.select("slot", (F.log(g + share) - below).alias("plain"), (F.log(F.greatest(g - 1, F.lit(0)) + share) - below).alias("trusted"))
+    return Multinomials(stored(logs), good_total, raw_total, slots)
 
 
 def _repeated_words(listed: Column) -> Column:
@@ -125,23 +148,32 @@ def base_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def quality_report(
     docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Per document: the base counts, base_failed, kept and the score."""
+    """Per document: the base counts, base_failed, kept and the score. ``trusted`` (doc_id, text) holds those rows of ``docs`` that are."""
     slots = number_of_slots(docs, text_col)
-    ratios = log_ratios(trusted, docs, slots, text_col)
+    found = multinomials(trusted, docs, slots, text_col)
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     base = base_columns(docs, id_col, text_col)
     own = ("doc_id", "text_key", *counts)
     grams = base.select(*own, F.explode_outer(ngram_slots(F.col("words"), slots)).alias("slot"))
+    logs = found.logs
     if slots <= BROADCAST_SLOTS:
-        ratios = F.broadcast(ratios)
+        logs = F.broadcast(logs)
         grams = grams.withColumn("n", F.lit(1).cast("long"))
     else:
         grams = grams.groupBy(*own, "slot").agg(F.count("*").alias("n"))
     # Equal rows of equal id are summed together; their number is that of their n-grams by that of one of them.
-    summed = grams.join(ratios, "slot", "left").groupBy(*own).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("ratio")).alias("total"))
+    both = {c: F.sum(F.col("n") * F.col(c)).alias(c) for c in ("plain", "trusted")}
+    summed = grams.join(logs, "slot", "left").groupBy(*own).agg(F.sum("n").alias("n"), *both.values())
+    marked = trusted.select(F.col("doc_id").alias("_id")).filter("_id is not null").distinct()
+    if marked.count() <= BROADCAST_ROWS:
+        marked = F.broadcast(marked)
+    summed = summed.join(marked, F.col("doc_id") == F.col("_id"), "left").withColumn("own", F.col("_id").isNotNull())
     each = F.greatest(F.lit(1), 2 * F.col("n_words") - 1)
-    score = F.when(F.col("n_words") > 0, F.round(F.col("total") / F.col("n"), 9)).otherwise(F.lit(0.0))
-    base = summed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), (F.col("n") / each).cast("long"))))
+    copies = F.greatest(F.lit(1), (F.col("n") / each).cast("long"))
+    total = F.when(F.col("own"), F.col("trusted")).otherwise(F.col("plain")) / copies
+    known = (F.col("n_words") > 0) & F.lit(found.good > 0)
+    score = F.when(known, F.round(found.score(total, each, F.col("own")), 9)).otherwise(F.lit(0.0))
+    base = summed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     return base.select(
         "doc_id",

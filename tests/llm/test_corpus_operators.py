@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import regex
+from pyspark.sql import functions as F
 
 from noticelake.llm import components, decontam, neardup, quality_rules, quality_zstd
 from noticelake.llm.queries import op5_quality
@@ -76,19 +77,51 @@ def test_rules_on_repetition(spark):
     assert got == {i: rule_counts(t)[4] for i, t in enumerate(texts)}
 
 
-def test_scores_follow_the_ratio_of_multinomials(spark):
-    raw = spark.createDataFrame([(1, "good good words"), (2, "bad words bad")], "doc_id long, text string")
-    trusted = raw.filter("doc_id = 1")
-    m, a = quality_rules.number_of_slots(raw), quality_rules.SMOOTHING
-    ratios = {r.slot: r.ratio for r in quality_rules.log_ratios(trusted, raw, m).collect()}
-    slots = {r.doc_id: r.s for r in raw.select("doc_id", quality_rules.ngram_slots(quality_rules.words(raw.text), m).alias("s")).collect()}
-    assert len(slots[1]) == 5 and set(ratios) == {*slots[1], *slots[2]}
-    good, every = Counter(slots[1]), Counter(slots[1] + slots[2])
-    for i in every:
-        want = math.log((good[i] + a) / (5 + a * m)) - math.log((every[i] + a) / (10 + a * m))
-        assert ratios[i] == pytest.approx(want)
-    report = {r.doc_id: r.score for r in quality_rules.quality_report(raw, trusted).collect()}
-    assert report[1] > report[2] and report[1] == pytest.approx(np.mean([ratios[i] for i in slots[1]]), abs=1e-5)
+def plain_scores(texts, trusted, slots_of, m):
+    """texts: id to its words; the score of each by counts of which its own n-grams are left out, one each."""
+    a, counts = quality_rules.SMOOTHING, {i: Counter(slots_of[i]) for i in texts}
+    raw, good = sum(counts.values(), Counter()), sum((counts[i] for i in texts if i in trusted), Counter())
+    n, g = sum(raw.values()), sum(good.values())
+    out = {}
+    for i, own in counts.items():
+        size, t = sum(own.values()), i in trusted
+        each = sum(k * (math.log(good[s] - t + a * g / n) - math.log(raw[s] - 1 + a)) for s, k in own.items()) / size
+        out[i] = each - math.log(g - t * size + a * m * g / n) + math.log(n - size + a * m)
+    return out
+
+
+def test_scores_follow_the_ratio_of_multinomials(spark, docs):
+    few = spark.createDataFrame([(1, "good good words"), (2, "bad words bad"), (3, "good words again")], "doc_id long, text string")
+    for raw, trusted in ((few, {1, 3}), (docs.filter("length(text) < 3000").select("doc_id", "text"), set(range(0, 200, 3)))):
+        m = quality_rules.number_of_slots(raw)
+        slots = {r.doc_id: r.s for r in raw.select("doc_id", quality_rules.ngram_slots(quality_rules.words(raw.text), m).alias("s")).collect() if r.s}
+        want = plain_scores(slots, trusted, slots, m)
+        got = {r.doc_id: r.score for r in quality_rules.quality_report(raw, raw.filter(raw.doc_id.isin(*trusted))).collect()}
+        assert {i: got[i] for i in want} == pytest.approx(want, abs=1e-7)
+    nobody = quality_rules.quality_report(few, few.limit(0)).collect()
+    assert {r.score for r in nobody} == {0.0}
+
+
+def test_trust_is_no_advantage_and_rows_that_are_added_change_little(spark):
+    """Good texts of which half are trusted are kept alike; verdicts on some texts stay when ten times as many come in."""
+    small, large = (spark.read.parquet(f"/root/testdata/{sf}/documents.parquet") for sf in ("sf0.01", "sf0.1"))
+    labels = [spark.read.parquet(f"/root/testdata/{sf}/labels.parquet") for sf in ("sf0.01", "sf0.1")]
+    quality = {r.doc_id: r.quality for r in labels[0].collect()}
+    good = quality_rules.trusted_texts(small, labels[0])
+    half = good.filter("pmod(xxhash64(doc_id), 2) = 0")
+    inside = {r.doc_id for r in half.select("doc_id").collect()}
+    rows = [r for r in quality_rules.quality_report(small, half).collect() if not r.base_failed]
+    share = lambda ids: np.mean([r.kept for r in rows if r.doc_id in ids])
+    outside = {i for i, q in quality.items() if q == 1} - inside
+    assert share(inside) > 0.95 and share(outside) > 0.95 and abs(share(inside) - share(outside)) < 0.03
+    assert share({i for i, q in quality.items() if q == 0}) < 0.1
+    alone = {r.doc_id: r.kept for r in quality_rules.quality_report(small, good).collect()}
+    moved = large.select((F.col("doc_id") + 1_000_000).alias("doc_id"), "text")
+    more = labels[1].select((F.col("doc_id") + 1_000_000).alias("doc_id"), "quality")
+    both = small.select("doc_id", "text").unionByName(moved)
+    trusted = quality_rules.trusted_texts(both, labels[0].select("doc_id", "quality").unionByName(more))
+    together = {r.doc_id: r.kept for r in quality_rules.quality_report(both, trusted).collect()}
+    assert sum(together[i] != k for i, k in alone.items()) <= 20
 
 
 def test_rules_beyond_the_broadcast_and_with_more_slots(spark, docs, odd_docs, monkeypatch):
