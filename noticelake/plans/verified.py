@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noticelake.functions import tabular
-from noticelake.operators import ablation, acceptance, crossverify, deletes, lineage, quotes, resampling, spans
+from noticelake.operators import ablation, acceptance, amounts, crossverify, deletes, lineage, profiles, quotes, resampling, spans
 from noticelake.operators.facts import PATTERNS
 from noticelake.plans.domain import LICENSE
 from noticelake.plans.scoring import pick
 from noticelake.sources import evolving, responses, scratch, selectors
-from noticelake.sources.tables import table
+from noticelake.sources.tables import AWARDS_SQL, awards, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -369,3 +369,51 @@ def x11_evolving_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = evolving.read_evolving(spark, paths, EVOLVED)
     sums = (F.count("*").alias("n"), F.count("score").alias("n_scored"), F.sum("amount").cast("double").alias("amount"), F.min("published").alias("first_published"))
     return whole.groupBy("schema_version", "kind", "checked").agg(*sums)
+
+
+@query(f"""WITH {AWARDS_SQL}, s AS (SELECT winner AS organisation, count(*) AS n_winner, sum(CAST(win_amount AS DECIMAL(18,2))) AS won FROM (SELECT 'org' || (notice_id % 211) AS winner, win_amount FROM awards) GROUP BY ALL),
+ b AS (SELECT 'org' || (o_custkey % 307) AS organisation, count(*) AS n_purchaser, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS bought FROM orders GROUP BY ALL)
+SELECT organisation, coalesce(n_winner, 0) AS n_winner, coalesce(won, 0)::DOUBLE AS amount_winner, coalesce(n_purchaser, 0) AS n_purchaser, coalesce(bought, 0)::DOUBLE AS amount_purchaser,
+ (coalesce(won, 0) + coalesce(bought, 0))::DOUBLE AS total FROM s FULL JOIN b USING (organisation)""")
+def a10_both_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What organisations have won and bought, some of them both."""
+    won = awards(spark, sf_dir).select(F.concat(F.lit("org"), (F.col("notice_id") % 211).cast("string")).alias("who"), "win_amount")
+    bought = table(spark, sf_dir, "orders").select(F.concat(F.lit("org"), (F.col("o_custkey") % 307).cast("string")).alias("who"), "o_totalprice")
+    return profiles.role_sums({"winner": (won, "who", "win_amount"), "purchaser": (bought, "who", "o_totalprice")})
+
+
+def _top_sql(column: str) -> str:
+    return f"SELECT winner, string_agg(v, ',' ORDER BY k) AS {column} FROM (SELECT winner, {column} AS v, row_number() OVER (PARTITION BY winner ORDER BY count(*) DESC, {column}) AS k FROM w WHERE coalesce({column}, '') <> '' GROUP BY winner, {column}) WHERE k <= 5 GROUP BY winner"
+
+
+@query(f"""WITH {AWARDS_SQL}, w AS (SELECT awards.*, CASE WHEN lot % 4 <> 0 THEN 'agency ' || (notice_id % 13) WHEN lot % 8 = 0 THEN '' END AS agency FROM awards),
+ p AS ({_top_sql("purchaser")}), a AS ({_top_sql("agency")}), r AS ({_top_sql("region")}),
+ s AS (SELECT winner, count(*) AS win_count, sum(CAST(win_amount AS DECIMAL(18,2)))::DOUBLE AS total_win_amount, strftime(min(win_date), '%Y-%m-%d') AS first_win_date, strftime(max(win_date), '%Y-%m-%d') AS last_win_date FROM w GROUP BY winner)
+SELECT s.*, coalesce(purchaser, '') AS purchaser, coalesce(agency, '') AS agency, coalesce(region, '') AS region FROM s LEFT JOIN p USING (winner) LEFT JOIN a USING (winner) LEFT JOIN r USING (winner)""")
+def a16_full_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles of suppliers with their main purchasers, agencies and regions."""
+    lot = F.col("lot")
+    agency = F.when(lot % 4 != 0, F.concat(F.lit("agency "), (F.col("notice_id") % 13).cast("string"))).when(lot % 8 == 0, "")
+    found = profiles.supplier_profiles(awards(spark, sf_dir).withColumn("agency", agency))
+    return found.withColumns({c: F.coalesce(F.array_join(c, ","), F.lit("")) for c in ("purchaser", "agency", "region")})
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS q, l_partkey % 6 AS t, (l_orderkey + l_linenumber) % 7 AS f FROM lineitem),
+ v AS (SELECT *, CASE t WHEN 0 THEN NULL WHEN 1 THEN 'award' WHEN 2 THEN 'unknown' WHEN 3 THEN 'gift' WHEN 4 THEN 'budget' ELSE '' END AS kind, CASE f WHEN 3 THEN 0 ELSE q END AS n,
+  CASE f WHEN 0 THEN '元' WHEN 1 THEN '万元' WHEN 2 THEN '亿元' WHEN 3 THEN '' WHEN 4 THEN '万元' END AS unit FROM l),
+ e AS (SELECT *, CASE WHEN f = 6 THEN 'empty' WHEN kind = 'gift' THEN 'bad_type' WHEN f = 5 THEN 'bad_format' END AS error, n * CASE unit WHEN '万元' THEN 10000.0::DOUBLE WHEN '亿元' THEN 100000000.0::DOUBLE ELSE 1.0::DOUBLE END AS value FROM v)
+SELECT l_orderkey, l_linenumber, error IS NULL AS valid, error, CASE WHEN error IS NULL THEN value END AS value, CASE WHEN error IS NULL THEN CASE f WHEN 4 THEN 'USD' ELSE 'CNY' END END AS currency,
+ CASE WHEN error IS NULL AND kind IN ('award', 'budget') THEN kind END AS amount_type, CASE WHEN error IS NULL THEN CASE WHEN n = 0 THEN 1 ELSE 0 END END::INT AS n_warnings,
+ CASE WHEN error IS NULL THEN nullif(concat_ws(' | ', CASE WHEN kind = 'unknown' THEN 'amount_type=unknown→None' END,
+  CASE WHEN f = 1 THEN '剥离前缀: ''中标金额：人民币' || q || '万元（含税）...'' → ''' || q || '万元（含税）''' END,
+  CASE WHEN f = 2 THEN '括号单位展开: ''（亿元）'' → ''亿元''' END, CASE WHEN f = 1 THEN '剥离后缀: ''（含税）''' END,
+  CASE WHEN unit = '亿元' THEN q || '.0亿 × 10^8 = ' || q || '00000000.0元' WHEN unit = '万元' THEN q || '.0万 × 10^4 = ' || q || '0000.0元' END), '') END AS derivation_rule FROM e""")
+def v01_amount_in_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts in seven shapes and with six kinds of types, with errors, warnings and rules."""
+    q = F.col("l_quantity").cast("long").cast("string")
+    cat = lambda *x: F.concat(*(F.lit(i) if isinstance(i, str) else i for i in x))
+    shape = pick(F.col("l_orderkey") + F.col("l_linenumber"), cat(q, "元"), cat("中标金额：人民币", q, "万元（含税）"), cat(q, " （亿元）"), F.lit("0"), cat("$", q, "万元"), cat("about ", q), F.lit("  "))
+    kind = pick(F.col("l_partkey"), F.lit(None).cast("string"), F.lit("award"), F.lit("unknown"), F.lit("gift"), F.lit("budget"), F.lit(""))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", shape.alias("raw"), kind.alias("kind"))
+    a = amounts.validated(rows, "raw", "kind")
+    return a.select("l_orderkey", "l_linenumber", "amount.valid", "amount.error", "amount.value", "amount.currency", "amount.amount_type", F.when(F.col("amount.valid"), F.size("amount.warnings")).alias("n_warnings"), "amount.derivation_rule")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from noticelake.functions import tabular
-from noticelake.operators import acceptance, crossverify, deletes, evidence, lineage, quotes, resampling, spans, versions
+from noticelake.operators import acceptance, amounts, crossverify, deletes, evidence, lineage, profiles, quotes, resampling, spans, versions
 from noticelake.sources import evolving, readers, responses, selectors
 from noticelake.streaming import pages, pushes
 
@@ -331,3 +331,27 @@ def test_batches_that_do_not_widen_are_an_error(spark, tmp_path):
     with pytest.raises(TypeError, match="n: bigint does not widen to int"):
         evolving.read_evolving(spark, [str(tmp_path / n) for n in "abc"], columns)
     assert evolving.read_evolving(spark, [], columns).count() == 0
+
+
+def test_amounts_in_full(spark):
+    rows = [
+        ("1,234.50元", "award"), ("0.0769040（万元）", None), ("（人民币）5万", None), ("0", "unknown"), (None, "award"), (" ", None), ("5元", "gift"), ("5 bananas", None), ("€7亿", "其他"), ("12元（含税）", ""),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, raw string, kind string")
+    got = {r.id: r.a for r in amounts.validated(df, "raw", "kind", name="a").collect()}
+    assert [(got[i].valid, got[i].error) for i in range(10)] == [
+        (True, None), (True, None), (True, None), (True, None), (False, "empty"), (False, "empty"), (False, "bad_type"), (False, "bad_format"), (True, None), (True, None),
+    ]
+    assert (got[0].value, got[0].normalized, got[0].amount_type, got[0].derivation_rule) == (1234.5, "1234.50元", "award", None)
+    assert got[1].value == pytest.approx(769.04) and got[1].derivation_rule == "括号单位展开: '（万元）' → '万元' | 0.076904万 × 10^4 = 769.04元"
+    assert (got[3].warnings, got[3].derivation_rule, got[8].currency, got[9].derivation_rule) == (["zero_amount"], "amount_type=unknown→None", "EUR", "剥离后缀: '（含税）'")
+
+
+def test_profiles_of_odd_rows(spark):
+    rows = [("w", "p1", None, "r", 1.5, "2024-01-02"), ("w", "p2", "", "r", None, "2024-01-01"), ("w", "p2", "a", None, 2.0, None), (None, "p", "a", "r", 1.0, "2024-01-01"), ("", "p", "a", "r", 1.0, "2024-01-01"), ("v", None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "winner string, purchaser string, agency string, region string, win_amount double, win_date string")
+    got = {r.winner: r for r in profiles.supplier_profiles(df).collect()}
+    assert tuple(got["w"])[1:] == (3, 3.5, "2024-01-01", "2024-01-02", ["p2", "p1"], ["a"], ["r"])
+    assert set(got) == {"w", "v"} and tuple(got["v"])[1:5] == (1, 0.0, None, None)
+    sums = profiles.role_sums({"winner": (df, "winner", "win_amount"), "purchaser": (df, "purchaser", "win_amount")})
+    assert {r.organisation: (r.n_winner, r.amount_winner, r.n_purchaser, r.total) for r in sums.collect()} == {"w": (3, 3.5, 0, 3.5), "v": (1, 0.0, 0, 0.0), "p1": (0, 0.0, 1, 1.5), "p2": (0, 0.0, 2, 2.0), "p": (0, 0.0, 2, 2.0)}
