@@ -41,11 +41,11 @@ BLOCKS = frozenset(
     " search section summary table tbody td tfoot th thead title tr ul".split()
 )
 #: Elements whose content is never text of a page.
-SKIPPED = frozenset("script style noscript template iframe object select textarea button svg math title".split())
+SKIPPED = frozenset("script style noscript template iframe object select textarea button svg annotation annotation-xml title".split())
 #: Elements whose content holds no tags.
 RAW = frozenset("script style textarea title iframe noscript".split())
 #: Skipped elements that a block ends unless it stands in one of their inner HTML parts, and those that do not nest.
-FOREIGN, HTML_PARTS = frozenset(("svg", "math")), frozenset(("foreignobject", "desc", "annotation-xml"))
+FOREIGN, HTML_PARTS = frozenset(("svg", "annotation", "annotation-xml")), frozenset(("foreignobject", "desc"))
 FLAT = frozenset(("button", "select"))
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -171,14 +171,15 @@ class _State:
 
     def end_block(self) -> None:
         if self.parts:
-            words = unescape("".join(self.parts)).split()
+            words = "".join(self.parts).split()
             if words:
-                linked = len(unescape(" ".join(self.link_parts)).split())
+                linked = len(" ".join(self.link_parts).split())
                 inside = self.open[-1] if self.open else OUTSIDE
                 self.blocks.append(Block(len(words), min(linked, len(words)), inside, self.heading, " ".join(words)))
             self.parts, self.link_parts = [], []
 
     def text(self, part: str) -> None:
+        part = unescape(part)  # a reference ends where its piece of text does
         self.parts.append(part)
         if self.in_link:
             self.link_parts.append(part)

@@ -94,3 +94,13 @@ def test_empty_repeated_and_clashing(spark):
     got = sorted(((r.page_id or 0), r.text, r.n_chars) for r in html_text.extract_text(pages).collect())
     assert got == [(0, "", 0), (1, PARA, len(PARA)), (1, PARA, len(PARA)), (2, "", 0)]
     assert html_text.extract_text(pages.limit(0)).columns == ["page_id", "url", "text", "n_chars"] and html_text.extract_text(pages.limit(0)).count() == 0
+
+
+def test_formulas_stay_and_references_end_with_their_piece_of_text(spark):
+    from noticelake.llm import html_text
+
+    long = "This is the main text of the page, which is long enough to be told from what stands around it, sentence after sentence. " * 3
+    page = f"<body><article><p>{long}</p><p>The value of <math><semantics><mi>x</mi><annotation encoding='tex'>\\x</annotation></semantics></math> is here; {long}</p><p>a &lt<i>;</i> b &amp;lt; {long}</p></article></body>"
+    df = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
+    text = html_text.extract_text(df).first().text
+    assert "The value of x is here;" in text and "a <; b &lt;" in text and "\\x" not in text
