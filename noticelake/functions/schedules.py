@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, time, timedelta
 
 
 def _matches(part: str, value: int, low: int) -> bool:
@@ -23,16 +23,11 @@ def due(expression: str, last_run: datetime | None, now: datetime) -> bool:
     if last_run is None:
         return False
     minute, hour, day, month, weekday = expression.split()
-    from datetime import timedelta
-
-    at = last_run.replace(second=0, microsecond=0) + timedelta(minutes=1)
-    for _ in range(366 * 24 * 60):
-        if at > now:
-            return False
-        if (
-            _matches(minute, at.minute, 0) and _matches(hour, at.hour, 0) and _matches(day, at.day, 1)
-            and _matches(month, at.month, 1) and _matches(weekday, at.isoweekday() % 7, 0)
-        ):
-            return True
-        at += timedelta(minutes=1)
+    times = [time(h, m) for h in range(24) if _matches(hour, h, 0) for m in range(60) if _matches(minute, m, 0)]
+    start = last_run.replace(second=0, microsecond=0) + timedelta(minutes=1)
+    for i in range((now.date() - start.date()).days + 1):
+        on = start.date() + timedelta(days=i)
+        if _matches(day, on.day, 1) and _matches(month, on.month, 1) and _matches(weekday, on.isoweekday() % 7, 0):
+            if any(start <= datetime.combine(on, t, start.tzinfo) <= now for t in times):
+                return True
     return False

@@ -42,11 +42,13 @@ def check(rows: DataFrame, id_col: str, content: str, source: str, strict: bool
     c, s = F.coalesce(content, F.lit("")), F.coalesce(source, F.lit(""))
     listed = rows.select(id_col, s.alias("s"), F.when((c != "") & (s != ""), facts(c)).otherwise(F.array().cast("array<struct<category:string,value:string>>")).alias("f"))
     bare = lambda x: F.regexp_replace(x, "\\s+", "")
-    given = listed.withColumn("bare", bare(F.col("s")))
-    equal = lambda k, canon: F.exists(F.regexp_extract_all("s", F.lit(PATTERNS[k]), F.lit(0)), lambda v: canon(v) == canon(F.col("one.value")))
-    one = given.select(id_col, "s", "bare", F.explode_outer("f").alias("one"))
+    # What the source says is read once a document, and only for documents that state anything.
+    said = lambda k, canon: F.when(F.size("f") > 0, F.array_distinct(F.transform(F.regexp_extract_all("s", F.lit(PATTERNS[k]), F.lit(0)), canon)))
+    given = listed.select(id_col, "f", F.when(F.size("f") > 0, bare(F.col("s"))).alias("bare"), said("金额", canonical_amount).alias("amounts"), said("日期", canonical_date).alias("dates"))
+    one = given.select(id_col, "bare", "amounts", "dates", F.explode_outer("f").alias("one"))
+    equal = lambda listed, canon: F.array_contains(listed, canon(F.col("one.value")))
     kind = F.col("one.category")
-    found = F.contains("bare", bare(F.col("one.value"))) | ((kind == "金额") & equal("金额", canonical_amount)) | ((kind == "日期") & equal("日期", canonical_date))
+    found = F.contains("bare", bare(F.col("one.value"))) | ((kind == "金额") & equal("amounts", canonical_amount)) | ((kind == "日期") & equal("dates", canonical_date))
     wrong = kind.isNotNull() & ~F.coalesce(found, F.lit(False)) & (F.lit(strict) | kind.isin(*STRICT))
     sums = one.groupBy(id_col).agg(F.count("one").alias("n_facts"), F.count_if(wrong).alias("n_wrong"))
     return sums.select(id_col, "n_facts", (F.col("n_facts") - F.col("n_wrong")).alias("n_verified"), "n_wrong", (F.col("n_wrong") == 0).alias("passed"))

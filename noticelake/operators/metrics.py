@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import random
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,6 +69,10 @@ def workpoints(rows: DataFrame) -> DataFrame:
     return kept.join(F.broadcast(total)).select("point", "kept", (F.col("kept") / F.col("total")).alias("coverage"), (F.col("right") / F.col("kept")).alias("precision"))
 
 
+#: Shares of Poisson draws of mean 1 that are at most 0, 1, 2 ...: all that differ from 1 in the 40 bits of a draw.
+POISSON_CUTS = tuple(c for c in accumulate(math.exp(-1) / math.factorial(k) for k in range(20)) if 1 - c > 2.0**-41)
+
+
 def bootstrap(rows: DataFrame, project: str, numerator: str, denominator: str, replicates: int = 200, seed: int = 42) -> DataFrame:
     """(point, low, high) of a ratio of sums, projects resampled with replacement.
 
@@ -77,8 +83,7 @@ def bootstrap(rows: DataFrame, project: str, numerator: str, denominator: str, r
     base = random.Random(seed).getrandbits(31)
     reps = sums.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     u = (F.pmod(F.xxhash64(F.col(project).cast("string"), "rep", F.lit(base)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    cuts = (0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518)
-    weight = sum(F.when(u > c, 1).otherwise(0) for c in cuts)
+    weight = sum(F.when(u > c, 1).otherwise(0) for c in POISSON_CUTS)
     ratio = reps.groupBy("rep").agg(F.try_divide(F.sum(F.col("x") * weight), F.sum(F.col("y") * weight)).alias("r"))
     ends = ratio.agg(F.percentile("r", F.lit(0.025)).alias("low"), F.percentile("r", F.lit(0.975)).alias("high"))
     point = sums.agg(F.try_divide(F.sum("x"), F.sum("y")).alias("point"))

@@ -355,3 +355,13 @@ def test_profiles_of_odd_rows(spark):
     assert set(got) == {"w", "v"} and tuple(got["v"])[1:5] == (1, 0.0, None, None)
     sums = profiles.role_sums({"winner": (df, "winner", "win_amount"), "purchaser": (df, "purchaser", "win_amount")})
     assert {r.organisation: (r.n_winner, r.amount_winner, r.n_purchaser, r.total) for r in sums.collect()} == {"w": (3, 3.5, 0, 3.5), "v": (1, 0.0, 0, 0.0), "p1": (0, 0.0, 1, 1.5), "p2": (0, 0.0, 2, 2.0), "p": (0, 0.0, 2, 2.0)}
+
+
+def test_schedules_far_from_the_last_run():
+    from datetime import datetime
+
+    from noticelake.functions.schedules import due
+
+    at = datetime(2024, 3, 1)
+    assert due("0 9 29 2 *", at, datetime(2028, 3, 1)) and due("0 9 29 2 *", at, datetime(2028, 2, 29, 9)) and not due("0 9 29 2 *", at, datetime(2028, 2, 29, 8, 59))
+    assert not due("0 9 30 2 *", at, datetime(2060, 1, 1)) and due("*/5 * * * *", at, datetime(2024, 3, 1, 0, 5)) and not due("0 0 * * *", at, datetime(2024, 3, 1, 23))
