@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from noticelake.functions import tabular
-from noticelake.operators import ablation, acceptance, amounts, crossverify, deletes, lineage, profiles, quotes, resampling, spans
+from noticelake.operators import ablation, acceptance, amounts, collectors, crossverify, deletes, lineage, profiles, quotes, resampling, spans
 from noticelake.operators.facts import PATTERNS
 from noticelake.plans.domain import LICENSE
 from noticelake.plans.scoring import pick
@@ -417,3 +417,40 @@ def v01_amount_in_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", shape.alias("raw"), kind.alias("kind"))
     a = amounts.validated(rows, "raw", "kind")
     return a.select("l_orderkey", "l_linenumber", "amount.valid", "amount.error", "amount.value", "amount.currency", "amount.amount_type", F.when(F.col("amount.valid"), F.size("amount.warnings")).alias("n_warnings"), "amount.derivation_rule")
+
+
+#: Jobs and notices of collectors over events and orders; the day that counts as today.
+TODAY, PLATFORMS = "2024-01-29", ("p0", "p1", "p2", "p3", "p9")
+JOBS_SQL = """j AS (SELECT event_id AS job_id, 'p' || (user_id % 6) AS code, CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'signup' AND user_id % 6 <> 2 THEN 'running' WHEN event_type = 'click' AND user_id % 5 = 0 AND user_id % 6 = 1 THEN 'pending' ELSE 'completed' END AS status,
+  ts AS created_at, ts + INTERVAL 1 HOUR AS completed_at, CASE event_id % 4 WHEN 0 THEN '{"ingest": {"duplicates": ' || (event_id % 10) || '}}' WHEN 1 THEN '{"duplicates": ' || (event_id % 7) || '}' WHEN 2 THEN '{"ingest": 3}' ELSE 'broken' END AS result_data FROM events),
+ n AS (SELECT 'p' || (event_id % 5) AS code, ts AS created_at FROM events WHERE event_type = 'purchase')"""
+
+
+def _jobs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    events, key, user, kind = table(spark, sf_dir, "events"), F.col("event_id"), F.col("user_id"), F.col("event_type")
+    text = lambda c: c.cast("string")
+    status = F.when(kind == "error", "failed").when((kind == "signup") & (user % 6 != 2), "running").when((kind == "click") & (user % 5 == 0) & (user % 6 == 1), "pending").otherwise("completed")
+    data = pick(key, F.concat(F.lit('{"ingest": {"duplicates": '), text(key % 10), F.lit("}}")), F.concat(F.lit('{"duplicates": '), text(key % 7), F.lit("}")), F.lit('{"ingest": 3}'), F.lit("broken"))
+    at = F.col("ts").cast("timestamp")
+    jobs = events.select(key.alias("job_id"), F.concat(F.lit("p"), text(user % 6)).alias("code"), status.alias("status"), at.alias("created_at"), (at + F.expr("INTERVAL 1 HOUR")).alias("completed_at"), data.alias("result_data"))
+    return jobs, events.filter(kind == "purchase").select(F.concat(F.lit("p"), text(key % 5)).alias("code"), at.alias("created_at"))
+
+
+@query(f"""WITH {JOBS_SQL}, f AS (SELECT unnest(['{"', '".join(PLATFORMS)}']) AS code),
+ a AS (SELECT code, count(*) FILTER (status IN ('pending', 'running')) AS active, count(*) FILTER (status = 'failed') AS failed_count, max(completed_at) FILTER (status = 'completed') AS completed FROM j WHERE created_at >= TIMESTAMP '{TODAY}' GROUP BY code),
+ b AS (SELECT code, count(*) AS collected, max(created_at) AS fetched FROM n WHERE created_at >= TIMESTAMP '{TODAY}' GROUP BY code)
+SELECT code, CASE WHEN active > 0 THEN 'running' WHEN failed_count > 0 THEN 'failed' ELSE 'idle' END AS status, coalesce(collected, 0) AS collected, coalesce(failed_count, 0) AS failed_count,
+ strftime(greatest(completed, fetched), '%Y-%m-%d %H:%M:%S') AS last_fetch FROM f LEFT JOIN a USING (code) LEFT JOIN b USING (code)""")
+def a14_platform_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State of each fixed platform today: running beats failed, which beats idle."""
+    found = collectors.platform_states(*_jobs(spark, sf_dir), list(PLATFORMS), TODAY)
+    return found.withColumn("last_fetch", F.date_format("last_fetch", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(f"""WITH {JOBS_SQL}, c AS (SELECT * FROM j WHERE status = 'completed' AND completed_at >= TIMESTAMP '{TODAY}' ORDER BY completed_at DESC, job_id DESC LIMIT 50),
+ d AS (SELECT coalesce(sum(CASE job_id % 4 WHEN 0 THEN job_id % 10 WHEN 1 THEN job_id % 7 ELSE 0 END), 0)::BIGINT AS today_deduplicated FROM c)
+SELECT count(*) FILTER (status IN ('pending', 'running')) AS active_jobs, (SELECT count(*) FROM n WHERE created_at >= TIMESTAMP '{TODAY}') AS today_collected,
+ count(*) FILTER (status = 'failed' AND created_at >= TIMESTAMP '{TODAY}') AS today_failed, (SELECT today_deduplicated FROM d) AS today_deduplicated FROM j""")
+def a14_collector_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active jobs, and what was collected, failed and found twice today."""
+    return collectors.totals(*_jobs(spark, sf_dir), TODAY)
