@@ -122,7 +122,10 @@ def j06_simhash_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_pairs(docs, docs).filter("a < b")
 
 
-@query()
+@query(f"""WITH {SIMHASH_SQL}, r AS (SELECT d.doc_id AS id, sha256(text) AS url, coalesce(fp, 0) AS fp FROM documents d LEFT JOIN f USING (doc_id)), k AS (SELECT * FROM r WHERE id % 2 = 1),
+ n AS (SELECT *, url IN (SELECT url FROM k WHERE url IS NOT NULL) OR (url IS NOT NULL AND row_number() OVER (PARTITION BY url ORDER BY id) > 1) AS seen FROM r WHERE id % 2 = 0),
+ close AS (SELECT DISTINCT n.id FROM n JOIN k ON n.fp <> 0 AND k.fp <> 0 AND bit_count(xor(n.fp, k.fp)::UBIGINT::HUGEINT) <= 3)
+SELECT id, CASE WHEN seen THEN 'duplicate_url' WHEN close.id IS NOT NULL THEN 'duplicate_simhash' ELSE 'inserted' END AS verdict FROM n LEFT JOIN close USING (id)""")
 def d01_ingest_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even documents come in against odd ones that are known."""
     docs = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("url"), simhash.simhash_column()("text").alias("simhash"))
