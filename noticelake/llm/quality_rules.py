@@ -61,12 +61,21 @@ def ngram_slots(listed: Column, slots: int) -> Column:
     return F.concat(F.transform(listed, lambda w: slot(w)), pairs)
 
 
-def slot_counts(docs: DataFrame, slots: int, text_col: str = "text") -> DataFrame:
-    """(slot, n) over all rows; each task sums its own slots before the shuffle."""
-    listed = docs.select(words(whole_text(text_col)).alias("words"))
+def flagged(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text, own) of every row: whether its id is one of the trusted. No text is shuffled while their ids can be broadcast."""
+    ids = trusted.select(F.col("doc_id").alias("_id")).filter("_id is not null").distinct()
+    small = ids.count() <= BROADCAST_ROWS
+    rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
+    joined = rows.join(F.broadcast(ids) if small else ids, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", F.col("_id").isNotNull().alias("own"))
+    return joined if small else stored(joined)
+
+
+def slot_counts(rows: DataFrame, slots: int) -> DataFrame:
+    """(slot, n, g) over all rows (text, own), g of those that are trusted; each task sums its own slots before the shuffle."""
+    listed = rows.select("own", words(F.col("text")).alias("words"))
     # The outer form: for the inner one Spark adds a filter on the array's size and computes the array anew for it.
-    found = listed.select(F.explode_outer(ngram_slots(F.col("words"), slots)).alias("slot"))
-    return found.groupBy("slot").agg(F.count("slot").alias("n")).filter("slot is not null")
+    found = listed.select("own", F.explode_outer(ngram_slots(F.col("words"), slots)).alias("slot"))
+    return found.groupBy("slot").agg(F.count("slot").alias("n"), F.count_if("own").alias("g")).filter("slot is not null")
 
 
 @dataclass(frozen=True)
@@ -86,16 +95,13 @@ class Multinomials:
         return total / n - F.log(good) + F.log(raw)
 
 
-def multinomials(trusted: DataFrame, raw: DataFrame, slots: int, text_col: str = "text") -> Multinomials:
-    """Counts of trusted texts and of all raw ones, of which the trusted are a part."""
-    good, every = stored(slot_counts(trusted, slots, text_col)), stored(slot_counts(raw, slots, text_col))
-    total = lambda df: df.agg(F.sum("n")).first()[0] or 0
-    good_total, raw_total = total(good), total(every)
+def multinomials(rows: DataFrame, slots: int) -> Multinomials:
+    """Counts of all rows (text, own) and of the trusted ones among them, in one pass."""
+    counts = stored(slot_counts(rows, slots))
+    raw_total, good_total = (x or 0 for x in counts.agg(F.sum("n"), F.sum("g")).first())
     share = SMOOTHING * good_total / raw_total if raw_total else 0.0
-    g = F.coalesce("g", F.lit(0))
     below = F.log(F.greatest(F.col("n") - 1, F.lit(0)) + F.lit(SMOOTHING))
-    both = every.join(good.withColumnRenamed("n", "g"), "slot", "left")
-    logs = both.select("slot", (F.log(g + share) - below).alias("plain"), (F.log(F.greatest(g - 1, F.lit(0)) + share) - below).alias("trusted"))
+    logs = counts.select("slot", (F.log(F.col("g") + share) - below).alias("plain"), (F.log(F.greatest(F.col("g") - 1, F.lit(0)) + share) - below).alias("trusted"))
     return Multinomials(stored(logs), good_total, raw_total, slots)
 
 
@@ -111,14 +117,16 @@ def _repeated_words(listed: Column) -> Column:
     return F.transform(places, lambda i: F.xxhash64(*(at(i, k) for k in range(WINDOW))))
 
 
-def base_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, a hash of the text, the array ``words`` and the base counts of every row."""
+def base_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kept: str | None = None) -> DataFrame:
+    """doc_id, a hash of the text, the array ``words`` and the base counts of every row, with one more of its columns."""
+    more = [kept] if kept else []
     text = whole_text(text_col)
     inner = "[^ \\t-\\r]"
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(inner))
-    docs = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), words(text).alias("words"), lines.alias("lines"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), *more, text.alias("text"), words(text).alias("words"), lines.alias("lines"))
     docs = docs.select(
         "doc_id",
+        *more,
         F.xxhash64("text").alias("text_key"),
         "words",
         F.size("words").cast("long").alias("n_words"),
@@ -150,27 +158,23 @@ def quality_report(
 ) -> DataFrame:
     """Per document: the base counts, base_failed, kept and the score. ``trusted`` (doc_id, text) holds those rows of ``docs`` that are."""
     slots = number_of_slots(docs, text_col)
-    found = multinomials(trusted, docs, slots, text_col)
+    rows = flagged(docs, trusted, id_col, text_col)
+    found = multinomials(rows, slots)
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    base = base_columns(docs, id_col, text_col)
-    own = ("doc_id", "text_key", *counts)
-    grams = base.select(*own, F.explode_outer(ngram_slots(F.col("words"), slots)).alias("slot"))
-    logs = found.logs
+    own = ("doc_id", "text_key", "own", *counts)
+    grams = base_columns(rows, kept="own").select(*own, F.explode_outer(ngram_slots(F.col("words"), slots)).alias("slot"))
+    logs, n = found.logs, F.count("*")
+    value = F.when(F.col("own"), F.col("trusted")).otherwise(F.col("plain"))
     if slots <= BROADCAST_SLOTS:
         logs = F.broadcast(logs)
-        grams = grams.withColumn("n", F.lit(1).cast("long"))
     else:
         grams = grams.groupBy(*own, "slot").agg(F.count("*").alias("n"))
+        n, value = F.sum("n"), F.col("n") * value
     # Equal rows of equal id are summed together; their number is that of their n-grams by that of one of them.
-    both = {c: F.sum(F.col("n") * F.col(c)).alias(c) for c in ("plain", "trusted")}
-    summed = grams.join(logs, "slot", "left").groupBy(*own).agg(F.sum("n").alias("n"), *both.values())
-    marked = trusted.select(F.col("doc_id").alias("_id")).filter("_id is not null").distinct()
-    if marked.count() <= BROADCAST_ROWS:
-        marked = F.broadcast(marked)
-    summed = summed.join(marked, F.col("doc_id") == F.col("_id"), "left").withColumn("own", F.col("_id").isNotNull())
+    summed = grams.join(logs, "slot", "left").groupBy(*own).agg(n.alias("n"), F.sum(value).alias("total"))
     each = F.greatest(F.lit(1), 2 * F.col("n_words") - 1)
     copies = F.greatest(F.lit(1), (F.col("n") / each).cast("long"))
-    total = F.when(F.col("own"), F.col("trusted")).otherwise(F.col("plain")) / copies
+    total = F.col("total") / copies
     known = (F.col("n_words") > 0) & F.lit(found.good > 0)
     score = F.when(known, F.round(found.score(total, each, F.col("own")), 9)).otherwise(F.lit(0.0))
     base = summed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
