@@ -77,9 +77,11 @@ def v10_value_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
     key, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
     field = pick(key, F.lit("amount"), F.lit("publish_date"), F.lit("platform"))
     predicted = pick(key, F.lit("1,234,500.00元"), F.date_format(day, "yyyy-MM-dd"), F.concat(F.lit(" "), F.col("o_orderpriority"), F.lit(" ")))
-    wrong = pick(key, F.lit("99万元"), F.lit("1999年1月1日"), F.lit("#none#"))
+    # Days told by distance: a fixed one would be the right day of some order.
+    after = lambda days: F.date_format(F.date_add(day, days), "yyyy年M月d日")
+    wrong = pick(key, F.lit("99万元"), after(400), F.lit("#none#"))
     right = pick(
-        key, F.when(key % 4 != 0, F.lit("123.45万元")).otherwise(F.lit("124万元")), F.when(key % 4 != 1, F.date_format(day, "yyyy年M月d日")).otherwise(F.lit("1998年2月2日")),
+        key, F.when(key % 4 != 0, F.lit("123.45万元")).otherwise(F.lit("124万元")), F.when(key % 4 != 1, F.date_format(day, "yyyy年M月d日")).otherwise(after(1)),
         F.when(key % 2 == 0, F.substring("o_orderpriority", 1, 3)).otherwise(F.lit("")),
     )
     return table(spark, sf_dir, "orders").select(key.alias("k"), sc.value_correct(field, predicted, F.array(wrong, right)).alias("correct"))
