@@ -1,10 +1,15 @@
 """Rows that only larger tables hold, and work that must not grow faster than its input."""
 
 import datetime as dt
+import tracemalloc
 from collections import Counter
+from hashlib import md5
 
 import duckdb
+import pyarrow as pa
 
+from noticelake.functions import text as tx
+from noticelake.operators import evidence, simhash
 from noticelake.plans import registry
 
 
@@ -27,3 +32,40 @@ def test_values_on_every_day(spark, tmp_path):
     rows = [(12 * i + k, day, "1-URGENT") for i, day in enumerate(days) for k in range(12)]
     got = as_stated(spark, tmp_path, "v10_value_correct", {"orders": (rows, "o_orderkey long, o_orderdate timestamp, o_orderpriority string")})
     assert len(got) == 48
+
+
+def peak_mb(work):
+    tracemalloc.start()
+    work()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak / 1e6
+
+
+def test_a_batch_of_long_texts_is_normalised_piece_by_piece():
+    texts = pa.array(["Some words of a Text, " * 500] * 400)  # 4.4 million characters
+    run = tx.normalize_text().func
+    sizes = []
+    assert peak_mb(lambda: sizes.extend(len(piece) for piece in run(iter([texts])))) < 60
+    assert sum(sizes) == 400 and len(sizes) > 5
+    assert [len(p) for p in tx.held(iter([pa.array(["a" * 10, None, "b" * 100, "c", ""])]), 12)] == [2, 1, 2]
+
+
+def test_places_of_an_index_take_four_bytes():
+    text = "Some words of a text - " * 20_000
+    evidence.index.cache_clear()
+    assert evidence.locate(text, "words of")[1] == "exact" and peak_mb(lambda: evidence.locate(text, "NOT THERE AT ALL")) < 25
+    there = evidence.index("a b,  C")
+    assert (there.solid, there.bare) == ("ab,c", "abc") and there.solid_at.tolist() == [0, 2, 3, 5] and there.bare_at.tolist() == [0, 2, 5]
+
+
+def test_fingerprints_keep_no_array_for_a_token():
+    text = "".join(chr(0x4E00 + i * i % 20_000) for i in range(30_000))
+    simhash.token_hash.cache_clear()
+    assert peak_mb(lambda: simhash.simhash_of(text)) < 18
+    counts = Counter(text[i : i + 2] for i in range(len(text) - 1))
+    votes = [0] * 64
+    for gram, n in counts.items():
+        h = int.from_bytes(md5(gram.encode()).digest()[:8], "big")
+        votes = [v + (n if h >> i & 1 else -n) for i, v in enumerate(votes)]
+    assert simhash.simhash_of(text) % 2**64 == sum(1 << i for i, v in enumerate(votes) if v > 0)
