@@ -13,12 +13,13 @@ import re
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noticelake.functions.text import Normalized, normalize
+from noticelake.functions.text import Normalized, code_points, folded
 
 #: Level, confidence and support of a match (fixed values).
 LEVELS = {"exact": (1.0, "direct"), "stripped": (0.9, "equivalent"), "no_punct": (0.8, "inferred"), "substring": (0.6, "inferred"), "not_found": (0.0, "unsupported")}
@@ -27,6 +28,9 @@ MOST_PARTS = 15
 #: Punctuation: CJK signs, full-width forms, ASCII signs, quotation marks, ellipsis.
 SIGNS = "　-〿＀-￯!-/:-@\\[-`{-~‘-‟…"
 _SIGN = re.compile(f"[{SIGNS}]")
+#: White space, and white space and signs, by code point; the last entry stands for all beyond, which are neither.
+_BLANK = np.array([chr(c).isspace() for c in range(0xFFFF)] + [False])
+_BLANK_OR_SIGN = _BLANK | np.array([bool(_SIGN.match(chr(c))) for c in range(0xFFFF)] + [False])
 _PARTS = re.compile(rf"[\s{SIGNS}]+")
 _LOOSE = re.compile("[\\s　-〿＀-￯‘-‟…]+")
 _CODE = re.compile(r"[A-Za-z0-9][A-Za-z0-9\-]{2,}[A-Za-z0-9]")
@@ -53,18 +57,24 @@ class Index:
     raw: str
     normal: Normalized
     solid: str
-    solid_at: list[int]
+    solid_at: np.ndarray
     bare: str
-    bare_at: list[int]
+    bare_at: np.ndarray
 
 
-@lru_cache(maxsize=64)
+def _left(text: str, points: np.ndarray, out: np.ndarray) -> tuple[str, np.ndarray]:
+    """A text without the characters that ``out`` tells by code point, all below its size, and the places of the others."""
+    kept = np.flatnonzero(~out[np.minimum(points, len(out) - 1)]).astype(np.int32)
+    return text if len(kept) == len(text) else points[kept].tobytes().decode("utf-32-le", "surrogatepass"), kept
+
+
+@lru_cache(maxsize=8)
 def index(raw: str) -> Index:
-    normal = normalize(raw)
-    solid = [(c, i) for i, c in enumerate(normal.text) if not c.isspace()]
-    bare = [(c, i) for c, i in solid if not _SIGN.match(c)]
-    text = lambda pairs: "".join(c for c, _ in pairs)
-    return Index(raw, normal, text(solid), [i for _, i in solid], text(bare), [i for _, i in bare])
+    normal = folded(raw)
+    points = code_points(normal.text)
+    solid, solid_at = _left(normal.text, points, _BLANK)
+    bare, bare_at = _left(normal.text, points, _BLANK_OR_SIGN)
+    return Index(raw, normal, solid, solid_at, bare, bare_at)
 
 
 def telling_parts(quote: str) -> list[str]:
@@ -80,13 +90,13 @@ def telling_parts(quote: str) -> list[str]:
     return sorted(dict.fromkeys(parts), key=len, reverse=True)[:MOST_PARTS]
 
 
-def _in_view(view: str, places: list[int], normal: Normalized, wanted: str, search_from: int) -> tuple[int, int, int, int] | None:
+def _in_view(view: str, places: np.ndarray, normal: Normalized, wanted: str, search_from: int) -> tuple[int, int, int, int] | None:
     """First or, if that lies before ``search_from``, second match in a view: original and normalised range."""
     at = view.find(wanted) if wanted else -1
     for _ in range(2):
         if at < 0:
             return None
-        first, last = places[at], places[at + len(wanted) - 1] + 1
+        first, last = int(places[at]), int(places[at + len(wanted) - 1]) + 1
         start, end = normal.to_raw(first, last)
         if start >= search_from:
             return start, end, first, last
@@ -98,14 +108,13 @@ def locate(raw: str, quote: str, search_from: int = 0, levels: tuple[str, ...] =
     """(found, level, start, end, text, confidence, support, normalised start and end) of a quote."""
     if not raw or not quote or not quote.strip():
         return False, "not_found", -1, -1, "", *LEVELS["not_found"], -1, -1
-    there = index(raw)
 
     def result(level: str, start: int, end: int, norm: tuple[int, int] | None = None) -> tuple:
-        return True, level, start, end, raw[start:end], *LEVELS[level], *(norm or there.normal.to_normalized(start, end))
+        return True, level, start, end, raw[start:end], *LEVELS[level], *(norm or index(raw).normal.to_normalized(start, end))
 
     if "exact" in levels and (at := raw.find(quote, search_from)) >= 0:
         return result("exact", at, at + len(quote))
-    solid = re.sub(r"\s+", "", quote)
+    there, solid = index(raw), re.sub(r"\s+", "", quote)
     if "stripped" in levels and (hit := _in_view(there.solid, there.solid_at, there.normal, solid, search_from)):
         return result("stripped", hit[0], hit[1], hit[2:])
     if "no_punct" in levels and (hit := _in_view(there.bare, there.bare_at, there.normal, _SIGN.sub("", solid), search_from)):
