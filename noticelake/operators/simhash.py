@@ -9,46 +9,51 @@ every pair, and hardly any other, however many fingerprints there are.
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import md5
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noticelake.functions.text import bigrams
+from noticelake.functions.text import bigrams, code_points, held
 
 BITS, BLOCKS, RADIUS = 64, 6, 3
 
 
 @lru_cache(maxsize=200_000)
-def token_bits(token: str) -> np.ndarray:
-    """Votes of a token, 1 or -1 for each bit from the lowest."""
-    value = int.from_bytes(md5(token.encode()).digest()[:8], "big")
-    return np.array([1 if value >> i & 1 else -1 for i in range(BITS)], dtype=np.int32)
+def token_hash(first: int, second: int = -1) -> int:
+    """Hash of the token of these code points."""
+    token = chr(first) + (chr(second) if second >= 0 else "")
+    return int.from_bytes(md5(token.encode()).digest()[:8], "big")
 
 
 def simhash_of(text: str) -> int:
     """Signed 64-bit fingerprint; 0 for a text without tokens."""
-    dense = "".join(text.split())
-    grams = Counter(dense[i : i + 2] for i in range(len(dense) - 1)) or Counter([dense] if dense else [])
-    if not grams:
+    points = code_points("".join(text.split())).astype(np.uint64)
+    if not len(points):
         return 0
-    votes = np.stack([token_bits(t) for t in grams]).T @ np.fromiter(grams.values(), dtype=np.int64)
-    value = sum(1 << i for i in np.flatnonzero(votes > 0).tolist())
-    return value - (1 << BITS) if value >> (BITS - 1) else value
+    if len(points) == 1:
+        hashes, counts = [token_hash(int(points[0]))], np.ones(1, dtype=np.int64)
+    else:
+        grams, counts = np.unique(points[:-1] << np.uint64(32) | points[1:], return_counts=True)
+        hashes = list(map(token_hash, (grams >> np.uint64(32)).tolist(), (grams & np.uint64(0xFFFFFFFF)).tolist()))
+    bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, BITS // 8), axis=1, bitorder="little")
+    votes = 2 * (counts @ bits) - counts.sum()
+    return int.from_bytes(np.packbits(votes > 0, bitorder="little").tobytes(), "little", signed=True)
 
 
 def simhash_column() -> object:
-    """Pandas function of a text column; null counts as empty."""
+    """Arrow function of a text column; null counts as empty."""
 
-    @F.pandas_udf(T.LongType())
-    def run(batch: pd.Series) -> pd.Series:
-        return pd.Series([simhash_of(t or "") for t in batch], dtype="int64")
+    @F.arrow_udf(T.LongType())
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in held(batches):
+            yield pa.array([simhash_of(t or "") for t in texts], pa.int64())
 
     return run
 
