@@ -30,7 +30,7 @@ def states(claims: DataFrame, clusters: DataFrame) -> DataFrame:
     fact, slot = ["project_id", "field_name", "value"], ["project_id", "field_name"]
     # Nulls of these two count as values of their own.
     told = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
-    sources = named.groupBy(*fact, "cluster", told("platform").alias("platform"), told("notice_type").alias("notice_type")).agg(F.count_distinct("page_id").alias("n_pages"))
+    sources = named.select(*fact, "cluster", told("platform").alias("platform"), told("notice_type").alias("notice_type")).distinct()
     of_type = sources.groupBy(*slot, "notice_type").agg((F.min("value") != F.max("value")).alias("contested"))
     of_slot = sources.groupBy(*slot).agg((F.min("value") != F.max("value")).alias("several"))
     counts = named.groupBy(*fact).agg(F.count_distinct("page_id").alias("n_pages"))

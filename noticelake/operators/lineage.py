@@ -129,19 +129,31 @@ def cross_verified(status: Column) -> Column:
 
 
 def repost_clusters(pairs: DataFrame) -> DataFrame:
-    """(id, cluster) of linked pairs (a, b): least id reachable, by label rounds with pointer jumping."""
+    """(id, cluster) of linked pairs (a, b): least id reachable; pairs with a null link nothing.
+
+    Rounds of contraction: each id goes to its least neighbour if that is below it, chains of these are followed by
+    doubling, and the links between what is left are the next round's. An id that stays has a neighbour that goes, so
+    a round halves the ids with links at least, and a chain of links takes rounds by its length's logarithm.
+    """
     from noticelake.sources.scratch import stored
 
-    both = stored(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near")).select("id", F.least("id", "near").alias("cluster")))
-    while True:  # until no label moves
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("near"))
-        least = labels.join(near, "id").select("id", "cluster", F.least("cluster", "near").alias("next"))
-        jumped = least.join(labels.select(F.col("id").alias("next"), F.col("cluster").alias("far")), "next", "left")
-        new = stored(jumped.select("id", F.least("next", F.coalesce("far", "next")).alias("now"), "cluster"))
-        labels = new.select("id", F.col("now").alias("cluster"))
-        if new.filter("now <> cluster").isEmpty():
-            return labels
+    given = pairs.select("a", "b").filter("a is not null and b is not null")
+    both = stored(given.unionByName(given.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = both.select(F.col("a").alias("id"), F.col("a").alias("cluster")).distinct()
+    links = both.filter("a <> b")
+    onward = lambda ups: ups.join(ups.select(F.col("a").alias("up"), F.col("up").alias("far")), "up").select("a", "up", "far")
+    while not links.isEmpty():
+        ups = links.groupBy("a").agg(F.min("b").alias("up")).select("a", F.least("a", "up").alias("up"))
+        while True:  # until every id knows the last of its chain
+            once = onward(ups).select("a", F.col("far").alias("up"))
+            twice = stored(onward(once))
+            ups = twice.select("a", F.col("far").alias("up"))
+            if twice.filter("up <> far").isEmpty():
+                break
+        top = lambda c: ups.select(F.col("a").alias(c), F.col("up").alias(f"_{c}"))  # noqa: B023, E731
+        labels = stored(labels.join(top("cluster"), "cluster", "left").select("id", F.coalesce("_cluster", "cluster").alias("cluster")))
+        links = stored(links.join(top("a"), "a").join(top("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).filter("a <> b").distinct())
+    return labels
 
 
 def combined(pages: DataFrame, field: str | None = None, value: str | None = None, project: str | None = None) -> DataFrame:
