@@ -67,22 +67,24 @@ def migration_counters(tenders: DataFrame, known: DataFrame, fields: DataFrame)
     return one.select("total", "migrated", (F.col("total") - F.col("migrated")).alias("skipped"), "participants", "identifiers")
 
 
-def new_snapshots(crawl: DataFrame, latest: DataFrame, text: str | None = None) -> DataFrame:
+def new_snapshots(crawl: DataFrame, latest: DataFrame, text: str | None = None, key: tuple[str, ...] = ("url",)) -> DataFrame:
     """Pages of a crawl (url, html) that differ from the latest snapshot (url, content_hash, version): url, html, content_hash, version, file.
 
     The hash is of the cleaned text where a column is named and not empty, else of the html. Of several pages of one
-    address in a crawl each differing content is one version, in order of its hash. Null html counts as empty.
+    key in a crawl each differing content is one version, in order of its hash; of several snapshots the one of the
+    greatest version counts. Null html counts as empty. ``key`` names what a page is known by; it includes the url.
     """
     body = F.coalesce("html", F.lit(""))
     hashed = body if text is None else F.when(F.coalesce(text, F.lit("")) != "", F.col(text)).otherwise(body)
-    pages = crawl.select("url", body.alias("html"), F.sha2(hashed, 256).alias("content_hash"))
-    once = pages.groupBy("url", "content_hash").agg(F.min("html").alias("html"))
-    before = latest.select("url", F.col("content_hash").alias("_hash"), F.col("version").alias("_version"))
-    changed = once.join(before, "url", "left").filter(~F.col("content_hash").eqNullSafe(F.col("_hash")))
-    number = F.row_number().over(Window.partitionBy("url").orderBy("content_hash"))
+    pages = crawl.select(*key, body.alias("html"), F.sha2(hashed, 256).alias("content_hash"))
+    once = pages.groupBy(*key, "content_hash").agg(F.min("html").alias("html"))
+    last = latest.groupBy(*key).agg(F.max(F.struct("version", "content_hash")).alias("_last"))
+    before = last.select(*key, F.col("_last.content_hash").alias("_hash"), F.col("_last.version").alias("_version"))
+    changed = once.join(before, list(key), "left").filter(~F.col("content_hash").eqNullSafe(F.col("_hash")))
+    number = F.row_number().over(Window.partitionBy(*key).orderBy("content_hash"))
     made = changed.withColumn("version", (F.coalesce("_version", F.lit(0)) + number).cast("long"))
     file = F.concat(F.substring(F.sha2("url", 256), 1, 16), F.lit("_v"), F.col("version").cast("string"), F.lit(".html"))
-    return made.select("url", "html", "content_hash", "version", file.alias("file"))
+    return made.select(*key, "html", "content_hash", "version", file.alias("file"))
 
 
 def evidence_rows(found: DataFrame, id_col: str, snapshot: str, raw: str, side: int = 20) -> DataFrame:

@@ -9,8 +9,9 @@ import duckdb
 import pyarrow as pa
 
 from noticelake.functions import text as tx
-from noticelake.operators import evidence, simhash
+from noticelake.operators import evidence, lineage, simhash, sync
 from noticelake.plans import registry
+from noticelake.sources import scratch
 
 
 def as_stated(spark, tmp_path, name, tables):
@@ -69,3 +70,22 @@ def test_fingerprints_keep_no_array_for_a_token():
         h = int.from_bytes(md5(gram.encode()).digest()[:8], "big")
         votes = [v + (n if h >> i & 1 else -n) for i, v in enumerate(votes)]
     assert simhash.simhash_of(text) % 2**64 == sum(1 << i for i, v in enumerate(votes) if v > 0)
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    written, stored = [], scratch.stored
+    monkeypatch.setattr(scratch, "stored", lambda df: written.append(1) or stored(df))
+    ids = [i * 7919 % 1009 + 5 for i in range(1009)]  # in no order along the chain
+    pairs = list(zip(ids, ids[1:], strict=False)) + [(2000, 2001), (3000, 3000), (None, 4000), (2001, None)]
+    got = {r.id: r.cluster for r in lineage.repost_clusters(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(ids, min(ids)), 2000: 2000, 2001: 2000, 3000: 3000}
+    assert len(written) < 45
+
+
+def test_snapshots_of_pages_that_share_an_address(spark, tmp_path):
+    rows = [(0, "http://a/1", "x"), (1, "http://a/1", "y"), (2, "http://a/1", "z"), (3, "http://a/1", "x"), (4, "http://a/2", ""), (6, "http://a/2", "v")]
+    got = as_stated(spark, tmp_path, "snk05_changed_pages", {"pages": (rows, "page_id long, url string, html string")})
+    assert len(got) == 5
+    latest = spark.createDataFrame([("u", "old", 1), ("u", "older", 0)], "url string, content_hash string, version long")
+    new = sync.new_snapshots(spark.createDataFrame([("u", "a"), ("u", "b")], "url string, html string"), latest)
+    assert sorted(r.version for r in new.collect()) == [2, 3]
