@@ -27,21 +27,23 @@ def resolve(asked: DataFrame, known: DataFrame) -> DataFrame:
     ``known`` has organization_id, name and code; of equal codes, names and distances the least id wins. Names are
     normalised by the caller. Near names are within 3 bits of a SimHash and are matched by fingerprint, not by row;
     only names that nothing else resolves are hashed. A blank name is ``empty_name``, whatever its code.
+    Tables grow with the organisations and their sizes are not known from a file's, so none of them is broadcast.
     """
     from noticelake.operators.simhash import near_prints, simhash_column
+    from noticelake.sources.scratch import stored
 
     least = F.min("organization_id")
     by_code = known.filter("code <> ''").groupBy("code").agg(least.alias("_code"))
     by_name = known.filter("name <> ''").groupBy("name").agg(least.alias("_name"))
-    first = asked.select("id", "code", "name").join(by_code, "code", "left").join(by_name, "name", "left")
+    first = asked.select("id", "code", "name").join(by_code.hint("merge"), "code", "left").join(by_name.hint("merge"), "name", "left")
     blank = F.trim(F.coalesce("name", F.lit(""))) == ""
-    hashed = lambda names: names.select("name", simhash_column()("name").alias("simhash"))
-    open_names = hashed(first.filter("_code is null and _name is null").filter(~blank).select("name").distinct())
-    prints = hashed(by_name.select("name")).join(by_name, "name").groupBy(F.col("simhash").alias("y")).agg(F.min("_name").alias("_near"))
-    close = near_prints(open_names, prints.select(F.col("y").alias("simhash"))).join(prints, "y")
+    hash_ = simhash_column()("name").alias("simhash")
+    open_names = stored(first.filter("_code is null and _name is null").filter(~blank).select("name").distinct().select("name", hash_))
+    prints = stored(by_name.select("_name", hash_).groupBy(F.col("simhash").alias("y")).agg(F.min("_name").alias("_near")))
+    close = near_prints(open_names, prints.select(F.col("y").alias("simhash"))).join(prints.hint("merge"), "y")
     best = close.groupBy("x").agg(F.min(F.struct(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))).alias("d"), F.col("_near").alias("org"))).alias("best"))
-    near = open_names.join(best, F.col("simhash") == F.col("x")).select("name", "best")
-    joined = first.join(near, "name", "left")
+    near = open_names.join(best.hint("merge"), F.col("simhash") == F.col("x")).select("name", "best")
+    joined = first.join(near.hint("merge"), "name", "left")
     method = (
         F.when(blank, "empty_name").when(F.col("_code").isNotNull(), "exact_credit_code").when(F.col("_name").isNotNull(), "exact_name").when(F.col("best").isNotNull(), "fuzzy_name").otherwise("no_match")
     )

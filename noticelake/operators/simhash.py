@@ -93,13 +93,16 @@ def first_band(apart: F.Column) -> F.Column:
 
 
 def near_prints(left: DataFrame, right: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(x, y) of all different fingerprints of two tables (simhash) within the radius, each pair once; 0 pairs with nothing."""
+    """(x, y) of all different fingerprints of two tables (simhash) within the radius, each pair once; 0 pairs with nothing.
+
+    Neither side is broadcast: each has twenty rows a fingerprint, which the size of a file does not tell.
+    """
     if radius > RADIUS:
         raise ValueError("the blocks guarantee a radius of 3")
     of = lambda df: df.filter("simhash <> 0").select("simhash").distinct().select("simhash", F.explode(bands("simhash")).alias("k"))
     x, y = of(left).withColumnRenamed("simhash", "x"), of(right).withColumnRenamed("simhash", "y")
     apart = F.col("x").bitwiseXOR(F.col("y"))
-    return x.join(y, "k").filter((F.bit_count(apart) <= radius) & (F.col("k.band") == first_band(apart))).select("x", "y")
+    return x.join(y.hint("merge"), "k").filter((F.bit_count(apart) <= radius) & (F.col("k.band") == first_band(apart))).select("x", "y")
 
 
 def near_pairs(left: DataFrame, right: DataFrame, radius: int = RADIUS) -> DataFrame:

@@ -89,3 +89,8 @@ def test_snapshots_of_pages_that_share_an_address(spark, tmp_path):
     latest = spark.createDataFrame([("u", "old", 1), ("u", "older", 0)], "url string, content_hash string, version long")
     new = sync.new_snapshots(spark.createDataFrame([("u", "a"), ("u", "b")], "url string, html string"), latest)
     assert sorted(r.version for r in new.collect()) == [2, 3]
+
+
+def test_no_table_of_organisations_is_broadcast(spark):
+    plan = registry.QUERIES["j08_resolve_near"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
