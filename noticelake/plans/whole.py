@@ -9,6 +9,7 @@ from noticelake.functions import text as tx
 from noticelake.operators import evidence as ev
 from noticelake.operators import facts, lineage, signals, simhash
 from noticelake.operators import filters as f
+from noticelake.sources.scratch import stored
 from noticelake.sources.tables import AWARDS_SQL, awards, spread, table
 
 QUERIES: dict = {}
@@ -65,15 +66,18 @@ def l06_reposts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.trim(F.regexp_replace(bare, "\\s+", " "))
     read = spread(table(spark, sf_dir, "pages")).select(F.col("page_id").alias("id"), "url", "html", content.alias("content"))
     read = read.withColumn("simhash", simhash.simhash_column()("content"))
-    pages = read.select(
+    # Of a text the verdict asks whether it is empty and which marks it has, so pairs carry its marks and not the text.
+    marks = F.concat_ws(" ", F.lit("x"), *(F.regexp_extract("content", m, 0) for m in (lineage.REPOST_MARKS, lineage.UPSTREAM_MARKS)))
+    content = F.when(F.col("content") == "", "").when(F.col("content").isNotNull(), marks).alias("content")
+    pages = stored(read.select(
         "id",
         F.struct(
-            f.host("url").alias("host"), "content", none.alias("identifier"), none.alias("notice_type"),
+            f.host("url").alias("host"), content, none.alias("identifier"), none.alias("notice_type"),
             F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title", 1).alias("title"), "simhash", none.alias("publisher"), none.alias("published"),
             F.regexp_extract_all("html", F.lit("(?i)\\bhref\\s*=\\s*[\"']?([^\"'\\s>]+\\.(?:pdf|docx?|xlsx?|zip|rar))"), F.lit(1)).alias("links"),
         ).alias("x"),
-    )
-    prints = read.select("id", "simhash")
+    ))
+    prints = pages.select("id", "x.simhash")
     near = simhash.near_pairs(prints, prints).filter("a < b").select("a", "b")
     pairs = near.join(pages.select(F.col("id").alias("a"), F.col("x").alias("l")), "a").join(pages.select(F.col("id").alias("b"), F.col("x").alias("r")), "b")
     return pairs.select("a", "b", lineage.repost_verdict(lineage.repost_features("l", "r")).alias("verdict"))

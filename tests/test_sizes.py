@@ -7,10 +7,11 @@ from hashlib import md5
 
 import duckdb
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from noticelake.functions import text as tx
 from noticelake.operators import evidence, lineage, simhash, sync
-from noticelake.plans import registry
+from noticelake.plans import registry, whole
 from noticelake.sources import scratch
 
 
@@ -94,3 +95,15 @@ def test_snapshots_of_pages_that_share_an_address(spark, tmp_path):
 def test_no_table_of_organisations_is_broadcast(spark):
     plan = registry.QUERIES["j08_resolve_near"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_pairs_of_pages_carry_no_texts(spark, tmp_path, monkeypatch):
+    body = "The purchaser invites tenders for the supply of desks and chairs, delivery within sixty days of the award. " * 200
+    html = lambda said: f"<html><title>Desks</title><body><p>{said}{body}</p></body></html>"
+    rows = [(i, f"http://h{i}.org/", html("文章来源：x " if i == 3 else "")) for i in range(12)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    kept, stored = [], scratch.stored
+    monkeypatch.setattr(whole, "stored", lambda df: kept.append(stored(df)) or kept[-1], raising=False)
+    got = {(r.a, r.b): r.verdict for r in whole.l06_reposts_whole(spark, str(tmp_path)).collect()}
+    assert len(got) == 66 and {p for p, v in got.items() if v == "same_source_repost"} == {p for p in got if 3 in p}
+    assert len(kept) == 1 and kept[0].agg(F.max(F.length(F.to_json("x")))).first()[0] < 400
