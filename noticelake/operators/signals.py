@@ -29,7 +29,9 @@ def co_occurrence(participants: DataFrame, org: str, group: list[str], most: int
     Groups of more than ``most`` organisations go by their neighbours in order of name only through the exact
     second path: each member is paired with the group by a join on (group, part), so no task holds a whole group.
     """
-    once = participants.select(*group, org).distinct()
+    from noticelake.sources.scratch import stored
+
+    once = stored(participants.select(*group, org).distinct())  # read four times
     sizes = once.groupBy(*group).agg(F.count("*").alias("m"))
     parts = once.join(sizes, group).withColumn("parts", F.ceil(F.col("m") / most).cast("int"))
     left = parts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumnRenamed(org, "a")

@@ -107,3 +107,8 @@ def test_pairs_of_pages_carry_no_texts(spark, tmp_path, monkeypatch):
     got = {(r.a, r.b): r.verdict for r in whole.l06_reposts_whole(spark, str(tmp_path)).collect()}
     assert len(got) == 66 and {p for p, v in got.items() if v == "same_source_repost"} == {p for p in got if 3 in p}
     assert len(kept) == 1 and kept[0].agg(F.max(F.length(F.to_json("x")))).first()[0] < 400
+
+
+def test_participants_of_co_occurrence_are_made_once(spark):
+    plan = registry.QUERIES["s06_cooccurrence"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem.parquet" not in plan
