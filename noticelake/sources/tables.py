@@ -61,13 +61,21 @@ def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def awards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """notice_id, lot, winner, win_amount, win_date, purchaser, region."""
+    """notice_id, lot, winner, win_amount, win_date, purchaser, region.
+
+    Orders meet their customers before the line items, so that the many rows of these are dealt out and sorted once,
+    by their order, and carry no names then.
+    """
+    sold = (
+        table(spark, sf_dir, "orders")
+        .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .select("o_orderkey", "c_name", "n_name")
+    )
     return (
         table(spark, sf_dir, "lineitem")
+        .join(sold.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .select(
             F.col("l_orderkey").alias("notice_id"),
             F.col("l_linenumber").alias("lot"),

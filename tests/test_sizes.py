@@ -112,3 +112,57 @@ def test_pairs_of_pages_carry_no_texts(spark, tmp_path, monkeypatch):
 def test_participants_of_co_occurrence_are_made_once(spark):
     plan = registry.QUERIES["s06_cooccurrence"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "lineitem.parquet" not in plan
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def unbroadcast(spark, make):
+    """The plan of a query where no table is small enough to be broadcast."""
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return plan_of(make())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+def test_line_items_meet_their_orders_without_a_sort(spark):
+    for name in ("w04_topk", "a34_most_common"):
+        plan = unbroadcast(spark, lambda: registry.QUERIES[name](spark, SMALL))  # noqa: B023
+        assert "Sort [l_orderkey" not in plan and "ShuffledHashJoin [l_orderkey" in plan
+        assert plan.count("hashpartitioning(l_orderkey") == 1 and plan.count("hashpartitioning(o_custkey") == 1
+
+
+def test_fields_of_tenders_are_counted_without_a_sort(spark):
+    fields = spark.createDataFrame(
+        [(1, "winner_name", "present", True, "a"), (1, "winner_name", "present", True, "a"), (1, "project_identifier", "present", True, "b"), (2, "purchaser_name", "present", True, " "), (3, "winner_name", "present", True, "c"), (None, "winner_name", "present", True, "d")],
+        "tender_id long, field_name string, field_status string, is_current boolean, raw_value string",
+    )
+    tenders = spark.createDataFrame([(1, "u"), (1, "u"), (2, ""), (4, None)], "tender_id long, source_url string")
+    known = spark.createDataFrame([("x",)], "source_url string")
+    made = sync.migration_counters(tenders, known, fields)
+    assert made.first().asDict() == {"total": 4, "migrated": 3, "skipped": 1, "participants": 2, "identifiers": 1}
+    assert sync.migration_counters(tenders, known, fields.limit(0)).first().participants == 0
+    plan = unbroadcast(spark, lambda: registry.QUERIES["l12_migration_counters"](spark, SMALL))
+    assert plan.index("LeftSemi") < plan.index("HashAggregate(keys=[tender_id") < plan.index("Generate")
+
+
+def test_what_a_batch_adds_is_found_without_a_sort(spark):
+    fields = spark.createDataFrame(
+        [(1, "winner_name", "present", True, " a "), (1, "winner_name", "present", True, "a"), (1, "purchaser_name", "present", True, "b"), (2, "winner_name", "present", True, "c"), (3, "winner_name", "present", True, "d"), (1, "project_identifier", "present", True, "k"), (2, "project_identifier", "present", True, "k")],
+        "tender_id long, field_name string, field_status string, is_current boolean, raw_value string",
+    )
+    chain = spark.createDataFrame([(1, 10, 5), (2, 20, None), (2, None, 6), (None, 30, 7)], "tender_id long, notice_id long, project_id long")
+    known = spark.createDataFrame([(10, "b", "purchaser"), (20, "c", "purchaser"), (20, None, "winner"), (99, "z", "winner")], "notice_id long, organisation string, role string")
+    got = sync.participants(fields, chain, known)
+    assert {tuple(r) for r in got.collect()} == {(10, "a", "winner"), (20, "c", "winner"), (None, "c", "winner")}
+    ids = sync.identifiers(fields, chain, spark.createDataFrame([(5, "k"), (None, "k")], "project_id long, raw_value string"))
+    assert sorted(map(tuple, ids.collect()), key=str) == [(6, "k"), (None, "k")]
+    for name in ("l11_participants", "l11_identifiers"):
+        plan = unbroadcast(spark, lambda: registry.QUERIES[name](spark, SMALL))  # noqa: B023
+        assert "LeftAnti" not in plan and plan.count("ShuffledHashJoin") == 2 and "Sort [tender_id" not in plan
