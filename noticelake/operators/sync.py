@@ -54,15 +54,16 @@ def migration_counters(tenders: DataFrame, known: DataFrame, fields: DataFrame)
     """One row for a run: total, migrated, skipped, participants, identifiers.
 
     A tender is skipped if its address (made from its id where empty) is known or an earlier one has it. Fields that
-    are processed count, written or not.
+    are processed count, written or not; they are counted by tender before tenders are looked up.
     """
     address = F.when(F.coalesce("source_url", F.lit("")) == "", F.concat(F.lit("migrated://tender/"), F.col("tender_id").cast("string"))).otherwise(F.col("source_url"))
     chains = tenders.select(address.alias("source_url"))
     fresh = chains.distinct().join(known.select("source_url"), "source_url", "left_anti").agg(F.count("*").alias("migrated"))
     total = chains.agg(F.count("*").alias("total"))
     of = lambda names: F.count_if(F.col("field_name").isin(*names))
-    used = usable_fields(fields, (*FIELD_ROLES, "project_identifier")).join(tenders.select("tender_id").distinct(), "tender_id", "left_semi")
-    counts = used.agg(of(FIELD_ROLES).alias("participants"), of(["project_identifier"]).alias("identifiers"))
+    used = usable_fields(fields, (*FIELD_ROLES, "project_identifier")).groupBy("tender_id").agg(of(FIELD_ROLES).alias("p"), of(["project_identifier"]).alias("i"))
+    sums = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    counts = used.join(tenders.select("tender_id"), "tender_id", "left_semi").agg(sums("p").alias("participants"), sums("i").alias("identifiers"))
     one = total.join(F.broadcast(fresh)).join(F.broadcast(counts))  # one row each
     return one.select("total", "migrated", (F.col("total") - F.col("migrated")).alias("skipped"), "participants", "identifiers")
 
