@@ -31,23 +31,30 @@ def usable_fields(fields: DataFrame, names: tuple[str, ...]) -> DataFrame:
     return kept.withColumn("raw_value", value).filter("raw_value <> ''")
 
 
+def _unknown(rows: DataFrame, known: DataFrame, columns: list[str]) -> DataFrame:
+    """The different values of ``columns`` in ``rows`` that ``known`` lacks, by one grouping and without a sort; what holds a null is never known."""
+    said = known.select(*columns, F.lit(True).alias("_known")).dropna(subset=columns)
+    both = rows.select(*columns, F.lit(False).alias("_known")).unionByName(said)
+    return both.groupBy(*columns).agg(F.bool_or("_known").alias("_known")).filter("not _known").select(*columns)
+
+
 def participants(fields: DataFrame, chain: DataFrame, known: DataFrame) -> DataFrame:
     """New (notice_id, organisation, role) from current fields, once each, without those known.
 
     ``fields`` has tender_id, field_name, field_status, is_current and raw_value, ``chain`` tender_id and notice_id;
     fields of a tender without a notice are left for a later run. Null values and ids give no row.
     """
-    named = usable_fields(fields, tuple(FIELD_ROLES)).join(chain.select("tender_id", "notice_id"), "tender_id")
+    named = usable_fields(fields, tuple(FIELD_ROLES)).join(chain.select("tender_id", "notice_id").hint("shuffle_hash"), "tender_id")
     role = F.element_at(_map(FIELD_ROLES), F.col("field_name"))
-    rows = named.select("notice_id", v.org_name(F.col("raw_value")).alias("organisation"), role.alias("role")).distinct()
-    return rows.join(known, ["notice_id", "organisation", "role"], "left_anti")
+    rows = named.select("notice_id", v.org_name(F.col("raw_value")).alias("organisation"), role.alias("role"))
+    return _unknown(rows, known, ["notice_id", "organisation", "role"])
 
 
 def identifiers(fields: DataFrame, chain: DataFrame, known: DataFrame, longest: int = 200) -> DataFrame:
     """New (project_id, raw_value) of project identifiers, cut to the column's width, once each, without those known."""
-    named = usable_fields(fields, ("project_identifier",)).join(chain.select("tender_id", "project_id"), "tender_id")
-    rows = named.select("project_id", F.substring("raw_value", 1, longest).alias("raw_value")).distinct()
-    return rows.join(known, ["project_id", "raw_value"], "left_anti")
+    named = usable_fields(fields, ("project_identifier",)).join(chain.select("tender_id", "project_id").hint("shuffle_hash"), "tender_id")
+    rows = named.select("project_id", F.substring("raw_value", 1, longest).alias("raw_value"))
+    return _unknown(rows, known, ["project_id", "raw_value"])
 
 
 def migration_counters(tenders: DataFrame, known: DataFrame, fields: DataFrame) -> DataFrame:
