@@ -1,7 +1,7 @@
 """All places of many quotes in many texts, in one pass over the texts.
 
-The quotes become an automaton of goto and failure links, which a task builds once from the
-broadcast list; a text is then read once, whatever the number of quotes, and every place of
+The quotes become tables of hashed heads, which a task builds once from the broadcast list; a
+text's windows are then looked up in them, whatever the number of quotes, and every place of
 every quote comes out, overlapping ones too. What is broadcast is bounded: quotes beyond
 BLOCK_CHARS characters are dealt by hash into blocks, and each block takes a pass.
 
@@ -18,60 +18,65 @@ from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of the quotes that one pass looks for; an automaton holds a node for each at most.
+from noticelake.functions.text import code_points
+
+#: Characters of the quotes that one pass looks for.
 BLOCK_CHARS = 4_000_000
+#: Starts of windows that are hashed at a time, so that a long text takes no array of its length.
+PIECE = 250_000
+#: Odd factors by which halves of a window are told apart.
+FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 #: How far a place may be from an annotated start.
 NEAR = 50
 
 
-class Automaton:
-    """Aho and Corasick's automaton of different, not empty words."""
+class Windows:
+    """Places of different, not empty words by hashes of windows.
+
+    A word is kept under its head, whose size is the greatest power of two that fits. The hashes of all windows of one
+    size come from those of half the size by one array operation, so a text costs a few of these for a size, whatever
+    the number of words; where a window's hash is that of a head, the words of that head are compared with the text.
+    """
 
     def __init__(self, words: list[str]):
-        self.goto: list[dict[str, int]] = [{}]
-        self.fail, self.ends, self.shorter = [0], [-1], [0]
-        self.sizes = [len(w) for w in words]
+        self.longest = max(map(len, words), default=0)
+        self.of: dict[int, dict[int, dict[int, dict[str, int]]]] = {}
         for number, word in enumerate(words):
-            node = 0
-            for c in word:
-                following = self.goto[node].get(c)
-                if following is None:
-                    following = self.goto[node][c] = len(self.goto)
-                    self.goto.append({})
-                    self.fail.append(0)
-                    self.ends.append(-1)
-                    self.shorter.append(0)
-                node = following
-            self.ends[node] = number
-        level = list(self.goto[0].values())
-        while level:  # breadth first: the failure links of a node's parents are set
-            below = []
-            for node in level:
-                for c, child in self.goto[node].items():
-                    at = self.fail[node]
-                    while at and c not in self.goto[at]:
-                        at = self.fail[at]
-                    back = self.fail[child] = self.goto[at].get(c, 0)
-                    # The next shorter word that ends where this node does.
-                    self.shorter[child] = back if self.ends[back] >= 0 else self.shorter[back]
-                    below.append(child)
-            level = below
+            size = 1 << (len(word).bit_length() - 1)
+            *_, (_, head) = self.hashes(word[:size], size)
+            self.of.setdefault(size, {}).setdefault(int(head[0]), {}).setdefault(len(word), {})[word] = number
+        self.heads = {size: np.array(sorted(heads), np.uint64) for size, heads in self.of.items()}
+
+    @staticmethod
+    def hashes(text: str, most: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(size, hash of the window that starts at each place) for the powers of two up to ``most``."""
+        size, now = 1, code_points(text).astype(np.uint64)
+        while size <= most and len(now):
+            yield size, now
+            now = now[: max(len(now) - size, 0)] * np.uint64(FACTORS[size.bit_length() % len(FACTORS)]) + now[size:]
+            now ^= now >> np.uint64(29)
+            size *= 2
 
     def places(self, text: str) -> Iterator[tuple[int, int]]:
-        """(number of a word, start) of every place, by its end."""
-        goto, fail, ends, shorter, sizes, node = self.goto, self.fail, self.ends, self.shorter, self.sizes, 0
-        for end, c in enumerate(text, 1):
-            while node and c not in goto[node]:
-                node = fail[node]
-            node = goto[node].get(c, 0)
-            at = node if ends[node] >= 0 else shorter[node]
-            while at:
-                yield ends[at], end - sizes[ends[at]]
-                at = shorter[at]
+        """(number of a word, start) of every place, piece by piece."""
+        for at in range(0, len(text), PIECE):
+            part = text[at : at + PIECE + self.longest - 1]
+            for size, now in self.hashes(part, max(self.heads, default=0)):
+                if size not in self.heads:
+                    continue
+                heads, of = self.heads[size], self.of[size]
+                now = now[:PIECE]
+                near = np.minimum(np.searchsorted(heads, now), len(heads) - 1)
+                for i in np.flatnonzero(heads[near] == now).tolist():
+                    for n, words in of[int(now[i])].items():
+                        number = words.get(part[i : i + n])
+                        if number is not None:
+                            yield number, at + i
 
 
 def _block(texts: DataFrame, key: str, text: str, rows: list, ids: str) -> DataFrame:
@@ -82,10 +87,10 @@ def _block(texts: DataFrame, key: str, text: str, rows: list, ids: str) -> DataF
 
     def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = list(shared.value)
-        automaton, owners = Automaton(words), [shared.value[w] for w in words]
+        windows, owners = Windows(words), [shared.value[w] for w in words]
         for batch in batches:
             for i, t in zip(batch.iloc[:, 0], batch.iloc[:, 1], strict=True):
-                found = [(i, q, at) for w, at in automaton.places(t) for q in owners[w]]
+                found = [(i, q, at) for w, at in windows.places(t) for q in owners[w]]
                 if found:
                     yield pd.DataFrame(found, columns=[key, ids, "start"])
 
@@ -104,11 +109,13 @@ def all_places(texts: DataFrame, quotes: DataFrame, key: str = "doc_id", text: s
 def near_annotations(places: DataFrame, annotated: DataFrame, keys: list[str], within: int = NEAR) -> DataFrame:
     """``places`` with near: whether an annotated start of the same keys is at most ``within`` characters away.
 
-    Starts are met in bins as wide as that, so a place sees those of three bins and not all of its text.
+    Starts are met in bins as wide as that, so a place sees those of three bins and not all of its text. Different
+    starts of three bins are few, so they come to a place as one list, and places are made and joined once.
     """
-    here = F.floor(F.col("start") / (within + 1))
-    marks = annotated.filter("start is not null").select(*keys, F.col("start").alias("mark")).distinct()
-    marks = marks.select(*keys, "mark", F.explode(F.array(*(F.floor(F.col("mark") / (within + 1)) + i for i in (-1, 0, 1)))).alias("bin"))
-    once = places.select(*keys, "start").distinct().withColumn("bin", here)
-    close = once.join(marks, [*keys, "bin"]).filter(F.abs(F.col("start") - F.col("mark")) <= within).select(*keys, "start").distinct()
-    return places.join(close.withColumn("near", F.lit(True)), [*keys, "start"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
+    wide = lambda c: F.floor(F.col(c) / (within + 1))
+    marks = annotated.filter("start is not null").select(*keys, F.col("start").alias("mark"))
+    marks = marks.select(*keys, "mark", F.explode(F.array(*(wide("mark") + i for i in (-1, 0, 1)))).alias("_bin"))
+    binned = marks.groupBy(*keys, "_bin").agg(F.collect_set("mark").alias("_marks"))
+    near = F.exists("_marks", lambda m: F.abs(F.col("start") - m) <= within)
+    found = places.withColumn("_bin", wide("start")).join(binned, [*keys, "_bin"], "left")
+    return found.select(*(F.col(c) for c in places.columns), F.coalesce(near, F.lit(False)).alias("near"))

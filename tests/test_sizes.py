@@ -1,6 +1,7 @@
 """Rows that only larger tables hold, and work that must not grow faster than its input."""
 
 import datetime as dt
+import random
 import tracemalloc
 from collections import Counter
 from hashlib import md5
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from noticelake.functions import text as tx
-from noticelake.operators import evidence, lineage, simhash, sync
+from noticelake.operators import evidence, lineage, quotes, simhash, sync
 from noticelake.plans import registry, whole
 from noticelake.sources import scratch
 
@@ -166,3 +167,24 @@ def test_what_a_batch_adds_is_found_without_a_sort(spark):
     for name in ("l11_participants", "l11_identifiers"):
         plan = unbroadcast(spark, lambda: registry.QUERIES[name](spark, SMALL))  # noqa: B023
         assert "LeftAnti" not in plan and plan.count("ShuffledHashJoin") == 2 and "Sort [tender_id" not in plan
+
+
+def test_documents_and_pages_are_read_once_for_all_joins(spark):
+    for name in ("d01_ingest_verdict", "d02_greedy_dedup", "j06_simhash_band_join", "j07_repost_candidates", "l04_combined_lineage"):
+        plan = plan_of(registry.QUERIES[name](spark, SMALL))
+        assert "documents.parquet" not in plan and "pages.parquet" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_places_are_made_once_and_found_as_by_hand(spark, monkeypatch):
+    draw, letters = random.Random(5), "ab\U0001f600"
+    texts = ["".join(draw.choices(letters, k=n)) for n in (0, 1, 2, 7, 8, 9, 40, 333)]
+    words = sorted({"".join(draw.choices(letters, k=n)) for n in (1, 2, 3, 4, 5, 7, 8, 9, 15, 16, 17) for _ in range(4)})
+    monkeypatch.setattr(quotes, "PIECE", 13)
+    windows = quotes.Windows(words)
+    for t in texts:
+        assert sorted(windows.places(t)) == sorted((k, i) for k, w in enumerate(words) for i in range(len(t)) if t.startswith(w, i))
+    assert list(quotes.Windows([]).places("ab")) == []
+    monkeypatch.setattr(quotes, "PIECE", 250_000)
+    long = "words of a text, " * 60_000
+    assert peak_mb(lambda: list(windows.places(long[:1_000_000]))) < 40
+    assert plan_of(registry.QUERIES["x04_quotes_near"](spark, SMALL)).count("MapInPandas") == 1
