@@ -160,27 +160,27 @@ def combined(pages: DataFrame, field: str | None = None, value: str | None = Non
     """(id, role, simhash, source_group, fact_key, n_candidates, nearest) of pages (id, url, host, content, simhash).
 
     Candidates are all other pages within the fingerprint's radius; ``nearest`` is the one of least distance, then id.
-    Both are found per fingerprint, so a text that a third of all pages share is matched once. Fingerprint 0 has no
+    Both are found per fingerprint, so a text that a third of all pages share is matched once. Pages are read once, what
+    is told of them is stored without their contents. Fingerprint 0 has no
     candidates, an empty field or value no key. Ids are unique and not null; extra columns are left aside.
     """
     from noticelake.operators.simhash import near_prints
+    from noticelake.sources.scratch import stored
 
-    prints = pages.select("id", "simhash")
+    given = lambda c: F.coalesce(F.col(c), F.lit("")) if c else F.lit("")
+    key = F.when((given(field) != "") & (given(value) != ""), fact_key(given(project), given(field), given(value)))
+    role, group = source_role(F.col("host"), F.col("content")), source_group(F.col("url"), F.col("simhash"))
+    told = stored(pages.select("id", role.alias("role"), "simhash", group.alias("source_group"), key.alias("fact_key")))
+    prints = told.select("id", "simhash")
     held = prints.filter("simhash <> 0").groupBy(F.col("simhash").alias("y")).agg(F.count("*").alias("m"), F.min("id").alias("first"))
     later = prints.join(held.select(F.col("y").alias("simhash"), "first"), "simhash").filter("id > first").groupBy("simhash").agg(F.min("id").alias("second"))
     around = near_prints(prints, prints).join(held, "y").withColumn("distance", F.bit_count(F.col("x").bitwiseXOR(F.col("y"))))
     others = F.when(F.col("x") != F.col("y"), F.struct("distance", F.col("first").alias("id")))
     per = around.groupBy("x").agg(F.sum("m").alias("m"), F.min(others).alias("other"), F.min(F.when(F.col("x") == F.col("y"), F.col("first"))).alias("first"))
-    joined = pages.join(per.withColumnRenamed("x", "simhash"), "simhash", "left").join(later, "simhash", "left")
+    joined = told.join(per.withColumnRenamed("x", "simhash"), "simhash", "left").join(later, "simhash", "left")
     same = F.when(F.col("id") != F.col("first"), F.col("first")).otherwise(F.col("second"))
-    given = lambda c: F.coalesce(F.col(c), F.lit("")) if c else F.lit("")
-    key = F.when((given(field) != "") & (given(value) != ""), fact_key(given(project), given(field), given(value)))
     return joined.select(
-        "id",
-        source_role(F.col("host"), F.col("content")).alias("role"),
-        "simhash",
-        source_group(F.col("url"), F.col("simhash")).alias("source_group"),
-        key.alias("fact_key"),
+        *told.columns,
         F.coalesce(F.col("m") - 1, F.lit(0)).cast("long").alias("n_candidates"),
         F.coalesce(same, F.col("other.id")).alias("nearest"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticelake.functions import text as tx
@@ -11,6 +11,7 @@ from noticelake.operators import evidence as ev
 from noticelake.operators import facts, lineage, metrics, signals, simhash, versions
 from noticelake.operators import filters as f
 from noticelake.plans.relational import HOST_SQL
+from noticelake.sources.scratch import stored
 from noticelake.sources.tables import AWARDS_SQL, NOTICES_SQL, awards, notices, spread, table
 
 QUERIES: dict = {}
@@ -100,6 +101,12 @@ def n29_lenient_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", v.lenient_json(fenced, "k long")["k"].alias("k"))
 
 
+def fingerprints(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
+    """(id, more, simhash) of all documents, stored, as joins read it several times and each would make the fingerprints anew."""
+    docs = spread(table(spark, sf_dir, "documents"))
+    return stored(docs.select(F.col("doc_id").alias("id"), *more, simhash.simhash_column()("text").alias("simhash")))
+
+
 SIMHASH_SQL = """t AS (SELECT doc_id, regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', '', 'g') AS d FROM documents),
  g AS (SELECT doc_id, unnest([substr(d, i, 2) FOR i IN range(1, length(d))]) AS gram FROM t),
  c AS (SELECT doc_id, gram, count(*) AS n FROM g GROUP BY ALL),
@@ -118,7 +125,7 @@ def n11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SIMHASH_SQL} SELECT a.doc_id AS a, b.doc_id AS b, CAST(bit_count(xor(a.fp, b.fp)::UBIGINT::HUGEINT) AS INT) AS distance
 FROM f a JOIN f b ON a.doc_id < b.doc_id AND bit_count(xor(a.fp, b.fp)::UBIGINT::HUGEINT) <= 3 WHERE a.fp <> 0 AND b.fp <> 0""")
 def j06_simhash_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), simhash.simhash_column()("text").alias("simhash"))
+    docs = fingerprints(spark, sf_dir)
     return simhash.near_pairs(docs, docs).filter("a < b")
 
 
@@ -128,13 +135,13 @@ def j06_simhash_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT id, CASE WHEN seen THEN 'duplicate_url' WHEN close.id IS NOT NULL THEN 'duplicate_simhash' ELSE 'inserted' END AS verdict FROM n LEFT JOIN close USING (id)""")
 def d01_ingest_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even documents come in against odd ones that are known."""
-    docs = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("url"), simhash.simhash_column()("text").alias("simhash"))
+    docs = fingerprints(spark, sf_dir, F.sha2("text", 256).alias("url"))
     return simhash.ingest_verdict(docs.filter("id % 2 = 0"), docs.filter("id % 2 = 1"))
 
 
 @query()
 def d02_greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), simhash.simhash_column()("text").alias("simhash"))
+    docs = fingerprints(spark, sf_dir)
     return simhash.keep_first(docs)
 
 

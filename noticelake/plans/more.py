@@ -10,7 +10,7 @@ from noticelake.functions import values as v
 from noticelake.operators import deletes, lineage, metrics, simhash, versions
 from noticelake.operators import filters as f
 from noticelake.sources.readers import TEMPLATES, scrape
-from noticelake.plans.domain import SIMHASH_SQL
+from noticelake.plans.domain import SIMHASH_SQL, fingerprints
 from noticelake.sources.tables import NOTICES_SQL, ORDERS_AS_OF, money, notices, table
 
 QUERIES: dict = {}
@@ -229,7 +229,7 @@ def l14_cluster_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM f a JOIN f b ON b.doc_id < a.doc_id AND bit_count(xor(a.fp, b.fp)::UBIGINT::HUGEINT) <= 3 WHERE a.fp <> 0 AND b.fp <> 0""")
 def j07_repost_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All earlier near texts of each text."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), simhash.simhash_column()("text").alias("simhash"))
+    docs = fingerprints(spark, sf_dir)
     return simhash.near_pairs(docs, docs).filter("b < a")
 
 
