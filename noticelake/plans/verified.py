@@ -328,9 +328,10 @@ def m10_exact_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
  k AS (SELECT doc_id, parts, unnest(range(0, len(parts) - 1)) AS number FROM p)
 SELECT doc_id, number::INT AS number, (list_sum(list_transform(parts[1:number + 1], lambda x: length(x))) + number * {len(LICENSE)})::INT AS start FROM k""")
 def e08_lateral_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places of a quote in every document, by a table function in a LATERAL join."""
+    """Places of a quote in every document, by a table function in a LATERAL join; only texts that hold the quote are handed to Python."""
     tabular.register(spark)
-    return spark.sql(f"SELECT doc_id, o.number, o.start FROM {{docs}} AS d, LATERAL occurrences(d.text, '{LICENSE}', CAST(NULL AS INT)) AS o", docs=table(spark, sf_dir, "documents"))
+    holding = table(spark, sf_dir, "documents").filter(F.contains("text", F.lit(LICENSE))).select("doc_id", "text")
+    return spark.sql(f"SELECT doc_id, o.number, o.start FROM {{docs}} AS d, LATERAL occurrences(d.text, '{LICENSE}', CAST(NULL AS INT)) AS o", docs=holding)
 
 
 @query(

@@ -188,3 +188,13 @@ def test_places_are_made_once_and_found_as_by_hand(spark, monkeypatch):
     long = "words of a text, " * 60_000
     assert peak_mb(lambda: list(windows.places(long[:1_000_000]))) < 40
     assert plan_of(registry.QUERIES["x04_quotes_near"](spark, SMALL)).count("MapInPandas") == 1
+
+
+def test_only_texts_that_hold_the_quote_go_to_python(spark, tmp_path):
+    from noticelake.plans.domain import LICENSE
+
+    rows = [(1, LICENSE + "x" + LICENSE), (2, "none"), (3, None), (4, ""), (5, "\U0001f600" + LICENSE)]
+    got = as_stated(spark, tmp_path, "e08_lateral_occurrences", {"documents": (rows, "doc_id long, text string")})
+    assert {(r.doc_id, r.number, r.start) for r in got} == {(1, 0, 0), (1, 1, len(LICENSE) + 1), (5, 0, 1)}
+    below = plan_of(registry.QUERIES["e08_lateral_occurrences"](spark, SMALL)).split("UDTF")[-1]
+    assert "Contains(text" in below or "contains(text" in below.lower()
