@@ -139,6 +139,24 @@ def test_line_items_meet_their_orders_without_a_sort(spark):
         assert plan.count("hashpartitioning(l_orderkey") == 1 and plan.count("hashpartitioning(o_custkey") == 1
 
 
+def test_profiles_shuffle_line_items_whatever_their_number(spark, tmp_path):
+    plan = plan_of(registry.QUERIES["a16_full_profile"](spark, SMALL))  # small enough for Spark to broadcast the orders
+    assert plan.count("ShuffledHashJoin [l_orderkey") == 2 and "BroadcastHashJoin [l_orderkey" not in plan
+    plan = unbroadcast(spark, lambda: registry.QUERIES["a16_full_profile"](spark, SMALL))
+    assert plan.count("hashpartitioning(l_orderkey") == 2 and "Sort [l_orderkey" not in plan
+    day = dt.datetime(1999, 5, 6)
+    items = [(k, line, k % 4, k + line / 4, day + dt.timedelta(k)) for k in range(40) for line in range(9)] + [(1, 9, 1, None, None), (1, 10, None, 1.0, day), (None, 1, 1, 1.0, day), (99, 1, 1, 1.0, day)]
+    tables = {
+        "lineitem": (items, "l_orderkey long, l_linenumber int, l_suppkey long, l_extendedprice double, l_shipdate timestamp_ntz"),
+        "orders": ([(k, k % 13 if k != 7 else None) for k in range(39)], "o_orderkey long, o_custkey long"),
+        "customer": ([(c, ["", None, "a", "same", "same"][c] if c < 5 else f"c{c}", c % 3) for c in range(12)], "c_custkey long, c_name string, c_nationkey int"),
+        "nation": ([(0, "x"), (1, None)], "n_nationkey int, n_name string"),
+        "supplier": ([(0, "one"), (1, "two"), (2, "one")], "s_suppkey long, s_name string"),
+    }
+    got = {r.winner: r for r in as_stated(spark, tmp_path, "a16_full_profile", tables)}
+    assert set(got) == {"one", "two"} and got["one"].purchaser.startswith("same,")
+
+
 def test_fields_of_tenders_are_counted_without_a_sort(spark):
     fields = spark.createDataFrame(
         [(1, "winner_name", "present", True, "a"), (1, "winner_name", "present", True, "a"), (1, "project_identifier", "present", True, "b"), (2, "purchaser_name", "present", True, " "), (3, "winner_name", "present", True, "c"), (None, "winner_name", "present", True, "d")],
