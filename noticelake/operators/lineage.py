@@ -117,6 +117,35 @@ def repost_verdict(features: Column, least: int = 3) -> Column:
     return F.when(count < least, "independent").when(features["simhash"], "same_source_repost").otherwise("likely_repost")
 
 
+def repost_told(page: str) -> Column:
+    """struct of what the verdict on pairs asks of a page (host, content, title, simhash, links), made once a page; null for what is not given.
+
+    ``marks`` holds a bit for each kind of mark, ``grams`` a number for each gram of the title.
+    """
+    of = lambda n: F.col(f"{page}.{n}")
+    marked = lambda marks, bit: F.when(of("content").rlike(marks), bit).otherwise(0)
+    code = lambda c: F.ascii(c).cast("long")
+    grams = F.array_distinct(F.transform(bigrams(F.trim(of("title"))), lambda g: F.shiftleft(code(g), 22) + F.when(F.length(g) > 1, code(F.substring(g, 2, 1)) + 1).otherwise(0)))
+    return F.struct(
+        F.nullif(of("host"), F.lit("")).alias("host"),
+        (marked(REPOST_MARKS, 1) + marked(UPSTREAM_MARKS, 2)).alias("marks"),
+        F.when(F.size(grams) > 0, grams).alias("grams"),
+        F.when(of("content") != "", of("simhash")).alias("simhash"),
+        F.when(F.size(of("links")) > 0, of("links")).alias("links"),
+    )
+
+
+def told_verdict(x: Column, y: Column, least: int = 3) -> Column:
+    """repost_verdict() of two pages of repost_told() without identifier, kind, publisher and date; titles are compared only where they decide."""
+    one = lambda c: F.when(c, 1).otherwise(0)
+    near = F.bit_count(x["simhash"].bitwiseXOR(y["simhash"])) <= 3
+    under = F.endswith(x["host"], y["host"]) | F.endswith(y["host"], x["host"])
+    count = F.bit_count(x["marks"].bitwiseOR(y["marks"])) + one(near) + one(under) + one(F.arrays_overlap(x["links"], y["links"]))
+    both = F.size(F.array_intersect(x["grams"], y["grams"]))
+    titles = F.try_divide(both, F.size(x["grams"]) + F.size(y["grams"]) - both) >= 0.6
+    return F.when(F.when(count == least - 1, titles).otherwise(count >= least), F.when(near, "same_source_repost").otherwise("likely_repost")).otherwise("independent")
+
+
 def display_grade(support: Column, role: Column, status: Column) -> Column:
     """low for what is unread, weak or of unknown role; high for strong support from the original; else review."""
     support, role, status = (F.lower(F.coalesce(c, F.lit(d))) for c, d in ((support, "unsupported"), (role, "unknown"), (status, "present")))

@@ -119,6 +119,38 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: int = RADIUS) -> DataF
     )
 
 
+#: Rows of one fingerprint that stand in a list, on average.
+LIST = 64
+
+
+def near_lists(rows: DataFrame, item: F.Column, radius: int = RADIUS) -> DataFrame:
+    """(l, r, same, distance): lists of the items of rows (id, simhash) within the radius, each two lists once; 0 pairs with nothing.
+
+    Rows of a fingerprint are dealt to lists by their id, so that the pairs of a large group come from many keys and what
+    is shuffled for them grows with its lists, not with its pairs. Of two lists the one of the smaller group is moved to
+    the other. ``same`` marks a list that meets itself.
+    """
+    if radius > RADIUS:
+        raise ValueError("the blocks guarantee a radius of 3")
+    held = rows.filter("simhash <> 0")
+    sizes = held.groupBy("simhash").agg(F.count("*").alias("n"))
+    parts = lambda n: F.ceil(F.col(n) / LIST).cast("int")
+    dealt = held.join(sizes, "simhash").select("simhash", F.when(F.col("n") > LIST, F.pmod(F.xxhash64("id"), parts("n"))).otherwise(0).cast("int").alias("part"), item.alias("item"))
+    lists = dealt.groupBy("simhash", "part").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    of = lambda x, n: sizes.select(F.col("simhash").alias(x), F.col("n").alias(n), F.explode(bands("simhash")).alias("k"))
+    apart = F.col("x").bitwiseXOR(F.col("y"))
+    once = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("x") <= F.col("y")))
+    near = of("x", "m").join(of("y", "n").hint("merge"), "k").filter(once & (F.bit_count(apart) <= radius) & (F.col("k.band") == first_band(apart)))
+    last = lambda n: parts(n) - 1
+    left = lists.select(F.col("simhash").alias("x"), F.col("part").alias("i"), F.col("items").alias("l"))
+    right = lists.select(F.col("simhash").alias("y"), F.col("part").alias("j"), F.col("items").alias("r"))
+    moved = near.select("x", "y", "n", F.explode_outer(F.sequence(F.lit(0), last("m"))).alias("i")).join(left.hint("shuffle_hash"), ["x", "i"])
+    first = F.when(F.col("x") == F.col("y"), F.col("i")).otherwise(0)
+    met = moved.select("x", "y", "i", "l", F.explode_outer(F.sequence(first, last("n"))).alias("j")).join(right.hint("shuffle_hash"), ["y", "j"])
+    same = (F.col("x") == F.col("y")) & (F.col("i") == F.col("j"))
+    return met.select("l", "r", same.alias("same"), F.bit_count(apart).alias("distance"))
+
+
 def first_match(new: DataFrame, existing: DataFrame, radius: int = RADIUS) -> DataFrame:
     """For each new row the earliest existing row within the radius; fingerprints are matched, not rows."""
     first = existing.filter("simhash <> 0").groupBy(F.col("simhash").alias("y")).agg(F.min("id").alias("match"))

@@ -69,18 +69,19 @@ def l06_reposts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Of a text the verdict asks whether it is empty and which marks it has, so pairs carry its marks and not the text.
     marks = F.concat_ws(" ", F.lit("x"), *(F.regexp_extract("content", m, 0) for m in (lineage.REPOST_MARKS, lineage.UPSTREAM_MARKS)))
     content = F.when(F.col("content") == "", "").when(F.col("content").isNotNull(), marks).alias("content")
-    pages = stored(read.select(
-        "id",
-        F.struct(
-            f.host("url").alias("host"), content, none.alias("identifier"), none.alias("notice_type"),
-            F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title", 1).alias("title"), "simhash", none.alias("publisher"), none.alias("published"),
-            F.regexp_extract_all("html", F.lit("(?i)\\bhref\\s*=\\s*[\"']?([^\"'\\s>]+\\.(?:pdf|docx?|xlsx?|zip|rar))"), F.lit(1)).alias("links"),
-        ).alias("x"),
-    ))
-    prints = pages.select("id", "x.simhash")
-    near = simhash.near_pairs(prints, prints).filter("a < b").select("a", "b")
-    pairs = near.join(pages.select(F.col("id").alias("a"), F.col("x").alias("l")), "a").join(pages.select(F.col("id").alias("b"), F.col("x").alias("r")), "b")
-    return pairs.select("a", "b", lineage.repost_verdict(lineage.repost_features("l", "r")).alias("verdict"))
+    page = F.struct(
+        f.host("url").alias("host"), content, none.alias("identifier"), none.alias("notice_type"),
+        F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title", 1).alias("title"), "simhash", none.alias("publisher"), none.alias("published"),
+        F.regexp_extract_all("html", F.lit("(?i)\\bhref\\s*=\\s*[\"']?([^\"'\\s>]+\\.(?:pdf|docx?|xlsx?|zip|rar))"), F.lit(1)).alias("links"),
+    )
+    told = stored(read.select("id", "simhash", page.alias("x")).select("id", "simhash", lineage.repost_told("x").alias("x")))
+    # A row that is near stands for all rows of its page.
+    rows = told.select("id", "simhash").join(told.select("id", "x"), "id")
+    met = simhash.near_lists(rows, F.struct("id", "x"))
+    pairs = met.select("same", "r", F.explode("l").alias("l")).select("same", "l", F.explode("r").alias("r"))
+    a, b = F.col("l.id"), F.col("r.id")
+    verdict = lineage.told_verdict(F.col("l.x"), F.col("r.x"))
+    return pairs.filter((a < b) | ((a > b) & ~F.col("same"))).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), verdict.alias("verdict"))
 
 
 @query("""WITH RECURSIVE big AS (SELECT l_orderkey AS o, l_suppkey AS b FROM lineitem WHERE l_quantity > 45), first AS (SELECT o, min(b) AS a FROM big GROUP BY o), e AS (SELECT DISTINCT a, b FROM big JOIN first USING (o)),

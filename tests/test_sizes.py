@@ -216,3 +216,46 @@ def test_only_texts_that_hold_the_quote_go_to_python(spark, tmp_path):
     assert {(r.doc_id, r.number, r.start) for r in got} == {(1, 0, 0), (1, 1, len(LICENSE) + 1), (5, 0, 1)}
     below = plan_of(registry.QUERIES["e08_lateral_occurrences"](spark, SMALL)).split("UDTF")[-1]
     assert "Contains(text" in below or "contains(text" in below.lower()
+
+
+def test_pairs_of_large_groups_come_from_lists(spark):
+    draw = random.Random(3)
+    base = [draw.getrandbits(63) | 1 << 20 for _ in range(3)]
+    rows = [(i, base[0]) for i in range(300)] + [(i % 7, base[0] ^ 3) for i in range(400, 480)] + [(600 + i, base[0] ^ 1 << i % 4) for i in range(8)] + [(700, base[1]), (701, base[1] ^ 7), (702, base[2]), (703, 0), (704, 0)]
+    met = simhash.near_lists(spark.createDataFrame(rows, "id long, simhash long"), F.struct("id", "simhash")).collect()
+    got = Counter()
+    for m in met:
+        assert all((x.simhash ^ y.simhash).bit_count() == m.distance for x in m.l for y in m.r)
+        got.update(tuple(sorted((x, y))) for i, x in enumerate(m.l) for k, y in enumerate(m.r) if not m.same or i < k)
+    items = sorted(r for r in rows if r[1])
+    want = Counter((x, y) for i, x in enumerate(items) for y in items[i + 1 :] if (x[1] ^ y[1]).bit_count() <= 3)
+    assert got == want and len(met) < 120 and max(len(m.l) for m in met) < 3 * simhash.LIST
+
+
+def test_verdicts_on_pages_told_once(spark):
+    draw = random.Random(8)
+    hosts, texts, titles = (None, "", "a.org", "w.a.org", "b.org"), (None, "", " ", "x", "x 转自 y", "原文链接", "来源：z"), (None, "", " ", "a", "ab", " desks and chairs", "desks and chair", "tables and chairs", "aaaa", "\U0001f600\U0001f601x", "\U0001f600\U0001f601y")
+    page = lambda: (draw.choice(hosts), draw.choice(texts), None, None, draw.choice(titles), draw.choice((0, 1, 31)), None, None, draw.choice((None, [], ["d.pdf"], ["e.pdf", "d.pdf"])))
+    kind = "struct<host:string,content:string,identifier:string,notice_type:string,title:string,simhash:bigint,publisher:string,published:string,links:array<string>>"
+    pages = spark.createDataFrame([(page(), page()) for _ in range(3000)], f"l {kind}, r {kind}")
+    told = pages.select(lineage.repost_verdict(lineage.repost_features("l", "r")).alias("want"), lineage.told_verdict(lineage.repost_told("l"), lineage.repost_told("r")).alias("got"))
+    assert told.filter("want <> got or got is null").isEmpty() and told.select("got").distinct().count() == 3
+
+
+def test_pages_meet_in_lists_and_not_by_pairs(spark, tmp_path):
+    body = "The purchaser invites tenders for the supply of desks and chairs, delivery within sixty days of the award. "
+    html = lambda t, said="": f"<html><title>{t}</title><body><p>{body * 3}{said}</p></body></html>"
+    rows = [(i, f"http://h{i % 3}.org/{i}", html(f"Desks {i % 2}" if i % 5 else "Other things")) for i in range(150)] + [(7, "http://h1.org/", html("Desks 1")), (None, "http://h1.org/", html("Desks 1")), (151, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    found = whole.l06_reposts_whole(spark, str(tmp_path))
+    got = Counter(map(tuple, found.collect()))
+    title = lambda r: r[2][13:].split("<")[0]
+    verdict = lambda r, q: "same_source_repost" if r[1][7:9] == q[1][7:9] and (title(r) == title(q) or "Other things" not in (title(r), title(q))) else "independent"
+    of = {}
+    for r in rows[:151]:
+        of.setdefault(r[0], []).append(r)
+    # Each two rows that are near stand for all rows of their pages.
+    want = Counter((a, b, verdict(r, q)) for a in of for b in of if a < b for _ in of[a] for _ in of[b] for r in of[a] for q in of[b])
+    assert got == want
+    above = plan_of(found).split("Generate explode(r")[0]
+    assert "Join" not in above and "Exchange" not in above
