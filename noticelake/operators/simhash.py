@@ -151,6 +151,14 @@ def near_lists(rows: DataFrame, item: F.Column, radius: int = RADIUS) -> DataFra
     return met.select("l", "r", same.alias("same"), F.bit_count(apart).alias("distance"))
 
 
+def near_rows(rows: DataFrame) -> DataFrame:
+    """(a, b, distance) of all pairs of rows (id, simhash) within the radius, each once and the lesser id first; rows of one id are no pair."""
+    met = near_lists(rows, F.col("id"))
+    pairs = met.select("same", "distance", "r", F.explode("l").alias("a")).select("same", "distance", "a", F.explode("r").alias("b"))
+    a, b = F.col("a"), F.col("b")
+    return pairs.filter((a < b) | ((a > b) & ~F.col("same"))).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), "distance")
+
+
 def first_match(new: DataFrame, existing: DataFrame, radius: int = RADIUS) -> DataFrame:
     """For each new row the earliest existing row within the radius; fingerprints are matched, not rows."""
     first = existing.filter("simhash <> 0").groupBy(F.col("simhash").alias("y")).agg(F.min("id").alias("match"))

@@ -125,8 +125,7 @@ def n11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {SIMHASH_SQL} SELECT a.doc_id AS a, b.doc_id AS b, CAST(bit_count(xor(a.fp, b.fp)::UBIGINT::HUGEINT) AS INT) AS distance
 FROM f a JOIN f b ON a.doc_id < b.doc_id AND bit_count(xor(a.fp, b.fp)::UBIGINT::HUGEINT) <= 3 WHERE a.fp <> 0 AND b.fp <> 0""")
 def j06_simhash_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = fingerprints(spark, sf_dir)
-    return simhash.near_pairs(docs, docs).filter("a < b")
+    return simhash.near_rows(fingerprints(spark, sf_dir))
 
 
 @query(f"""WITH {SIMHASH_SQL}, r AS (SELECT d.doc_id AS id, sha256(text) AS url, coalesce(fp, 0) AS fp FROM documents d LEFT JOIN f USING (doc_id)), k AS (SELECT * FROM r WHERE id % 2 = 1),

@@ -259,3 +259,19 @@ def test_pages_meet_in_lists_and_not_by_pairs(spark, tmp_path):
     assert got == want
     above = plan_of(found).split("Generate explode(r")[0]
     assert "Join" not in above and "Exchange" not in above
+
+
+def copies():
+    """Documents in groups of copies larger than a list, near copies, and such as have no fingerprint or no id."""
+    words = [f"notice {k} of the tender for {w}, delivery within sixty days of the award" for k, w in enumerate(("desks", "chairs", "lamps and carpets of the library"))]
+    docs = [words[0]] * 150 + [words[0] + "s"] * 90 + [words[1]] * 3 + [words[2], words[2][:-1], "", None]
+    return [(i * 37 % 1009, t) for i, t in enumerate(docs)] + [(None, words[0])]
+
+
+def test_pairs_of_near_texts_are_made_last(spark, tmp_path):
+    got = as_stated(spark, tmp_path, "j06_simhash_band_join", {"documents": ([r for r in copies() if r[0] is not None], "doc_id long, text string")})
+    assert len(got) >= 150 * 149 // 2 + 90 * 89 // 2 and all(r.a < r.b for r in got)
+    rows = [(5, 7), (5, 7), (6, 7), (None, 7), (5, 6), (8, 7 << 40), (9, 0)]
+    assert Counter(map(tuple, simhash.near_rows(spark.createDataFrame(rows, "id long, simhash long")).collect())) == {(5, 6, 0): 2, (5, 6, 1): 1}
+    above = plan_of(registry.QUERIES["j06_simhash_band_join"](spark, SMALL)).split("Generate explode(r")[0]
+    assert "Join" not in above and "Exchange" not in above
