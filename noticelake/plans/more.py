@@ -229,8 +229,7 @@ def l14_cluster_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM f a JOIN f b ON b.doc_id < a.doc_id AND bit_count(xor(a.fp, b.fp)::UBIGINT::HUGEINT) <= 3 WHERE a.fp <> 0 AND b.fp <> 0""")
 def j07_repost_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All earlier near texts of each text."""
-    docs = fingerprints(spark, sf_dir)
-    return simhash.near_pairs(docs, docs).filter("b < a")
+    return simhash.near_rows(fingerprints(spark, sf_dir)).select(F.col("b").alias("a"), F.col("a").alias("b"), "distance")
 
 
 @query("""SELECT event_id, user_id FROM events WHERE user_id <> 7""")

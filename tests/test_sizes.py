@@ -275,3 +275,10 @@ def test_pairs_of_near_texts_are_made_last(spark, tmp_path):
     assert Counter(map(tuple, simhash.near_rows(spark.createDataFrame(rows, "id long, simhash long")).collect())) == {(5, 6, 0): 2, (5, 6, 1): 1}
     above = plan_of(registry.QUERIES["j06_simhash_band_join"](spark, SMALL)).split("Generate explode(r")[0]
     assert "Join" not in above and "Exchange" not in above
+
+
+def test_earlier_texts_of_each_text_are_paired_last(spark, tmp_path):
+    got = as_stated(spark, tmp_path, "j07_repost_candidates", {"documents": (copies(), "doc_id long, text string")})
+    assert len(got) >= 150 * 149 // 2 + 90 * 89 // 2 and all(r.b < r.a for r in got)
+    above = plan_of(registry.QUERIES["j07_repost_candidates"](spark, SMALL)).split("Generate explode(r")[0]
+    assert "Join" not in above and "Exchange" not in above
